@@ -80,8 +80,8 @@ s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS s FROM k GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2 * s AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(s) OVER () - (sum(cap) OVER o - cap)) / (sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level
       FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-m AS (SELECT *, max(CASE WHEN cap >= level * w THEN level END) OVER () AS lambda FROM l),
-t AS (SELECT source, s, coalesce(least(cap, lambda * w), cap) AS target FROM m),
+m AS (SELECT *, max(CASE WHEN cap >= level * w THEN level END) OVER () AS waterline FROM l),
+t AS (SELECT source, s, coalesce(least(cap, waterline * w), cap) AS target FROM m),
 e AS (SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS whole FROM t),
 p AS (SELECT k.*, e.s, e.target, e.whole, e.target - e.whole * e.s AS rest,
              sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto

@@ -41,7 +41,7 @@ def pack(values: np.ndarray, width: int) -> np.ndarray:
     lanes = values.shape[1] // 32
     columns = np.ascontiguousarray(values.reshape(len(values), 32, lanes).transpose(1, 0, 2), np.uint32)
     words = np.zeros((width, len(values), lanes), np.uint32)
-    for i in range(32):
+    for i in range(32 if width else 0):
         word, shift = divmod(i * width, 32)
         words[word] |= columns[i] << np.uint32(shift)
         if shift + width > 32:

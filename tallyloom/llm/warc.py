@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +54,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def member(data: bytes) -> bytes:
+    """A record as one gzip member. Its extra field "sl" has the member's and the record's lengths, by which a reader passes over it."""
+    deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    extra = b"sl" + struct.pack("<HII", 8, 10 + 2 + 12 + len(body) + 8, len(data))
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
 def _page(value: bytes | None) -> int | None:
     found = re.fullmatch(rb"<urn:page:(-?\d+)>", value or b"")
     return int(found[1]) if found else None
@@ -63,27 +73,18 @@ class _Bytes:
     def __init__(self, file: pa.NativeFile, ahead: int = 1 << 18):
         self.file, self.ahead, self.data, self.at = file, ahead, b"", 0
 
-    def head(self) -> bytes:
-        """Up to and with the next empty line; nothing at the end of the file."""
-        while (end := self.data.find(b"\r\n\r\n", self.at)) < 0:
-            more = self.file.read(self.ahead)
-            if not more:
-                if self.data[self.at :].strip():
-                    raise ValueError("a WARC file is cut short")
-                return b""
+    def peek(self, n: int) -> bytes:
+        """The next n bytes, fewer at the end of the file."""
+        while len(self.data) - self.at < n and (more := self.file.read(max(self.ahead, n))):
             self.data, self.at = self.data[self.at :] + more, 0
-        out = self.data[self.at : end + 4]
-        self.at = end + 4
-        return out
+        return self.data[self.at : self.at + n]
 
     def take(self, n: int) -> bytes:
-        while len(self.data) - self.at < n:
-            more = self.file.read(max(self.ahead, n - (len(self.data) - self.at)))
-            if not more:
-                raise ValueError("a WARC file is cut short")
-            self.data, self.at = self.data[self.at :] + more, 0
+        out = self.peek(n)
+        if len(out) < n:
+            raise ValueError("a WARC file is cut short")
         self.at += n
-        return self.data[self.at - n : self.at]
+        return out
 
     def skip(self, n: int) -> None:
         here = len(self.data) - self.at
@@ -93,6 +94,76 @@ class _Bytes:
             self.data, self.at = b"", 0
             self.file.seek(self.file.tell() + n - here)
 
+    def head(self, limit: int = 1 << 20) -> bytes:
+        """Up to and with the next empty line; nothing at the end of the file."""
+        n = 4096
+        while (end := (seen := self.peek(n)).find(b"\r\n\r\n")) < 0:
+            if len(seen) < n or n > limit:
+                if seen.strip():
+                    raise ValueError("a WARC record's headers do not end")
+                return b""
+            n *= 4
+        return self.take(end + 4)
+
+
+class _Records:
+    """The records of a plain or gzip file, one after the other: head() parses no more than a record's headers, then block() reads the rest or next() passes over it."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.data, self.left, self.inflate, self.begun = _Bytes(file), 0, None, b""
+
+    def head(self) -> bytes:
+        start = self.data.peek(12)
+        if start[:2] != b"\x1f\x8b":
+            self.inflate = None
+            return self.data.head()
+        length = None
+        extra = self.data.peek(12 + struct.unpack_from("<H", start, 10)[0])[12:] if start[3] & 4 else b""
+        while len(extra) >= 4:
+            size = struct.unpack_from("<H", extra, 2)[0]
+            if extra[:2] == b"sl" and size >= 4:
+                length = struct.unpack_from("<I", extra, 4)[0]
+            extra = extra[4 + size :]
+        self.inflate = zlib.decompressobj(31)
+        self.left, self.begun = length, b""
+        while (end := self.begun.find(b"\r\n\r\n")) < 0:
+            if not self._more(2048):
+                raise ValueError("a WARC record's headers do not end")
+        head, self.begun = self.begun[: end + 4], self.begun[end + 4 :]
+        return head
+
+    def _more(self, n: int) -> bool:
+        """Inflates up to n more bytes of the member."""
+        if self.inflate.eof:
+            return False
+        n = n if self.left is None else min(n, self.left)
+        data = self.data.peek(n)
+        if not data:
+            raise ValueError("a WARC file is cut short")
+        self.begun += self.inflate.decompress(data)
+        used = len(data) - len(self.inflate.unused_data)
+        self.data.skip(used)
+        if self.left is not None:
+            self.left -= used
+        return True
+
+    def block(self, size: int) -> bytes:
+        if self.inflate is None:
+            out = self.data.take(size)
+            self.data.skip(4)
+            return out
+        while self._more(1 << 16):
+            pass
+        return self.begun[:size]
+
+    def next(self, size: int) -> None:
+        if self.inflate is None:
+            self.data.skip(size + 4)
+        elif self.left is not None:
+            self.data.skip(self.left)
+        else:
+            self.block(size)
+
 
 def _accepts(f: Filter, row: dict) -> bool:
     if isinstance(f, Not):
@@ -134,15 +205,15 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[WarcFile]:
-        """One for each archive that a finished write lists, or else for each .warc file below the path."""
+        """One for each archive that a finished write lists, or else for each .warc or .warc.gz file below the path."""
         system, root = opened(self.path)
         found = [i.path for i in system.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File]
         lists = [p for p in found if p.endswith(".files")]
-        names = [n for p in lists for n in system.open_input_stream(p).read().decode().split()] if lists else [p.rsplit("/", 1)[-1] for p in found if p.endswith(".warc")]
+        names = [n for p in lists for n in system.open_input_stream(p).read().decode().split()] if lists else [p.rsplit("/", 1)[-1] for p in found if p.endswith((".warc", ".warc.gz"))]
         return [WarcFile(f"{self.path}/{n}") for n in sorted(names)]
 
     def records(self, file: pa.NativeFile) -> Iterator[tuple]:
-        data = _Bytes(file)
+        data = _Records(file)
         while head := data.head():
             if not head.startswith(b"WARC/"):
                 raise ValueError("a WARC record does not begin where one is due")
@@ -153,13 +224,12 @@ class WarcReader(DataSourceReader):
             row = {"page_id": _page(fields.get(b"warc-record-id")), "url": None if url is None else re.sub(rb"%([0-9A-F]{2})", lambda m: bytes([int(m[1], 16)]), url).decode("utf-8", "replace"), "record_type": kind, "payload_bytes": None if length is None else int(length), "payload_digest": digest, "refers_to": _page(fields.get(b"warc-refers-to")) if kind == "revisit" else None, "payload": None}
             if not all(_accepts(f, row) for f in self.filters):
                 self.passed_over += 1
-                data.skip(size + 4)
+                data.next(size)
                 continue
             if self.payload and kind == "response":
-                row["payload"] = data.take(size).partition(b"\r\n\r\n")[2]
-                data.skip(4)
+                row["payload"] = data.block(size).partition(b"\r\n\r\n")[2]
             else:
-                data.skip(size + 4)
+                data.next(size)
             yield tuple(row[c] for c in self.columns)
 
     def read(self, partition: WarcFile) -> Iterator[tuple]:
@@ -179,6 +249,7 @@ class WarcWriter(DataSourceWriter):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.date, self.columns = options["path"], options.get("date", DATE), schema.fieldNames()
         self.most = int(options.get("fileBytes", FILE_BYTES))
+        self.gzip = options.get("compression", "gzip").lower() == "gzip"
 
     def write(self, rows: Iterator) -> _Written:
         names, file, size = [], None, 0
@@ -186,10 +257,11 @@ class WarcWriter(DataSourceWriter):
             if file is None or size >= self.most:
                 if file is not None:
                     file.close()
-                names.append(f"{uuid.uuid4().hex}.warc")
+                names.append(f"{uuid.uuid4().hex}.warc{'.gz' * self.gzip}")
                 (file, _), size = output_file(self.path, names[-1]), 0
             payload = bytes(row["payload"] or b"")
             data = record(row["page_id"], row["url"], payload, row["payload_digest"] or hashlib.sha256(payload).hexdigest(), row["refers_to"], row["record_type"] == "revisit", self.date)
+            data = member(data) if self.gzip else data
             file.write(data)
             size += len(data)
         if file is not None:

@@ -59,4 +59,4 @@ def output_file(folder: str, name: str) -> tuple[pa.NativeFile, str]:
     """A new file to write below a folder, which is made where missing, and its URI."""
     system, path = opened(folder)
     system.create_dir(path, recursive=True)
-    return system.open_output_stream(f"{path}/{name}"), f"{folder}/{name}"
+    return system.open_output_stream(f"{path}/{name}", compression=None), f"{folder}/{name}"

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +30,7 @@ PATTERNS = (r"\byou(?:'re| are)? (?:such |all )?(?:an? )?(?:" + "|".join(PERSONS
 #: Learned word lists, and learned lists of word beginnings of so many letters.
 LISTS, BEGINNINGS = 4, (4, 5, 6)
 #: Most labelled documents of a class that lists are learned from, and documents with and without a vote that the classifier is fitted on.
-LABELLED, FITTED = 3000, 3000
+LABELLED, FITTED = 2000, 2000
 #: Most features of the classifier.
 FEATURES = 6000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¿¡…—–"
@@ -72,7 +72,7 @@ class Voters:
     patterns: list[re.Pattern] = field(default_factory=lambda: [re.compile(p) for p in PATTERNS])
 
     @classmethod
-    def learned(cls, sample: list[tuple[set[str], int]]) -> Voters:
+    def learned(cls, sample: list[tuple[Iterable[str], int]]) -> Voters:
         """The fixed lists, and lists of the features that tell toxic from clean documents in the sample, dealt by hash."""
         counts, n = (Counter(), Counter()), [0, 0]
         for features, label in sample:
@@ -146,7 +146,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in self.weights.keys() & features), -30, 30)))
 
     @classmethod
-    def fitted(cls, sample: list[tuple[set[str], float, float]], rounds: int = 300) -> Linear:
+    def fitted(cls, sample: list[tuple[Iterable[str], float, float]], rounds: int = 300) -> Linear:
         """Logistic regression on (features, probability of class 1, weight): features that tell the classes apart, an L2 penalty."""
         if not sample:
             return cls({}, -3.0)
@@ -184,7 +184,7 @@ def apart(sample: list[tuple]) -> list[tuple]:
     return [*seen.values()]
 
 
-def _sample(rows: DataFrame, last: str) -> list[tuple[set[str], float]]:
+def _sample(rows: DataFrame, last: str) -> list[tuple[tuple[str, ...], float]]:
     """(features, value of the column `last`) of a bounded number of rows; distinct words are found in the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,12 @@ def _sample(rows: DataFrame, last: str) -> list[tuple[set[str], float]]:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(words_of(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string())), batch.column(1)], ["words", "value"])
 
     table = rows.select("text", F.col(last).cast("double").alias("value")).mapInArrow(run, "words array<string>, value double").toArrow()
-    return [(features_of(set(w)), v) for w, v in zip(table.column("words").to_pylist(), table.column("value").to_pylist())]
+    same: dict[str, str] = {}  # one object for each feature
+    out = []
+    for batch in table.to_batches(max_chunksize=128):
+        for words, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out.append((tuple(same.setdefault(f, f) for f in features_of(set(words))), value))
+    return out
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, threshold: float = 0.7, labelled: int = LABELLED, fitted: int = FITTED) -> DataFrame:
@@ -219,6 +224,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, t
     known: Counter = Counter()
     for features, label in sample:
         known[sum(1 << j for j, own in enumerate(voters.lists) if not own.isdisjoint(features)), label] += 1
+    del sample
     patterns = sorted(counts.keys() | {p for p, _ in known})
     bits = np.array([[p >> j & 1 for j in range(len(voters))] for p in patterns], float).reshape(-1, len(voters))
     model = LabelModel.fitted(bits, np.array([counts.get(p, 0) for p in patterns], float), np.array([[known[p, y] for y in (0, 1)] for p in patterns], float).reshape(-1, 2))

@@ -232,7 +232,9 @@ class WarcReader(DataSourceReader):
                 data.next(size)
             yield tuple(row[c] for c in self.columns)
 
-    def read(self, partition: WarcFile) -> Iterator[tuple]:
+    def read(self, partition: WarcFile | None) -> Iterator[tuple]:
+        if partition is None:  # no archive
+            return
         system, path = opened(partition.uri)
         with system.open_input_file(path) as file:
             yield from self.records(file)

@@ -20,6 +20,8 @@ BLOCK = 1 << 16
 TILE = 32768
 #: Fixed odd numbers that derive further 64-bit words of a fingerprint from one hash.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Least hashes of a text under which it meets others: texts with shingle similarity s share none with probability (1 - s) ** KEYS.
+KEYS = 12
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -54,19 +56,31 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64) if len(hashes) else np.zeros(words, np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id long, fp binary, shingles long) of each row: 8 * words bytes, little-endian words."""
+def least_hashes(hashes: np.ndarray, keys: int) -> np.ndarray:
+    """The least of the hashes in each of `keys` orders; zeros without hashes."""
+    odd = np.array([xxhash.xxh64_intdigest(bytes([k]), 42) | 1 for k in range(keys)], np.uint64)
+    least = np.full(keys, np.iinfo(np.uint64).max) if len(hashes) else np.zeros(keys, np.uint64)
+    for at in range(0, len(hashes), BLOCK):
+        block = hashes[at : at + BLOCK] ^ (hashes[at : at + BLOCK] >> np.uint64(32))
+        for k in range(keys):
+            least[k] = min(least[k], (block * odd[k]).min())
+    return least
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keys: int = 0) -> DataFrame:
+    """(doc_id long, fp binary, shingles long, keys array of binary) of each row: fp has 8 * words bytes, little-endian words, keys the least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            prints, sizes = [], []
+            prints, sizes, least = [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, shingle)
                 prints.append(fingerprint(hashes, words).tobytes())
                 sizes.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "shingles"])
+                least.append([k.tobytes() for k in least_hashes(hashes, keys)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.binary()))], ["doc_id", "fp", "shingles", "keys"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, fp binary, shingles long")
+    return documents(docs).mapInArrow(run, "doc_id long, fp binary, shingles long, keys array<binary>")
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -122,10 +136,10 @@ def forest(prints: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.
 def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.0, tile: int = TILE) -> DataFrame:
     """(a long, b long): edges between ids of prints that span the components of all links.
 
-    prints: (id long, fp binary of 8 * words bytes, size long), each fp once. Two link if `radius` or fewer bits differ, and
+    prints: (id long, fp binary of 8 * words bytes, size long), each fp once, or (.., bucket binary), each fp once in a bucket. Two link if `radius` or fewer bits differ, and
     where ratio is above 0 if the smaller size is at least that share of the larger.
 
-    Rows meet in buckets. With a radius below 4 and 64 bits, of any two linked prints 4 - radius of the four
+    Rows meet in buckets, the given ones where there is such a column. Else, with a radius below 4 and 64 bits, of any two linked prints 4 - radius of the four
     16-bit bands are equal, so a bucket is a choice of bands and their values: each link falls in one at least.
     Otherwise there is one bucket of all rows. A bucket of over `tile` rows is cut into tiles by class of bit
     count, radius + 1 wide, and a salt; a pair of tiles is compared, in a task of its own, only if the classes
@@ -135,8 +149,11 @@ def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.
     ones = F.lit(0)
     for at in range(1, 8 * words, 4):
         ones = ones + F.bit_count(F.conv(F.hex(F.substring("fp", at, 4)), 16, 10).cast("long"))
-    rows = prints.select("id", "fp", "size", F.floor(ones / (radius + 1)).cast("int").alias("ones"))
-    if words == 1 and radius < 4:
+    given = ["bucket"] if "bucket" in prints.columns else []
+    rows = prints.select("id", "fp", "size", *given, F.floor(ones / (radius + 1)).cast("int").alias("ones"))
+    if given:
+        pass
+    elif words == 1 and radius < 4:
         choices = list(itertools.combinations(range(4), 4 - radius))
         keys = [F.concat(F.lit(bytes([k])), *(F.substring("fp", 2 * band + 1, 2) for band in choice)) for k, choice in enumerate(choices)]
         rows = rows.withColumn("bucket", F.explode(F.array(*keys)))
@@ -194,7 +211,7 @@ def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.
     return one.unionByName(many)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, ratio: float = 0.0, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, ratio: float = 0.0, tile: int = TILE, keys: int = 0) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (hex of the fingerprint's words), component_id.
 
     Texts are lower-cased A-Z and cut at ASCII white space; a null or blank text has fingerprint zero and links
@@ -202,12 +219,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: i
     says. component_id is the smallest doc_id that links reach, the row's own included; null ids do not count
     unless all are null. Repeated rows and ids are rows like others. Other columns are not read.
 
-    Equal fingerprints are one node of the graph, so copies add no links.
+    With keys above 0 only texts that share one of as many least hashes are compared, so the work grows with the
+    documents, not with their square; with 0 all that can link are. Equal fingerprints are one node of the graph,
+    so copies add no links.
     """
-    prints = written(fingerprints(docs, shingle, words), "prints")
+    prints = written(fingerprints(docs, shingle, words, keys), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("shingles").alias("size")).withColumn("id", F.xxhash64("fp"))
     nodes = written(nodes, "nodes")
-    roots = connected_components(near_links(nodes.select("id", "fp", "size"), radius, words, ratio, tile))
+    met = nodes.select("id", "fp", "size")
+    if keys:
+        met = written(prints.select("fp", "shingles", F.explode("keys").alias("bucket")).groupBy("fp", "bucket").agg(F.max("shingles").alias("size")).withColumn("id", F.xxhash64("fp")), "met")
+    roots = connected_components(near_links(met, radius, words, ratio, tile))
     linked = nodes.join(roots, nodes["id"] == roots["node"]).select("fp", "least", "root")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(smallest, "root").select("fp", "component_id")
@@ -221,13 +243,14 @@ def _shown(words: int) -> F.Column:
     return F.lower(F.concat(*(F.hex(byte(8 * w + 8 - k)) for w in range(words) for k in range(8))))
 
 
-def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 46, words: int = 4, ratio: float = 0.75) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 46, words: int = 4, ratio: float = 0.75, keys: int = KEYS) -> DataFrame:
     """docs without the rows of a group whose doc_id is not its smallest, all columns.
 
     The defaults link texts of similar length whose 256-bit fingerprints over five-word shingles differ in 46
-    bits or fewer: shingle sets with a similarity of 0.8 differ in 39 +- 6 bits, unrelated ones in 128 +- 8. Rows
+    bits or fewer: shingle sets with a similarity of 0.8 differ in 39 +- 6 bits, unrelated ones in 128 +- 8. Those
+    that share none of the 12 least hashes are not compared: 4 in a billion of pairs with similarity 0.8. Rows
     without words stay: there is nothing in them to compare.
     """
-    found = near_duplicates(docs, shingle, radius, words, ratio)
+    found = near_duplicates(docs, shingle, radius, words, ratio, keys=keys)
     gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & ~F.col("fingerprint").rlike("^0+$")).select(F.col("doc_id").alias("_id")).distinct(), "near")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")

@@ -88,7 +88,9 @@ def test_simhash(docs, none):
     expected = sorted(map(str, [(rows[i][0], f"{prints[i]:016x}", least[root[i]]) for i in range(len(rows))]))
     for tile in (simhash.TILE, 2):
         assert sorted(map(str, map(tuple, simhash.near_duplicates(docs, tile=tile).collect()))) == expected
+        assert sorted(map(str, map(tuple, simhash.near_duplicates(docs, tile=tile, keys=64).collect()))) == sorted(map(str, map(tuple, simhash.near_duplicates(docs, radius=2, keys=0).collect())))
     assert simhash.near_duplicates(none).count() == 0
+    assert simhash.near_duplicates(none, keys=4).count() == 0
     assert simhash.without_near_duplicates(docs).columns == docs.columns
 
 

@@ -95,3 +95,53 @@ def template_signature(seller: Column, headers: Column) -> Column:
     """The key of a form's template; null without a seller or without headers."""
     name = normalize_name(seller)
     return F.when((name != "") & (F.size(headers) > 0), F.substring(F.sha2(F.concat(name, F.lit("||"), F.array_join(headers, "|")), 256), 1, 16))
+
+
+def sort_sizes(sizes: Column) -> Column:
+    """Numbers in ascending order, then other sizes by text."""
+    keyed = F.transform(sizes, lambda s: F.struct((~s.rlike("^[0-9]+$")).alias("text"), s.try_cast("long").alias("n"), s.alias("size")))
+    return F.transform(F.array_sort(keyed), lambda k: k["size"])
+
+
+def page_headers(printed: Column, used: Column) -> Column:
+    """The printed headers in their order, then sizes used but not printed, sorted."""
+    return F.concat(printed, sort_sizes(F.array_except(used, printed)))
+
+
+def _pairs(text: Column, value: str) -> Column:
+    found = lambda n: F.regexp_extract_all(text, F.lit(r"([0-9]+)\s*:\s*(" + value + ")"), n)
+    return F.zip_with(found(1), found(2), lambda s, q: F.struct(s.alias("size"), q.try_cast("int").alias("qty")))
+
+
+def parse_row_text(text: Column) -> Column:
+    """item_seen, first_size, last_size, quantities (size, qty) and total of a reading with lines 'Item seen:', 'Quantities:' and 'Total:'; blank where a line lacks."""
+    line = lambda head: F.trim(F.regexp_extract(text, r"(?im)^\s*" + head + r":[ \t]*(.*)$", 1))
+    pairs = _pairs(line("quantities"), "[0-9]+")
+    end = lambda at: F.coalesce(F.try_element_at(pairs, F.lit(at))["size"], F.lit(""))
+    return F.struct(line("item seen").alias("item_seen"), end(1).alias("first_size"), end(-1).alias("last_size"), pairs.alias("quantities"), line("total").alias("total"))
+
+
+def parse_pairs_line(text: Column, headers: Column) -> Column:
+    """(size, qty) of a line of size:quantity pairs, or, without any, of as many words as headers, by position. Other than whole numbers above 0 go; of a repeated size the last stays."""
+    pairs = _pairs(text, r"[A-Za-z0-9\-]+")
+    words = F.filter(F.split(F.trim(text), r"[\s,]+"), lambda w: w != "")
+    placed = F.zip_with(headers, words, lambda s, q: F.struct(s.alias("size"), q.try_cast("int").alias("qty")))
+    all_ = F.when(F.size(pairs) > 0, pairs).when(F.size(words) == F.size(headers), placed).otherwise(F.slice(placed, 1, 0))
+    good = F.filter(all_, lambda p: p["qty"] > 0)
+    return F.filter(good, lambda p, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda q: q["size"] == p["size"]))
+
+
+def strip_markup(text: Column) -> Column:
+    """A piece of markup as text: breaks are spaces, tags go, four entities are read, spaces are run together; a placeholder in brackets is nothing."""
+    flat = F.regexp_replace(F.regexp_replace(text, r"(?i)<br[ \t\r\n]*/?>", " "), "<[^>]*>", "")
+    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")):
+        flat = F.replace(flat, F.lit(entity), F.lit(char))
+    flat = F.trim(F.regexp_replace(flat, r"[ \t\r\n]+", " "))
+    return F.when(flat.rlike(r"^\[.*\]$"), "").otherwise(flat)
+
+
+def parse_cell(header: Column, text: Column) -> Column:
+    """(size, qty) of a cell: one number under its header, or two, of which the first names the size; null for anything else."""
+    two = text.rlike(r"^\s*[0-9]+\s+[0-9]+\s*$")
+    size, qty = F.when(two, F.regexp_extract(text, "([0-9]+)", 1)).otherwise(header), F.regexp_extract(text, r"([0-9]+)\s*$", 1)
+    return F.when(two | text.rlike(r"^\s*[0-9]+\s*$"), F.struct(size.alias("size"), qty.try_cast("int").alias("qty")))

@@ -5,7 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import product_codes
+from tallyloom.functions.text import product_codes, sort_sizes
+
+#: What a letter size is as a number, for adults and for children.
+ADULT_SIZES = {"XS": 75, "S": 80, "M": 85, "L": 90, "XL": 95, "XXL": 100, "2XL": 100, "3XL": 105, "4XL": 110}
+CHILD_SIZES = {"0": 25, "XS": 30, "S": 35, "M": 40, "L": 45, "XL": 50, "XXL": 55, "2XL": 55}
+
+
+def resolve_letter_size(letter: F.Column, sizes: F.Column) -> F.Column:
+    """The number of a letter size that a product's sizes (array of int) have; null without one, or with one of each table."""
+    def hit(table: dict[str, int]) -> F.Column:
+        number = F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.upper(F.trim(letter)))
+        return F.when(F.array_contains(sizes, number), number)
+
+    adult, child = hit(ADULT_SIZES), hit(CHILD_SIZES)
+    return F.when(adult.isNull() | child.isNull() | (adult == child), F.coalesce(adult, child))
+
+
+def binding_result(rows: DataFrame) -> DataFrame:
+    """rows (sizes, product_sizes: arrays of string) with size_mismatch, the ordered sizes that the product lacks, and auto_bound, whether there is none."""
+    return rows.withColumn("size_mismatch", sort_sizes(F.array_except("sizes", "product_sizes"))).withColumn("auto_bound", F.size("size_mismatch") == 0)
+
+
+def fill_or_check_style(rows: DataFrame) -> DataFrame:
+    """Trusted rows (kind, styles, trusted): a blank kind becomes the only style; style_mismatch has the styles where the kind is none of them."""
+    blank = F.trim(F.coalesce("kind", F.lit(""))) == ""
+    only = F.col("trusted") & blank & (F.size("styles") == 1)
+    other = F.col("trusted") & ~blank & (F.size("styles") > 0) & ~F.array_contains("styles", F.col("kind"))
+    return rows.withColumns({"style_mismatch": F.when(other, F.col("styles")), "kind": F.when(only, F.get("styles", 0)).otherwise(F.col("kind"))})
+
+
+def sizes_outside_catalog(sizes: F.Column, catalog_sizes: F.Column) -> F.Column:
+    """The numeric sizes that a product with sizes does not have."""
+    return F.when(F.size(catalog_sizes) > 0, sort_sizes(F.array_except(F.filter(sizes, lambda s: s.rlike("^[0-9]+$")), catalog_sizes)))
 
 
 def code_candidates(items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -27,11 +59,23 @@ def match_trust(matches: DataFrame) -> DataFrame:
     return matches.withColumn("trusted", F.col("score") >= floor).withColumn("shown", (F.col("score") >= 70) | only)
 
 
+def _fits(offset: F.Column) -> F.Column:
+    """Whether every size is a header that the offset moves to one the catalog has."""
+    places = F.transform("sizes", lambda s: F.array_position("headers", s).cast("int"))
+    there = lambda p: F.try_element_at(F.col("headers"), F.when(p + offset > 0, p + offset).otherwise(F.size("headers") + 1))
+    return F.coalesce(F.forall(places, lambda p: (p > 0) & F.coalesce(F.array_contains("catalog_sizes", there(p)), F.lit(False))), F.lit(False))
+
+
+def detect_column_shift(rows: DataFrame) -> DataFrame:
+    """rows as in shift_offsets with offset: the first of 1, -1, 2, -2 that moves every size to a header the catalog has; null where the sizes are the catalog's already."""
+    valid = F.size(F.array_except("sizes", "catalog_sizes")) == 0
+    found = F.coalesce(*(F.when(_fits(F.lit(o)), o) for o in (1, -1, 2, -2)))
+    return rows.withColumn("offset", F.when((F.size("sizes") > 0) & ~valid, found))
+
+
 def shift_offsets(rows: DataFrame, offsets: tuple[int, ...] = (-2, -1, 0, 1, 2)) -> DataFrame:
     """rows (form_id, row_idx, sizes, headers, catalog_sizes: arrays of int) with offset: the only one that moves every size to a header the catalog has; else null."""
-    places = F.transform("sizes", lambda s: F.array_position("headers", s).cast("int"))
-    fits = lambda o: F.forall(places, lambda p: (p > 0) & (p + o > 0) & (p + o <= F.size("headers")) & F.array_contains("catalog_sizes", F.try_element_at(F.col("headers"), F.when(p + o > 0, p + o).otherwise(F.size("headers") + 1))))
-    good = F.filter(F.array(*map(F.lit, offsets)), lambda o: F.coalesce(fits(o), F.lit(False)))
+    good = F.filter(F.array(*map(F.lit, offsets)), _fits)
     return rows.withColumn("_good", F.when(F.size("sizes") > 0, good)).withColumn("offset", F.when(F.size("_good") == 1, F.col("_good")[0])).drop("_good")
 
 

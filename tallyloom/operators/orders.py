@@ -56,17 +56,43 @@ def skip_submitted(headers: DataFrame, submitted: DataFrame) -> DataFrame:
     return headers.join(submitted.select("session_id").distinct(), "session_id", "left_anti")
 
 
-def allocate_order_no(headers: DataFrame, last: int = 0) -> DataFrame:
-    """order_no: consecutive from last + 1 on, by (submitted_at, session_id).
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with _n, their place from 1 on in an order, and _all, how many there are.
 
-    Headers are ranged by that order and numbered within their range; the ranges' counts, a row each, give the offsets.
+    Rows are ranged by that order and numbered within their range; the ranges' counts, a row each, give the offsets.
     """
-    ranged = headers.repartitionByRange("submitted_at", "session_id").withColumn("_range", F.spark_partition_id())
-    within = Window.partitionBy("_range").orderBy("submitted_at", "session_id")
-    numbered = ranged.withColumn("_n", F.row_number().over(within))
-    counts = numbered.groupBy("_range").agg(F.count("*").alias("_c"))
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
-    return numbered.join(offsets, "_range").withColumn("order_no", F.lit(last) + F.col("_before") + F.col("_n")).drop("_range", "_n", "_before")
+    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    placed = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_c"))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = counts.select("_range", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    return placed.join(offsets, "_range").withColumn("_n", F.col("_before") + F.col("_n")).drop("_range", "_before")
+
+
+def allocate_order_no(headers: DataFrame, last: int = 0) -> DataFrame:
+    """order_no: consecutive from last + 1 on, by (submitted_at, session_id)."""
+    return numbered(headers, "submitted_at", "session_id").withColumn("order_no", F.lit(last) + F.col("_n")).drop("_n", "_all")
+
+
+def build_submission(cells: DataFrame) -> DataFrame:
+    """Cells above 0 (session_id, page, row_idx, size, qty) with pos, the place of their row in the order, by page and row; rows without any go."""
+    order = Window.partitionBy("session_id").orderBy("page", "row_idx")
+    return cells.where("qty > 0").withColumn("pos", F.dense_rank().over(order))
+
+
+def header_problems(headers: DataFrame) -> DataFrame:
+    """headers (session_id, head_id, user_id, pieces) with problems, an array of what is missing."""
+    missing = F.array(F.when(F.col("head_id").isNull(), "buyer"), F.when(F.col("user_id").isNull(), "operator"), F.when(F.coalesce("pieces", F.lit(0)) <= 0, "quantities"))
+    return headers.withColumn("problems", F.array_compact(missing))
+
+
+def header_defaults(headers: DataFrame, today: F.Column) -> DataFrame:
+    """Headers as they are stored: reference cut at 20 characters, dates, company, user and source with their defaults."""
+    order_dt = F.coalesce("order_dt", today)
+    return headers.withColumns({
+        "ref_no": F.substring(F.trim(F.coalesce("ref_no", F.lit(""))), 1, 20), "ref_dt": F.coalesce(F.col("ref_dt"), order_dt), "order_dt": order_dt,
+        "company_id": F.coalesce("company_id", F.lit(1)), "user_id": F.coalesce("user_id", F.lit(0)), "order_source": F.substring(F.coalesce(F.nullif(F.trim("order_source"), F.lit("")), F.lit("Local")), 1, 50),
+    })
 
 
 def order_summary(master: DataFrame, details: DataFrame, buyers: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How severe a flag's status is.
@@ -55,3 +55,36 @@ def compare_readings(first: DataFrame, second: DataFrame) -> DataFrame:
     joined = first.select("form_id", "row_idx", "size", F.col("qty").alias("a")).join(second.select("form_id", "row_idx", "size", F.col("qty").alias("b")), ["form_id", "row_idx", "size"], "full")
     rows = joined.groupBy("form_id", "row_idx").agg(F.min(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
     return rows.groupBy("form_id").agg(F.count("*").alias("rows"), F.count_if("same").alias("agree"))
+
+
+def override_flags(hybrid: DataFrame, recount: DataFrame) -> DataFrame:
+    """One status for each row (form_id, row_idx, status): the recount's, unless it has none, or says no more than ok or no_recount."""
+    key = ["form_id", "row_idx"]
+    joined = hybrid.select(*key, "status").join(recount.select(*key, F.col("status").alias("_r")), key, "full")
+    return joined.select(*key, F.when(F.coalesce("_r", F.lit("ok")).isin("ok", "no_recount"), F.coalesce("status", "_r")).otherwise(F.col("_r")).alias("status"))
+
+
+def display_flags(flags: DataFrame) -> DataFrame:
+    return flags.where(~F.coalesce("status", F.lit("ok")).isin("ok", "no_recount"))
+
+
+def struck_out_conflict(rows: DataFrame) -> DataFrame:
+    """Struck rows (form_id, row_idx, struck_out, marks): those with marks are unresolved, the marks kept."""
+    return rows.where(F.col("struck_out") & (F.col("marks") > 0)).select("form_id", "row_idx", F.lit("unresolved").alias("status"))
+
+
+def drift_trend(anchors: DataFrame) -> DataFrame:
+    """Per form the line of catalog-confirmed offsets by place on the page (form_id, y, offset); null under three anchors or a spread below 0.08."""
+    fit = anchors.groupBy("form_id").agg(F.count("*").alias("anchors"), (F.max("y") - F.min("y")).alias("_spread"), F.regr_slope("offset", "y").alias("_a"), F.regr_intercept("offset", "y").alias("_b"))
+    enough = (F.col("anchors") >= 3) & (F.col("_spread") >= 0.08)
+    return fit.select("form_id", "anchors", F.when(enough, F.col("_a")).alias("slope"), F.when(enough, F.col("_b")).alias("intercept"))
+
+
+def row_fracs_valid(rows: DataFrame) -> DataFrame:
+    """Per form (form_id, row_idx, top, bottom, table_bottom): whether its rows are at least 0.008 high, on the page, in order and within the table."""
+    order = Window.partitionBy("form_id").orderBy("row_idx")
+    placed = rows.withColumn("_above", F.lag("bottom").over(order)).withColumn("_last", F.lead("row_idx").over(order).isNull())
+    good = (F.col("top") >= 0) & (F.col("top") < F.col("bottom")) & (F.col("bottom") <= 1) & (F.col("bottom") - F.col("top") >= 0.008)
+    good &= F.col("_above").isNull() | (F.col("top") >= F.col("_above") - 0.01)
+    good &= ~F.col("_last") | (F.col("bottom") <= F.col("table_bottom") + 0.02)
+    return placed.groupBy("form_id").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("valid"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.fuzzy import ratio
+
 
 def template_seen(forms: DataFrame) -> DataFrame:
     return forms.where("signature is not null").groupBy("signature").agg(F.count("*").alias("occurrences"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"))
@@ -32,3 +34,38 @@ def preferred_backend(rates: DataFrame) -> DataFrame:
     order = Window.partitionBy("signature").orderBy("rate", "backend")
     ranked = used.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead("rate").over(order))
     return ranked.where("_n = 1 and _next > rate").select("signature", "backend", "rate")
+
+
+def detect_shift_offset(rows: DataFrame) -> DataFrame:
+    """rows (raw, submitted: arrays of (size, qty), headers) with offset: the only one of -3 to 3 but 0 that turns raw into submitted; else null. Off the edge cells go, sizes that are no header stay."""
+    def moved(offset: F.Column) -> F.Column:
+        def cell(c: F.Column) -> F.Column:
+            at = F.array_position("headers", c["size"]).cast("int")
+            there = F.when(at + offset > 0, F.try_element_at(F.col("headers"), F.greatest(at + offset, F.lit(1))))
+            return F.struct(F.when(at == 0, c["size"]).otherwise(there).alias("size"), c["qty"].alias("qty"))
+
+        return F.array_sort(F.filter(F.transform("raw", cell), lambda c: c["size"].isNotNull()))
+
+    good = F.filter(F.array(*map(F.lit, (-3, -2, -1, 1, 2, 3))), lambda o: moved(o) == F.array_sort("submitted"))
+    return rows.withColumn("_good", good).withColumn("offset", F.when(F.size("_good") == 1, F.get("_good", 0))).drop("_good")
+
+
+def correction_rate(pages: DataFrame) -> DataFrame:
+    """Per signature and backend: pages used, and the mean share of their rows with something in them (rows) that were corrected."""
+    return pages.where("rows > 0").groupBy("signature", "backend").agg(F.count("*").alias("uses"), F.avg(F.col("corrected") / F.col("rows")).alias("rate"))
+
+
+def count_applied(fired: DataFrame) -> DataFrame:
+    """How many forms each rule fired on, however many rows of them. Forms are made distinct first, so a hot rule is many keys."""
+    return fired.select("signature", "kind", "trigger", "form_id").distinct().groupBy("signature", "kind", "trigger").agg(F.count("*").alias("times_applied"))
+
+
+def apply_rules(rows: DataFrame, rules: DataFrame, least: float = 92.0) -> DataFrame:
+    """rows (.., signature, item) with item replaced by what the rule of its template with the nearest trigger says, from a ratio of `least` on, and fired: that trigger. Ties: the first trigger by text.
+
+    Each distinct name of a template is scored once, against the rules of that template only.
+    """
+    names = rows.select("signature", "item").distinct()
+    scored = names.join(rules.select("signature", "trigger", "corrected"), "signature").withColumn("score", ratio("item", "trigger")).where(F.col("score") >= least)
+    best = scored.groupBy("signature", "item").agg(F.min(F.struct(-F.col("score"), "trigger", "corrected")).alias("b")).select("signature", "item", F.col("b.trigger").alias("fired"), F.col("b.corrected").alias("_corrected"))
+    return rows.join(best, ["signature", "item"], "left").withColumn("item", F.coalesce("_corrected", "item")).drop("_corrected")

@@ -266,3 +266,7 @@ def fold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preferred_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("signature"), F.col("o_orderstatus").alias("backend")).agg(F.count("*").alias("uses"), F.avg("o_totalprice").alias("rate"))
     return templates.preferred_backend(rates).withColumn("rate", F.round("rate", 4))
+
+
+# the rest registers itself
+from tallyloom.plans import review_queries  # noqa: E402, F401

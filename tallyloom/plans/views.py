@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SQL = {
     "catalog": "SELECT p_partkey % 997 AS bid, upper(p_name) || ' ' || CAST(100 + p_partkey % 40 AS VARCHAR(9)) AS bname, p_type AS bstyle, p_size * 5 AS bsize, p_partkey AS detid, upper(p_name) || '/' || CAST(100 + p_partkey % 40 AS VARCHAR(9)) || '/' || p_type AS bsid, CASE WHEN p_partkey % 10 <> 0 THEN 1 ELSE 0 END AS isprimary, CASE WHEN p_partkey % 13 = 0 THEN 1 ELSE 0 END AS isunused FROM part",
     "buyers": "SELECT c_custkey AS head_id, c_name AS name, n_name AS city, CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS is_active FROM customer JOIN nation ON c_nationkey = n_nationkey",
-    "form_rows": "SELECT l_orderkey AS form_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS row_idx, l_partkey, l_suppkey, CAST(l_quantity AS INT) AS qty, l_returnflag, l_linestatus, CAST(l_extendedprice AS BIGINT) AS price FROM lineitem",
+    "form_rows": "SELECT l_orderkey AS form_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS row_idx, l_partkey, l_suppkey, CAST(l_quantity AS INT) AS qty, l_returnflag, l_linestatus, CAST(floor(l_extendedprice) AS BIGINT) AS price FROM lineitem",
     "cells": "SELECT form_id, row_idx, CAST(p_size * 5 AS VARCHAR(9)) AS size, qty, p_partkey, p_name, p_type, l_returnflag, l_linestatus FROM form_rows JOIN part ON l_partkey = p_partkey",
     "forms": "SELECT o_orderkey AS form_id, o_custkey AS session_id, c_name AS party_name, o_orderdate, o_orderstatus, o_orderpriority, CAST(o_orderkey % 5 AS INT) AS page FROM orders JOIN customer ON o_custkey = c_custkey",
 }

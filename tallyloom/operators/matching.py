@@ -35,6 +35,18 @@ def fill_or_check_style(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"style_mismatch": F.when(other, F.col("styles")), "kind": F.when(only, F.get("styles", 0)).otherwise(F.col("kind"))})
 
 
+def vocabulary(catalog: DataFrame) -> DataFrame:
+    """(kind, value): the distinct styles and sizes of a catalog that are not blank."""
+    pairs = catalog.select(F.explode(F.array(F.struct(F.lit("style").alias("kind"), F.trim("bstyle").alias("value")), F.struct(F.lit("size").alias("kind"), F.col("bsize").cast("string").alias("value")))).alias("p"))
+    return pairs.select("p.kind", "p.value").where("value <> ''").distinct()
+
+
+def products_named(items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Each item with the products of that name, whatever its case."""
+    key = F.lower(F.trim("item"))
+    return items.withColumn("_key", key).join(catalog.withColumn("_key", F.lower(F.trim("bname"))), "_key").drop("_key")
+
+
 def sizes_outside_catalog(sizes: F.Column, catalog_sizes: F.Column) -> F.Column:
     """The numeric sizes that a product with sizes does not have."""
     return F.when(F.size(catalog_sizes) > 0, sort_sizes(F.array_except(F.filter(sizes, lambda s: s.rlike("^[0-9]+$")), catalog_sizes)))

@@ -64,6 +64,20 @@ def override_flags(hybrid: DataFrame, recount: DataFrame) -> DataFrame:
     return joined.select(*key, F.when(F.coalesce("_r", F.lit("ok")).isin("ok", "no_recount"), F.coalesce("status", "_r")).otherwise(F.col("_r")).alias("status"))
 
 
+def catalog_flags(rows: DataFrame) -> DataFrame:
+    """Rows (form_id, row_idx, offset, sizes, outside) whose column seems shifted: resolved, on their sizes; else those with sizes that the catalog lacks: unverified, on these."""
+    shifted = F.col("offset").isNotNull()
+    flagged = rows.where(shifted | (F.size("outside") > 0))
+    return flagged.select("form_id", "row_idx", F.when(shifted, "resolved").otherwise("unverified").alias("status"), F.when(shifted, F.col("sizes")).otherwise(F.col("outside")).alias("sizes"))
+
+
+def flag_failed_rows(errors: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows (form_id, row_idx, error) that could not be read a second time: unverified, on the sizes of the first reading."""
+    failed = errors.where("error is not null").select("form_id", "row_idx").distinct()
+    sizes = cells.join(failed, ["form_id", "row_idx"], "left_semi").groupBy("form_id", "row_idx").agg(F.array_sort(F.collect_set("size")).alias("sizes"))
+    return failed.join(sizes, ["form_id", "row_idx"], "left").select("form_id", "row_idx", F.lit("unverified").alias("status"), F.coalesce("sizes", F.array().cast("array<string>")).alias("sizes"))
+
+
 def display_flags(flags: DataFrame) -> DataFrame:
     return flags.where(~F.coalesce("status", F.lit("ok")).isin("ok", "no_recount"))
 

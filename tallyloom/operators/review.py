@@ -31,6 +31,33 @@ def session_status(pages: DataFrame) -> DataFrame:
     return pages.groupBy("session_id").agg(status.alias("status"))
 
 
+def lookup_counts(**tables: DataFrame) -> DataFrame:
+    """(name, n): how many rows each table has."""
+    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in tables.items()]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def page_notes(notes: DataFrame, flags: DataFrame) -> DataFrame:
+    """Notes (form_id, note) that are not the note of a flag of a row of the form."""
+    return notes.join(flags.select("form_id", "note"), ["form_id", "note"], "left_anti")
+
+
+def total_vs_printed(cells: DataFrame, printed: DataFrame) -> DataFrame:
+    """Rows with their sum, the printed total and whether they differ; without a printed total they do not."""
+    key = ["form_id", "row_idx"]
+    sums = cells.groupBy(*key).agg(F.sum("qty").alias("sum")).join(printed.select(*key, "total"), key, "left")
+    return sums.withColumn("differs", F.coalesce(F.col("sum") != F.col("total"), F.lit(False)))
+
+
+def drop_summary_rows(rows: DataFrame) -> DataFrame:
+    """rows (label, cells: array) without those that have no cell and are blank or a total by their label."""
+    label = F.upper(F.trim(F.coalesce("label", F.lit(""))))
+    return rows.where(~((F.size("cells") == 0) & label.isin("", "TOTAL", "TOTALS", "GRAND TOTAL")))
+
+
 def zero_value_forms(cells: DataFrame) -> DataFrame:
     """Forms with cells that sum to 0, to be read again."""
     return cells.groupBy("form_id").agg(F.sum("qty").alias("_q"), F.count("*").alias("cells")).where("_q = 0").drop("_q")

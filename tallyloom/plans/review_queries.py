@@ -259,3 +259,60 @@ def apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = view(spark, sf_dir, "cells").select("form_id", "row_idx", (F.col("form_id") % 50).alias("signature"), F.concat("p_name", F.lit("s")).alias("item"))
     rules = _part(spark, sf_dir).where("p_partkey % 3 = 0").select((_k() % 50).alias("signature"), F.col("p_name").alias("trigger"), F.upper("p_name").alias("corrected")).distinct()
     return templates.apply_rules(cells, rules)
+
+
+# further checks
+
+@query(with_views("catalog", "buyers") + "SELECT 'products' AS name, count(*) AS n FROM (SELECT DISTINCT bsid, bsize FROM catalog) UNION ALL SELECT 'buyers', count(*) FROM buyers WHERE is_active = 0")
+def lookup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.lookup_counts(products=orders.product_groups(view(spark, sf_dir, "catalog")), buyers=view(spark, sf_dir, "buyers").where("is_active = 0"))
+
+
+@query(with_views("form_rows", "cells", more="n AS (SELECT DISTINCT form_id, 'note ' || qty % 10 AS note FROM cells), f AS (SELECT form_id, 'note ' || qty % 10 AS note FROM cells WHERE row_idx % 2 = 0)") + "SELECT form_id, note FROM n WHERE (form_id, note) NOT IN (SELECT (form_id, note) FROM f)")
+def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = _cells(spark, sf_dir).select("form_id", "row_idx", F.concat(F.lit("note "), (F.col("qty") % 10).cast("string")).alias("note"))
+    return review.page_notes(notes.select("form_id", "note").distinct(), notes.where("row_idx % 2 = 0"))
+
+
+@query(with_views("form_rows", "cells") + "SELECT form_id, row_idx, CAST(qty AS BIGINT) AS sum, CASE WHEN row_idx % 4 > 0 THEN qty + CASE WHEN row_idx % 3 = 0 THEN 1 ELSE 0 END END AS total, row_idx % 4 > 0 AND row_idx % 3 = 0 AS differs FROM cells")
+def total_vs_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir)
+    printed = cells.where("row_idx % 4 > 0").select("form_id", "row_idx", (F.col("qty") + F.when(F.col("row_idx") % 3 == 0, 1).otherwise(0)).alias("total"))
+    return review.total_vs_printed(cells, printed)
+
+
+@query(with_views("form_rows", "cells") + "SELECT form_id, row_idx, CASE WHEN row_idx % 3 = 0 THEN ' Grand total' ELSE p_name END AS label FROM cells WHERE NOT (qty % 2 = 0 AND row_idx % 3 = 0)")
+def drop_summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("row_idx") % 3 == 0, " Grand total").otherwise(F.col("p_name"))
+    rows = view(spark, sf_dir, "cells").select("form_id", "row_idx", label.alias("label"), F.filter(F.array("qty"), lambda q: q % 2 != 0).alias("cells"))
+    return review.drop_summary_rows(rows).select("form_id", "row_idx", "label")
+
+
+@query(with_views("catalog") + "SELECT DISTINCT 'style' AS kind, bstyle AS value FROM catalog UNION ALL SELECT DISTINCT 'size', CAST(bsize AS VARCHAR) FROM catalog")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.vocabulary(view(spark, sf_dir, "catalog"))
+
+
+@query(with_views("catalog") + "SELECT a.detid AS item_id, b.detid FROM catalog a JOIN catalog b ON a.bname = b.bname WHERE a.detid % 2 = 0")
+def products_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = view(spark, sf_dir, "catalog")
+    items = catalog.where("detid % 2 = 0").select(F.col("detid").alias("item_id"), F.concat(F.lit(" "), F.lower("bname")).alias("item"))
+    return matching.products_named(items, catalog.select("bname", "detid")).select("item_id", "detid")
+
+
+@query(with_views("form_rows", "cells") + "SELECT form_id, row_idx, CASE WHEN qty % 3 = 0 THEN 'resolved' ELSE 'unverified' END AS status, CASE WHEN qty % 3 = 0 THEN size ELSE size || '0' END AS sizes FROM cells WHERE qty % 3 = 0 OR qty % 2 = 0")
+def catalog_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("qty")
+    rows = _cells(spark, sf_dir).select("form_id", "row_idx", F.when(q % 3 == 0, 1).alias("offset"), F.array("size").alias("sizes"), F.filter(F.array(F.when(q % 2 == 0, F.concat("size", F.lit("0")))), lambda s: s.isNotNull()).alias("outside"))
+    return reconcile.catalog_flags(rows).withColumn("sizes", F.array_join("sizes", ","))
+
+
+@query(with_views("form_rows", "cells") + "SELECT r.form_id, r.row_idx, 'unverified' AS status, CASE WHEN c.qty % 2 = 0 THEN size ELSE '' END AS sizes FROM form_rows r LEFT JOIN cells c ON r.form_id = c.form_id AND r.row_idx = c.row_idx WHERE r.price % 5 = 0")
+def flag_failed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = view(spark, sf_dir, "form_rows").select("form_id", "row_idx", F.when(F.col("price") % 5 == 0, "timeout").alias("error"))
+    return reconcile.flag_failed_rows(errors, _cells(spark, sf_dir).where("qty % 2 = 0")).withColumn("sizes", F.array_join("sizes", ","))
+
+
+@query(with_views("form_rows", "cells") + "SELECT form_id, row_idx, CASE WHEN row_idx % 5 > 2 THEN 'unresolved' ELSE 'unverified' END AS status FROM cells WHERE row_idx % 5 > 0 AND qty > 0")
+def flag_total_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.flag_total_mismatch(_cells(spark, sf_dir).select("form_id", "row_idx", F.col("qty").alias("sum"), (F.col("qty") + F.col("row_idx") % 5).alias("total")))

@@ -22,6 +22,8 @@ TILE = 32768
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Least hashes of a text under which it meets others: texts with shingle similarity s share none with probability (1 - s) ** KEYS.
 KEYS = 12
+#: Prints of a tile where they come with their sets.
+SETS_TILE = 1024
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -93,10 +95,12 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return distance <= radius
 
 
-def forest(prints: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.ndarray | None, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.ndarray | None, radius: int, ratio: float, sets: list[bytes] | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Edges that span the components of the links between rows `first` and `second`, or among `first`; at most an edge for each row.
 
-    Both are ordered by size; a block of rows meets only those whose sizes are within the ratio.
+    Both are ordered by size; a block of rows meets only those whose sizes are within the ratio. With the rows' sets
+    (64-bit words, sorted) a link counts only if they share `similarity` of their union; what links joined already
+    needs no such check.
     """
     root = np.arange(len(prints))
 
@@ -106,6 +110,23 @@ def forest(prints: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.
             x = root[x]
         return x
 
+    if sets is not None:
+        lengths = np.array([len(x) // 8 for x in sets])
+        ends = np.cumsum(lengths)
+        members = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1]
+        own = [members[e - n : e] for e, n in zip(ends, lengths)]
+        mark = np.zeros(len(members) + 1, np.int64)
+
+    def verified(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
+        for i in np.unique(x).tolist():
+            others = np.array([j for j in y[x == i].tolist() if find(i) != find(j)], np.int64)
+            if not len(others):
+                continue
+            mark[own[i]] = 1
+            shared = np.add.reduceat(mark[np.concatenate([own[j] for j in others])], np.append(0, np.cumsum(lengths[others])[:-1]))
+            mark[own[i]] = 0
+            yield from ((i, j) for j in others[shared >= similarity * (lengths[i] + lengths[others] - shared) - 1e-9].tolist())
+
     left, right = [], []
     other = first if second is None else second
     first, other = first[np.argsort(sizes[first], kind="stable")], other[np.argsort(sizes[other], kind="stable")]
@@ -123,9 +144,9 @@ def forest(prints: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.
                 root[:] = flat
             new = x < y if second is None else x != y
             if ratio:
-                new &= np.minimum(sizes[x], sizes[y]) >= ratio * np.maximum(sizes[x], sizes[y])
+                new &= np.minimum(sizes[x], sizes[y]) >= ratio * np.maximum(sizes[x], sizes[y]) - 1e-9
             new &= root[x] != root[y]  # what is joined already needs no edge
-            for i, j in zip(x[new].tolist(), y[new].tolist()):
+            for i, j in zip(x[new].tolist(), y[new].tolist()) if sets is None else verified(x[new], y[new]):
                 if (a := find(i)) != (b := find(j)):
                     root[max(a, b)] = min(a, b)
                     left.append(i)
@@ -133,11 +154,12 @@ def forest(prints: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.0, tile: int = TILE) -> DataFrame:
+def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.0, tile: int = TILE, similarity: float = 0.0) -> DataFrame:
     """(a long, b long): edges between ids of prints that span the components of all links.
 
     prints: (id long, fp binary of 8 * words bytes, size long), each fp once, or (.., bucket binary), each fp once in a bucket. Two link if `radius` or fewer bits differ, and
-    where ratio is above 0 if the smaller size is at least that share of the larger.
+    where ratio is above 0 if the smaller size is at least that share of the larger. With a column set (binary), two link only
+    if besides their sets have that similarity, as forest says.
 
     Rows meet in buckets, the given ones where there is such a column. Else, with a radius below 4 and 64 bits, of any two linked prints 4 - radius of the four
     16-bit bands are equal, so a bucket is a choice of bands and their values: each link falls in one at least.
@@ -150,7 +172,8 @@ def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.
     for at in range(1, 8 * words, 4):
         ones = ones + F.bit_count(F.conv(F.hex(F.substring("fp", at, 4)), 16, 10).cast("long"))
     given = ["bucket"] if "bucket" in prints.columns else []
-    rows = prints.select("id", "fp", "size", *given, F.floor(ones / (radius + 1)).cast("int").alias("ones"))
+    known = ["set"] if "set" in prints.columns else []
+    rows = prints.select("id", "fp", "size", *known, *given, F.floor(ones / (radius + 1)).cast("int").alias("ones"))
     if given:
         pass
     elif words == 1 and radius < 4:
@@ -163,19 +186,20 @@ def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.
     counts = rows.groupBy("bucket", "ones").agg(F.count("*").alias("n"))
     buckets = counts.groupBy("bucket").agg(F.sum("n").alias("all"), F.sort_array(F.collect_list(F.struct("ones", F.ceil(F.col("n") / tile).cast("int").alias("salts")))).alias("tiles")).where("all > 1")
     small, large = buckets.where(F.col("all") <= tile).select("bucket"), buckets.where(F.col("all") > tile)
-    alone = rows.join(small, "bucket", "left_semi").select("bucket", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "id", "fp", "size")
+    alone = rows.join(small, "bucket", "left_semi").select("bucket", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "id", "fp", "size", *known)
     cut = rows.join(large, "bucket").withColumn("salts", F.element_at(F.filter("tiles", lambda t: t["ones"] == F.col("ones")), 1)["salts"])
     cut = cut.withColumn("own", F.col("ones") * 65536 + F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
     partners = F.flatten(F.transform(F.filter("tiles", lambda t: F.abs(t["ones"] - F.col("ones")) <= 1), lambda t: F.transform(F.sequence(F.lit(0), t["salts"] - 1), lambda s: t["ones"] * 65536 + s)))
-    cut = cut.select("bucket", "id", "fp", "size", "own", F.explode(partners).alias("other"))
-    cut = cut.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "fp", "size")
+    cut = cut.select("bucket", "id", "fp", "size", *known, "own", F.explode(partners).alias("other"))
+    cut = cut.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "fp", "size", *known)
 
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(len(ids), -1)
         size, side = table.column("size").to_numpy(), table.column("side").to_numpy()
         pair = table.column("x")[0].as_py() != table.column("y")[0].as_py()
-        left, right = forest(fp, size, np.flatnonzero(side == 0), np.flatnonzero(side == 1) if pair else None, radius, ratio)
+        sets = table.column("set").to_pylist() if known else None
+        left, right = forest(fp, size, np.flatnonzero(side == 0), np.flatnonzero(side == 1) if pair else None, radius, ratio, sets, similarity)
         return pa.table({"a": ids[left], "b": ids[right]})
 
     def compare_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +211,12 @@ def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.
             ids, size = table.column("id").to_numpy(), table.column("size").to_numpy()
             fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(len(ids), -1)
             starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
-            out = [[], []]
+            sets = table.column("set") if known else None
+            out = [np.zeros((2, 0), np.int64)]
             for a, b in zip(starts, np.append(starts[1:], len(keys))):
-                left, right = forest(fp[a:b], size[a:b], np.arange(b - a), None, radius, ratio)
-                out[0] += ids[a:b][left].tolist()
-                out[1] += ids[a:b][right].tolist()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+                left, right = forest(fp[a:b], size[a:b], np.arange(b - a), None, radius, ratio, sets.slice(a, b - a).to_pylist() if known else None, similarity)
+                out.append(np.stack([ids[a:b][left], ids[a:b][right]]))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["a", "b"])
 
         for batch in batches:
             held.append(batch)
@@ -243,14 +267,64 @@ def _shown(words: int) -> F.Column:
     return F.lower(F.concat(*(F.hex(byte(8 * w + 8 - k)) for w in range(words) for k in range(8))))
 
 
-def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 46, words: int = 4, ratio: float = 0.75, keys: int = KEYS) -> DataFrame:
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and sha, which tells texts of one doc_id apart."""
+    return documents(docs).withColumn("sha", F.sha2("text", 256))
+
+
+def shingle_sets(docs: DataFrame, shingle: int, words: int, keys: int) -> DataFrame:
+    """(doc_id long, sha, id long, fp binary, size long, keys array of binary) of each row: all of its distinct shingles, of which id is a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, prints, sizes, least = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes = np.unique(shingle_hashes(text, shingle))
+                ids.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42) - (1 << 63))
+                prints.append(fingerprint(hashes, words).tobytes())
+                sizes.append(len(hashes))
+                least.append([k.tobytes() for k in least_hashes(hashes, keys)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.binary()))], ["doc_id", "sha", "id", "fp", "size", "keys"])
+
+    return _hashed(docs).select("doc_id", "sha", "text").mapInArrow(run, "doc_id long, sha string, id long, fp binary, size long, keys array<binary>")
+
+
+def near_groups(docs: DataFrame, shingle: int, radius: int, words: int, ratio: float, keys: int, similarity: float, tile: int = TILE, sets_tile: int = SETS_TILE) -> DataFrame:
+    """(doc_id, sha, group long) of each row of docs with words: groups are the components of the links between shingle sets of at least the similarity.
+
+    Candidates share a least hash, their sizes are within the ratio and their fingerprints within the radius. Spanning
+    edges of these tell what has a candidate at all; only there are sets fetched. Then all candidates meet again and
+    link by their sets, within the task that compares them: pairs are never rows, however large a group is.
+    """
+    prints = written(shingle_sets(docs, shingle, words, keys).where("size > 0"), "prints")
+    nodes = written(prints.groupBy("id").agg(F.min("sha").alias("sha"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    met = nodes.select("id", "fp", "size")
+    if keys:
+        met = written(nodes.select("id", "fp", "size", F.explode(F.array_distinct("keys")).alias("bucket")), "met")
+    candidates = written(near_links(met, radius, words, ratio, tile).select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(text, shingle)).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+
+    texts = _hashed(docs).select("text", "sha").join(nodes.join(candidates, "id").select("id", "sha"), "sha").dropDuplicates(["id"]).select("id", "text")
+    sets = written(texts.mapInArrow(run, "id long, set binary"), "sets")
+    links = near_links(met.join(sets, "id"), radius, words, ratio, sets_tile, similarity)
+    roots = connected_components(links).select(F.col("node").alias("id"), "root")
+    return prints.join(roots, "id", "left").select("doc_id", "sha", F.coalesce("root", "id").alias("group"))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 80, words: int = 4, ratio: float = 0.8, keys: int = KEYS, similarity: float = 0.8) -> DataFrame:
     """docs without the rows of a group whose doc_id is not its smallest, all columns.
 
-    The defaults link texts of similar length whose 256-bit fingerprints over five-word shingles differ in 46
-    bits or fewer: shingle sets with a similarity of 0.8 differ in 39 +- 6 bits, unrelated ones in 128 +- 8. Those
-    that share none of the 12 least hashes are not compared: 4 in a billion of pairs with similarity 0.8. Rows
-    without words stay: there is nothing in them to compare.
+    Texts link if their sets of five-word shingles have a similarity of 0.8 or more, and groups are what links
+    reach. Fingerprints and least hashes only choose what is compared: at a similarity of 0.8 the 256-bit
+    fingerprints of two sets differ in 39 +- 6 bits, in 48 +- 6 for the smallest sets (4 of 5 shingles), so 80 is 5
+    deviations off; that none of the 12 least hashes is shared happens to 4 in a billion pairs. Rows without words
+    stay: there is nothing in them to compare.
     """
-    found = near_duplicates(docs, shingle, radius, words, ratio, keys=keys)
-    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & ~F.col("fingerprint").rlike("^0+$")).select(F.col("doc_id").alias("_id")).distinct(), "near")
+    found = written(near_groups(docs, shingle, radius, words, ratio, keys, similarity), "groups")
+    least = found.groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = written(found.join(least, "group").where(~F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_id")).distinct(), "near")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")

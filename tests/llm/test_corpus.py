@@ -193,3 +193,54 @@ def test_classifiers(spark, docs, none):
         assert f(none, marks).count() == 0
     kept = {x.doc_id for x in toxicity.without_toxic(made, marks).collect()}
     assert sum(i not in kept for i, _, t in labels if t) > 100 and sum(i in kept for i, _, t in labels if not t) > 460
+
+
+def shingles_of(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_have_similar_sets(spark):
+    """Pairs just above and just below a similarity of 0.8, small sets, and a repeated passage: groups are those of the sets, both ways."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))
+    rows = []
+    for _ in range(60):
+        for n in (104, 8):
+            words = [word() for _ in range(n)]
+            rows.append(" ".join(words))
+            for least, most in ((0.8, 0.83), (0.7, 0.79)):
+                cut = next((c for c in range(n) if least <= likeness(shingles_of(" ".join(words)), shingles_of(" ".join(words[: n - c]))) <= most), None)
+                changed = [*words[: n - 10], *(word() for _ in range(10))]
+                rows += [" ".join(words[: n - cut])] if cut else []
+                rows += [" ".join(changed)] if n > 10 and least <= likeness(shingles_of(" ".join(words)), shingles_of(" ".join(changed))) <= most else []
+    words = [word() for _ in range(160)]
+    rows += [" ".join(words), " ".join(words + words[:120])]  # one set but for four shingles, sizes 156 and 276 with repeats
+    sets = [shingles_of(t) for t in rows]
+    assert likeness(*sets[-2:]) >= 0.8
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and likeness(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    made = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in simhash.without_near_duplicates(made).collect()) == sorted({*root})
+
+
+def test_every_candidate_is_compared(spark):
+    """Each link of similar sets is found, also where a bucket is cut into tiles."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(100)]
+    rows = [" ".join(words[:k] + [f"new{k}"] * 6 + words[k + 6 :]) for k in range(8, 88, 2)]  # each far from most others
+    sets = [shingles_of(t) for t in rows]
+    links = {(i, j) for i in range(len(rows)) for j in range(i) if likeness(sets[i], sets[j]) >= 0.8}
+    made = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+    groups = [simhash.near_groups(made, 5, 80, 4, 0.8, 12, 0.8, tile, tile).collect() for tile in (1 << 15, 8)]
+    of = [{x.doc_id: x.group for x in found} for found in groups]
+    assert of[0] == of[1]
+    assert all(of[0][i] == of[0][j] for i, j in links)

@@ -46,3 +46,23 @@ def test_stages(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert len(got) == len(rows["mixing"])
     assert all((r.n_tokens, r.ids_sha256) == (len(ids[r.doc_id]), hashlib.sha256(",".join(map(str, ids[r.doc_id])).encode()).hexdigest()) for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_near_stage_keeps_one_of_each_group(spark):
+    """Groups of the shingle sets with a similarity of 0.8 or more, by brute force: of each the smallest doc_id stays, and all else goes."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id is not null")
+    docs = dict(corpus_pipeline.STAGES)["exact dedup"](spark, docs, SF)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = {r.doc_id: shingles((r.text or "").lower().split()) for r in docs.collect()}
+    holds, root = {}, {i: i for i in sets}
+    for i in sorted(sets):
+        for s in sets[i]:
+            holds.setdefault(s, []).append(i)
+    for i, j in {(i, j) for ids in holds.values() for i in ids for j in ids if i < j}:
+        if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = {k: a if x == b else x for k, x in root.items()}
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, docs, SF).collect()) == sorted({*root.values()})

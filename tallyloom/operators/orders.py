@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scratch import written
+
 #: The most that a cell's quantity can be stored as.
 MOST = 32767
 
@@ -60,8 +62,9 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with _n, their place from 1 on in an order, and _all, how many there are.
 
     Rows are ranged by that order and numbered within their range; the ranges' counts, a row each, give the offsets.
+    The ranged rows are written first: ranges drawn anew for the counts could be others.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
     placed = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     counts = placed.groupBy("_range").agg(F.count("*").alias("_c"))
     upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)

@@ -80,3 +80,19 @@ def test_every_query_matches_its_sql(spark):
         assert sorted(df.columns) == sorted(names), name
         expected = sorted(tuple(show(r[names.index(k)]) for k in sorted(names)) for r in found.fetchall())
         assert sorted(tuple(show(r[k]) for k in sorted(names)) for r in df.collect()) == expected, name
+
+
+def test_numbered_wide_rows(spark):
+    """Numbers have no gap and no repeat where rows have further columns and lie in several ranges."""
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import orders
+
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(60000).select(F.xxhash64("id").alias("submitted_at"), F.col("id").alias("session_id"), F.repeat(F.md5(F.col("id").cast("string")), 3).alias("more"))
+        got = orders.allocate_order_no(rows, 5).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert [r.order_no for r in sorted(got, key=lambda r: (r.submitted_at, r.session_id))] == list(range(6, 60006))

@@ -244,3 +244,10 @@ def test_every_candidate_is_compared(spark):
     of = [{x.doc_id: x.group for x in found} for found in groups]
     assert of[0] == of[1]
     assert all(of[0][i] == of[0][j] for i, j in links)
+
+
+def test_toxicity_learns_from_3000_of_a_class():
+    import inspect
+
+    bounds = inspect.signature(toxicity.toxicity).parameters
+    assert (bounds["labelled"].default, bounds["fitted"].default) == (3000, 3000)

@@ -316,7 +316,7 @@ def near_groups(docs: DataFrame, shingle: int, radius: int, words: int, ratio: f
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 80, words: int = 4, ratio: float = 0.8, keys: int = KEYS, similarity: float = 0.8) -> DataFrame:
-    """docs without the rows of a group whose doc_id is not its smallest, all columns.
+    """One row of docs for each group, all columns: that with the smallest doc_id, null last; of texts with this id that of the smallest hash.
 
     Texts link if their sets of five-word shingles have a similarity of 0.8 or more, and groups are what links
     reach. Fingerprints and least hashes only choose what is compared: at a similarity of 0.8 the 256-bit
@@ -325,6 +325,12 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 80,
     stay: there is nothing in them to compare.
     """
     found = written(near_groups(docs, shingle, radius, words, ratio, keys, similarity), "groups")
-    least = found.groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = written(found.join(least, "group").where(~F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_id")).distinct(), "near")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+    row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "sha")
+    kept = found.groupBy("group").agg(F.min(row).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    grouped = found.join(kept, "group").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_of"), (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("sha") == F.col("kept.sha"))).alias("_first"))
+    grouped = written(grouped.distinct(), "near")
+    tagged = docs.withColumn("_sha", F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
+    same = lambda other: tagged["doc_id"].cast("long").eqNullSafe(other["_id"]) & (tagged["_sha"] == other["_of"])
+    alone = tagged.join(grouped, same(grouped), "left_anti")
+    first = grouped.where("_first")  # rows that repeat the kept row's doc_id and text
+    return alone.unionByName(tagged.join(first, same(first), "left_semi").dropDuplicates(["doc_id", "_sha"])).select(docs.columns)

@@ -210,7 +210,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, t
     The lists and the classifier are fitted on bounded samples (labelled, fitted: rows of a class); the label model
     on the votes of all documents, counted by pattern: there are fewer patterns than 2 ** 12.
     """
-    texts = documents(docs)
+    return _scored(docs, labels, folds, out, threshold, labelled, fitted).drop("sha")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, threshold: float = 0.7, labelled: int = LABELLED, fitted: int = FITTED, hashed: bool = False) -> DataFrame:
+    """toxicity's rows, with sha: that of the text if hashed, else null."""
+    texts = documents(docs).withColumn("sha", F.sha2("text", 256) if hashed else F.lit(None).cast("string"))
     sample = [(f, int(v)) for f, v in _sample(labelled_sample(docs, labels, "toxic", folds, out, labelled, True), "label")]
     voters = Voters.learned(apart(sample))
 
@@ -239,13 +244,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, t
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             scores = [float(linear.score(features_of(words_of(t)))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), batch.column(2)], ["doc_id", "score", "sha"])
 
-    scored = texts.mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", held_in_fold(F.col("doc_id"), folds, out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = texts.mapInArrow(score, "doc_id long, score double, sha string")
+    return scored.select("doc_id", "sha", held_in_fold(F.col("doc_id"), folds, out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that toxicity predicts 1, all columns. Rows of one id go together; rows with a null id stay."""
-    gone = written(toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct(), "toxic")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+    """docs without the rows that toxicity predicts 1, all columns. A row is its id, null or not, with its text."""
+    gone = written(_scored(docs, labels, hashed=True).where("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_gone")).distinct(), "toxic")
+    tagged = docs.withColumn("_sha", F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
+    return tagged.join(gone, tagged["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (tagged["_sha"] == gone["_gone"]), "left_anti").select(docs.columns)

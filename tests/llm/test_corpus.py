@@ -251,3 +251,16 @@ def test_toxicity_learns_from_3000_of_a_class():
 
     bounds = inspect.signature(toxicity.toxicity).parameters
     assert (bounds["labelled"].default, bounds["fitted"].default) == (3000, 3000)
+
+
+def test_stages_tell_rows_of_one_id_apart(spark, monkeypatch):
+    """Null and repeated ids: only the near copy and the toxic row of an id go, and of each group one row stays."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c + " more"), (None, d), (None, d + " more"), (None, a + " less"), (5, ""), (5, "")]
+    near = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.text[:1]) for r in near) == {(1, "a"): 1, (2, "b"): 1, (3, "c"): 1, (None, "d"): 1, (5, ""): 2}
+    monkeypatch.setattr(toxicity.Linear, "fitted", classmethod(lambda cls, sample: cls({"idiot": 5.0}, -3.0)))
+    rows = [(1, "a fine day"), (2, "you idiot"), (3, "one idiot"), (3, "one friend"), (None, "an idiot again"), (None, "a friend again"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stays = toxicity.without_toxic(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")).collect()
+    assert sorted(map(str, map(tuple, stays))) == sorted(str(r) for r in rows if "idiot" not in (r[1] or ""))

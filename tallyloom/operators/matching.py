@@ -64,6 +64,20 @@ def code_candidates(items: DataFrame, catalog: DataFrame) -> DataFrame:
     return codes.join(parts, "code").select("item", "bname").distinct()
 
 
+def code_narrowing(items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row per item, whether a name has its code or not: item, codes, code_narrowed, pool and unmatched_code.
+
+    The pool is what code_candidates finds, counted; without any it is all names of the catalog, and unmatched_code
+    the first code, empty where the item has none. Items are not crossed with the catalog.
+    """
+    found = code_candidates(items, catalog).groupBy("item").agg(F.count("*").alias("found"))
+    whole = catalog.agg(F.countDistinct("bname").alias("whole"))
+    rows = items.select("item").distinct().join(found, "item", "left").crossJoin(F.broadcast(whole)).withColumn("codes", product_codes(F.col("item")))
+    narrowed = F.col("found").isNotNull()
+    missing = F.when(~narrowed & (F.size("codes") > 0), F.element_at("codes", 1)).otherwise("")
+    return rows.select("item", "codes", narrowed.alias("code_narrowed"), F.coalesce("found", "whole").alias("pool"), missing.alias("unmatched_code"))
+
+
 def match_trust(matches: DataFrame) -> DataFrame:
     """matches (score, code_narrowed, pool) with trusted, by how far the code narrows the pool, and shown."""
     only = F.col("code_narrowed") & (F.col("pool") == 1)

@@ -96,3 +96,14 @@ def test_numbered_wide_rows(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
     assert [r.order_no for r in sorted(got, key=lambda r: (r.submitted_at, r.session_id))] == list(range(6, 60006))
+
+
+def test_code_narrowing_keeps_unmatched_items(spark):
+    from tallyloom.operators import matching
+
+    items = spark.createDataFrame([("shirt 123",), ("shirt 999 888",), ("shirt",), ("coat 45612",)], "item string")
+    catalog = spark.createDataFrame([("A 1234",), ("B 91239",), ("C 45612",), ("C 45612",)], "bname string")
+    got = {r["item"]: (r.code_narrowed, r.pool, r.unmatched_code) for r in matching.code_narrowing(items, catalog).collect()}
+    assert got == {"shirt 123": (True, 2, ""), "shirt 999 888": (False, 3, "999"), "shirt": (False, 3, ""), "coat 45612": (True, 1, "")}
+    trusted = matching.match_trust(matching.code_narrowing(items, catalog).selectExpr("item", "40 score", "code_narrowed", "pool"))
+    assert [r["item"] for r in trusted.where("trusted").collect()] == ["coat 45612"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import written
+from tallyloom.llm._shared import removed, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = written(small.where("a <> b").distinct(), "edges")
+        older, edges = edges, written(small.where("a <> b").distinct(), "edges")
+        removed(edges.sparkSession, *{f.rpartition("/")[0] for f in older.inputFiles()})
         before, seen = seen, state()
         if seen == before:
             break

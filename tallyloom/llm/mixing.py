@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import WORD, written
+from tallyloom.llm._shared import WORD, fresh, written
 
 
 def word_count(text: Column) -> Column:
@@ -55,29 +55,44 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     rows are documents of their own, with one key; ties fall to the smaller doc_id. quality: a column of docs
     above 0, by default quality_weight.
 
-    No window holds a source: rows are ranged over (source, key), each range sums what it has, and the ranges'
-    sums, a row for each source and range, give the offsets.
+    Texts are read once: sizes and keys are written, and the rest works on these. No window holds a source: rows are
+    ranged over (source, key), each range sums what it has, and the ranges' sums, a row for each source and range,
+    give the offsets.
     """
-    size = word_count(F.col("text"))
-    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), (quality if quality is not None else F.lit(None)).cast("double").alias("given"))
+    return _mixed_rows(docs, weights, share, most_epochs, seed, quality).drop("sha")
+
+
+def _mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0, seed: int = 7, quality: Column | None = None) -> DataFrame:
+    """mix's rows, with sha, a hash of the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.length(text).alias("chars"), F.xxhash64(text).alias("sha"), (quality if quality is not None else F.lit(None)).cast("double").alias("given"))
     small = small.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce("given", quality_weight(F.col("size"), F.col("chars")))).drop("chars", "given")
+    small = written(small, "sizes")
     ranged = written(small.repartitionByRange("source", "key", "doc_id").withColumn("range", F.spark_partition_id()), "mix")
     targets = source_targets(ranged, weights, share, most_epochs).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size")).withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     offsets = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(F.col("r.source").alias("o_source"), F.col("range").alias("o_range"), "before", "source_size", "target", "whole", "rest")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "sha").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = ranged.withColumn("upto", F.sum("size").over(within))
     joined = summed.join(offsets, summed["source"].eqNullSafe(offsets["o_source"]) & (summed["range"] == offsets["o_range"]))
     middle = F.col("before") + F.col("upto") - F.col("size") / 2
     epochs = F.when(F.col("size") > 0, F.col("whole") + F.when(middle < F.col("rest"), 1).otherwise(0)).otherwise(0).cast("long")
-    return joined.withColumn("epochs", epochs).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "epochs")
+    return joined.withColumn("epochs", epochs).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "epochs", "sha")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as mix takes it, its columns unchanged. Rows that mix never takes go."""
-    taken = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("epochs").alias("_epochs")).where("_epochs > 0").groupBy("_id", "_size").agg(F.max("_epochs").alias("_epochs"))
-    sized = docs.withColumn("_n", word_count(F.col("text")))
-    joined = sized.join(taken, sized["doc_id"].cast("long").eqNullSafe(taken["_id"]) & (sized["_n"] == taken["_size"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs").cast("int")))).select(docs.columns)
+    """docs with each row as often as mix takes it, its columns unchanged. Rows that mix never takes go.
+
+    Rows of one doc_id and text are taken as often as mix takes all of them together: each the same number of times, and one of
+    them the times that remain.
+    """
+    own_id, own_sha, t_id, t_sha, each, more, copy = fresh(docs, "own_id", "own_sha", "t_id", "t_sha", "each", "more", "copy")
+    rows = _mixed_rows(docs, **options).groupBy(F.col("doc_id").alias(t_id), F.col("sha").alias(t_sha)).agg(F.sum("epochs").alias("e"), F.count("*").alias("n")).where("e > 0")
+    taken = rows.select(t_id, t_sha, F.expr("e div n").cast("int").alias(each), F.expr("e % n").cast("int").alias(more))
+    sized = docs.withColumns({own_id: docs["doc_id"].cast("long"), own_sha: F.xxhash64(F.coalesce(docs["text"], F.lit("")))})
+    joined = sized.join(taken, F.col(own_id).eqNullSafe(F.col(t_id)) & (F.col(own_sha) == F.col(t_sha)))
+    whole = joined.where(F.col(each) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(each)))).select(docs.columns)
+    rest = joined.where(F.col(more) > 0).dropDuplicates([own_id, own_sha]).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(more)))).select(docs.columns)
+    return whole.unionByName(rest)

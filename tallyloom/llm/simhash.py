@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import documents, slices, written
+from tallyloom.llm._shared import decided, documents, left_by_key, slices, split_by_members, written
 from tallyloom.llm.components import connected_components
 
 #: Shingles whose bits are counted at once.
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: i
     so copies add no links.
     """
     prints = written(fingerprints(docs, shingle, words, keys), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("shingles").alias("size")).withColumn("id", F.xxhash64("fp"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("shingles").alias("size"), F.count("*").alias("n")).withColumn("id", F.xxhash64("fp"))
     nodes = written(nodes, "nodes")
     met = nodes.select("id", "fp", "size")
     if keys:
@@ -257,8 +257,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: i
     linked = nodes.join(roots, nodes["id"] == roots["node"]).select("fp", "least", "root")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(smallest, "root").select("fp", "component_id")
-    component = nodes.select("fp", "least").join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.select("doc_id", "fp").join(component, "fp").select("doc_id", _shown(words).alias("fingerprint"), "component_id")
+    component = nodes.select("fp", "least", "n").join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    return left_by_key(prints.select("doc_id", "fp"), written(component, "component"), ["fp"]).select("doc_id", _shown(words).alias("fingerprint"), "component_id")
 
 
 def _shown(words: int) -> F.Column:
@@ -297,7 +297,7 @@ def near_groups(docs: DataFrame, shingle: int, radius: int, words: int, ratio: f
     link by their sets, within the task that compares them: pairs are never rows, however large a group is.
     """
     prints = written(shingle_sets(docs, shingle, words, keys).where("size > 0"), "prints")
-    nodes = written(prints.groupBy("id").agg(F.min("sha").alias("sha"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    nodes = written(prints.groupBy("id").agg(F.min("sha").alias("sha"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("n")), "nodes")
     met = nodes.select("id", "fp", "size")
     if keys:
         met = written(nodes.select("id", "fp", "size", F.explode(F.array_distinct("keys")).alias("bucket")), "met")
@@ -308,11 +308,13 @@ def near_groups(docs: DataFrame, shingle: int, radius: int, words: int, ratio: f
             sets = [np.unique(shingle_hashes(text, shingle)).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    texts = _hashed(docs).select("text", "sha").join(nodes.join(candidates, "id").select("id", "sha"), "sha").dropDuplicates(["id"]).select("id", "text")
+    wanted = written(nodes.join(candidates, "id").select("id", "sha"), "wanted")
+    _, maybe = split_by_members(_hashed(docs).select("text", "sha"), F.xxhash64("sha"), wanted.select(F.xxhash64("sha").alias("k")))
+    texts = maybe.join(wanted, "sha").dropDuplicates(["id"]).select("id", "text")
     sets = written(texts.mapInArrow(run, "id long, set binary"), "sets")
     links = near_links(met.join(sets, "id"), radius, words, ratio, sets_tile, similarity)
-    roots = connected_components(links).select(F.col("node").alias("id"), "root")
-    return prints.join(roots, "id", "left").select("doc_id", "sha", F.coalesce("root", "id").alias("group"))
+    roots = nodes.select("id", "n").join(connected_components(links).select(F.col("node").alias("id"), "root"), "id")
+    return left_by_key(prints.select("doc_id", "sha", "id"), written(roots, "roots"), ["id"]).select("doc_id", "sha", F.coalesce("root", "id").alias("group"))
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 80, words: int = 4, ratio: float = 0.8, keys: int = KEYS, similarity: float = 0.8) -> DataFrame:
@@ -326,11 +328,7 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 80,
     """
     found = written(near_groups(docs, shingle, radius, words, ratio, keys, similarity), "groups")
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "sha")
-    kept = found.groupBy("group").agg(F.min(row).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    grouped = found.join(kept, "group").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_of"), (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("sha") == F.col("kept.sha"))).alias("_first"))
-    grouped = written(grouped.distinct(), "near")
-    tagged = docs.withColumn("_sha", F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
-    same = lambda other: tagged["doc_id"].cast("long").eqNullSafe(other["_id"]) & (tagged["_sha"] == other["_of"])
-    alone = tagged.join(grouped, same(grouped), "left_anti")
-    first = grouped.where("_first")  # rows that repeat the kept row's doc_id and text
-    return alone.unionByName(tagged.join(first, same(first), "left_semi").dropDuplicates(["doc_id", "_sha"])).select(docs.columns)
+    kept = written(found.groupBy("group").agg(F.min(row).alias("kept"), F.count("*").alias("n")).where("n > 1"), "kept")
+    grouped = left_by_key(found, kept, ["group"]).where("kept is not null")
+    decisions = grouped.select(F.col("doc_id").alias("id"), "sha", (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("sha") == F.col("kept.sha"))).alias("first"))
+    return decided(docs, written(decisions.distinct(), "near"), F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))

@@ -22,8 +22,8 @@ from tallyloom.llm._shared import documents, slices
 
 #: How a text is cut into words before merging: a fixed value of this kind of tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Parts of texts that a worker remembers, in either of two generations, and the longest of them.
-MEMORY, MEMORY_CHARS = 500_000, 64
+#: Parts and words of texts that a worker remembers, in either of two generations, and the longest of them: some 150 MB at most.
+PARTS, WORDS_KEPT, MEMORY_CHARS = 240_000, 80_000, 64
 #: White space before a space: where it occurs, a text is cut with more care.
 _AWKWARD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -62,6 +62,7 @@ class Recent(dict):
         if len(self) + len(fresh) > self.most:
             self.older = dict(self)
             self.clear()
+            fresh = dict(itertools.islice(fresh.items(), self.most))
         self.update((k, v) for k, v in fresh.items() if len(k) <= MEMORY_CHARS)
         return found
 
@@ -78,12 +79,23 @@ def parts_of(text: str) -> list[str]:
     return parts
 
 
+def _check(data: dict) -> None:
+    """Raises on a tokenizer file with a part that Codec does not follow."""
+    parts = [data.get("pre_tokenizer") or {}]
+    parts = parts[0].get("pretokenizers", parts)
+    plain = all(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and p.get("use_regex", True) for p in parts) and len(parts) == 1
+    flags = any(t.get(k) for t in data["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
+    if not plain or data.get("normalizer") or flags or data["model"].get("dropout") or data["model"].get("ignore_merges"):
+        raise ValueError("only byte-level BPE without normalizer, prefix space and stripping added tokens is supported")
+
+
 class Codec:
     """Encodes and decodes as the tokenizer file's byte-level BPE does, without its special-token templates."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
+        _check(data)
         vocab, chars = data["model"]["vocab"], byte_characters()
         pairs = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
         self.rank = {vocab[a] << 32 | vocab[b]: r for r, (a, b) in reversed([*enumerate(pairs)])}
@@ -101,7 +113,8 @@ class Codec:
         self.decimal = [str(i) for i in range(size)]
         self.split_special = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})") if self.special else None
         self.words = regex.compile(WORDS)
-        self.word, self.part = Recent(MEMORY // 2), Recent(MEMORY)
+        self.word, self.part = Recent(WORDS_KEPT), Recent(PARTS)
+        self.same = [*range(size)]  # one object for each id, shared by all that is remembered
         keys = np.array([*self.rank], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array([*self.rank.values()], np.int64)[order]
@@ -126,7 +139,7 @@ class Codec:
                 ids, counts = self._trees([data[k] for k in block], lengths[block], width)
                 ends = np.cumsum(counts).tolist()
                 for k, a, b in zip(block.tolist(), [0, *ends], ends):
-                    out[k] = tuple(ids[a:b])
+                    out[k] = tuple(map(self.same.__getitem__, ids[a:b]))
         return out
 
     def _trees(self, data: list[bytes], lengths: np.ndarray, width: int) -> tuple[list[int], np.ndarray]:
@@ -255,7 +268,7 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """One for each worker process and file, so that tasks share what it remembers."""
+    """One for each worker process and file, so that tasks share what it remembers, which is bounded."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]

@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm._shared import documents, opened, output_file, scratch, slices, written
-from tallyloom.llm.bpe import MEMORY, Recent, parts_of
+from tallyloom.llm.bpe import Recent, parts_of
 
 MAGIC = b"TLPFOR1\n"
 #: Ids of a block; a multiple of 32.
 BLOCK = 4096
 #: Blocks coded at once.
 GROUP = 64
+#: Parts of texts that a worker remembers in either of two generations: some 150 MB at most.
+PARTS = 400_000
 #: Share of a block's values that its width must fit.
 SHARE = 0.95
 
@@ -201,7 +203,7 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         # "\u0120" stands for a space in the vocabulary
         self.begins_space = np.array([(self.tokenizer.id_to_token(i) or "")[:1] in ("\u0120", " ") for i in range(self.tokenizer.get_vocab_size())], bool)
-        self.part = Recent(MEMORY)
+        self.part = Recent(PARTS)
 
     def library(self, parts: list[str]) -> list[bytes]:
         """Ids of parts. Those that follow a space go through the library as one text, which is cut before each token that begins with a space: a part has no other."""
@@ -287,8 +289,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     # a row for each file: their running sum is over files, not documents
     before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    placed = files.select("uri", before.alias("before"))
-    return placed.repartition(F.col("uri")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # ranged by part, in as many partitions as files: a task reads one
+    placed = files.select("uri", before.alias("before"), "part").repartitionByRange(max(1, files.count()), "part").drop("part")
+    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> DataFrame:

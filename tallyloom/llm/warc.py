@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, Not, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from tallyloom.llm._shared import opened, output_file, scratch
+from tallyloom.llm._shared import left_by_key, opened, output_file, scratch, split_by_members, written
 
 SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 #: Columns that a record's headers give.
@@ -36,12 +36,14 @@ DATE = "2000-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of a file after which a task begins the next one.
 FILE_BYTES = 1 << 30
+#: Names of files that count only if listed.
+_OWN = re.compile(r"tallyloom-[0-9a-f]{32}\.")
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
-    """One record: a response has HTTP headers and payload, a revisit the HTTP headers alone."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
+    """One record: a response has HTTP headers and payload, a revisit the HTTP headers alone. size and digest are those of the full payload."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     name = "null" if page_id is None else str(page_id)
     block = http if revisit else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {date}"]
@@ -50,7 +52,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
     if revisit:
         lines += [f"WARC-Refers-To: <urn:page:{'null' if refers_to is None else refers_to}>", f"WARC-Profile: {REVISIT}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"X-Payload-Length: {len(payload)}", f"Content-Length: {len(block)}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"X-Payload-Length: {size}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -205,12 +207,12 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[WarcFile]:
-        """One for each archive that a finished write lists, or else for each .warc or .warc.gz file below the path."""
+        """One for each .warc or .warc.gz file below the path, however deep; of those that this module's writer has made, only what a finished write lists."""
         system, root = opened(self.path)
-        found = [i.path for i in system.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File]
-        lists = [p for p in found if p.endswith(".files")]
-        names = [n for p in lists for n in system.open_input_stream(p).read().decode().split()] if lists else [p.rsplit("/", 1)[-1] for p in found if p.endswith((".warc", ".warc.gz"))]
-        return [WarcFile(f"{self.path}/{n}") for n in sorted(names)]
+        found = [i.path for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File]
+        listed = {n for p in found if p.endswith(".files") for n in system.open_input_stream(p).read().decode().split()}
+        names = [p.removeprefix(root).lstrip("/") for p in found if p.endswith((".warc", ".warc.gz"))]
+        return [WarcFile(f"{self.path}/{n}") for n in sorted(names) if (own := n.rpartition("/")[2]) in listed or not _OWN.match(own)]
 
     def records(self, file: pa.NativeFile) -> Iterator[tuple]:
         data = _Records(file)
@@ -232,12 +234,28 @@ class WarcReader(DataSourceReader):
                 data.next(size)
             yield tuple(row[c] for c in self.columns)
 
-    def read(self, partition: WarcFile | None) -> Iterator[tuple]:
+    def read(self, partition: WarcFile | None) -> Iterator[pa.RecordBatch]:
+        """Arrow batches of some 4 MB of payload."""
         if partition is None:  # no archive
             return
         system, path = opened(partition.uri)
         with system.open_input_file(path) as file:
-            yield from self.records(file)
+            held, size = [], 0
+            for row in self.records(file):
+                held.append(row)
+                size += 256 + sum(len(x) for x in row if isinstance(x, bytes))
+                if size >= 1 << 22:
+                    yield self._batch(held)
+                    held, size = [], 0
+            if held:
+                yield self._batch(held)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        types = {name: kinds[kind] for name, kind in (c.split() for c in SCHEMA.split(", "))}
+        if not self.columns:
+            return pa.RecordBatch.from_struct_array(pa.array([{}] * len(rows), pa.struct([])))
+        return pa.RecordBatch.from_arrays([pa.array(c, types[n]) for n, c in zip(self.columns, zip(*rows))], self.columns)
 
 
 @dataclass
@@ -246,7 +264,7 @@ class _Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Writes rows (page_id, url, payload, payload_digest, record_type, refers_to). Files count once commit lists them."""
+    """Writes rows (page_id, url, payload, payload_digest, record_type, refers_to), and payload_bytes where a revisit comes without its payload. Files count once commit lists them."""
 
     def __init__(self, options: dict, schema: StructType):
         self.path, self.date, self.columns = options["path"], options.get("date", DATE), schema.fieldNames()
@@ -259,10 +277,11 @@ class WarcWriter(DataSourceWriter):
             if file is None or size >= self.most:
                 if file is not None:
                     file.close()
-                names.append(f"{uuid.uuid4().hex}.warc{'.gz' * self.gzip}")
+                names.append(f"tallyloom-{uuid.uuid4().hex}.warc{'.gz' * self.gzip}")
                 (file, _), size = output_file(self.path, names[-1]), 0
             payload = bytes(row["payload"] or b"")
-            data = record(row["page_id"], row["url"], payload, row["payload_digest"] or hashlib.sha256(payload).hexdigest(), row["refers_to"], row["record_type"] == "revisit", self.date)
+            length = row["payload_bytes"] if "payload_bytes" in self.columns and row["payload_bytes"] is not None else len(payload)
+            data = record(row["page_id"], row["url"], payload, length, row["payload_digest"] or hashlib.sha256(payload).hexdigest(), row["refers_to"], row["record_type"] == "revisit", self.date)
             data = member(data) if self.gzip else data
             file.write(data)
             size += len(data)
@@ -276,7 +295,10 @@ class WarcWriter(DataSourceWriter):
             file.write("\n".join(n for m in messages if m for n in m.names).encode())
 
     def abort(self, messages: list[_Written | None]) -> None:
-        """Files of a failed write stay unlisted."""
+        """Deletes the files that are known; those of tasks that failed stay unlisted, and so are never read."""
+        system, root = opened(self.path)
+        for name in (n for m in messages if m for n in m.names):
+            system.delete_file(f"{root}/{name}")
 
 
 class WarcDataSource(DataSource):
@@ -303,20 +325,24 @@ def register(spark: SparkSession) -> None:
 def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """pages' page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
-    payload is html in UTF-8, empty for null. Of equal payloads of `least` bytes or more, the row with the
+    payload is html in UTF-8, empty for null; a revisit has none. Of equal payloads of `least` bytes or more, the row with the
     smallest page_id is a response and the others are revisits that refer to it; shorter ones are all responses.
     Of rows that repeat the smallest page_id, each is a response. Null page_ids refer to the smallest one; if all
     of a payload's are null, all are responses. Other columns are not read.
 
-    Payloads stay where they are: groups are formed from digests and ids, and only digests that occur more than
-    once are joined back, so a digest with a large share of the rows meets one row.
+    Groups are formed from digests and ids. Payloads stay where they are unless a bitmap of the repeated digests says that
+    theirs may be one; of those, digests with a large share of the rows meet their group by broadcast.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(pages["html"].cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), "first")
-    joined = rows.join(first, (rows["payload_digest"] == first["_digest"]) & (rows["payload_bytes"] == first["_bytes"]), "left")
+    first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(first, "payloads")
+    alone, maybe = split_by_members(rows, F.xxhash64("payload_digest"), first.select(F.xxhash64("payload_digest").alias("k")))
+    joined = left_by_key(maybe, first, ["payload_digest", "payload_bytes"])
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select(*rows.columns, F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("first")).alias("refers_to"))
+    kept = ["page_id", "url", F.when(~other, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest"]
+    decided = joined.select(*kept, F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("first")).alias("refers_to"))
+    return alone.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long")).unionByName(decided)
 
 
 def archived(pages: DataFrame, folder: str | None = None, least: int = 100) -> DataFrame:
@@ -324,7 +350,7 @@ def archived(pages: DataFrame, folder: str | None = None, least: int = 100) -> D
     spark = pages.sparkSession
     register(spark)
     folder = folder or scratch(spark, "warc")
-    revisits(pages, least).drop("payload_bytes").write.format("warc").mode("append").save(folder)
+    revisits(pages, least).write.format("warc").mode("append").save(folder)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     # what a response's headers say of its payload is checked against the payload itself
     responses = spark.read.format("warc").load(folder).where("record_type = 'response'").withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})

@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import written
+from tallyloom.llm._shared import opened, scratch, written
 
 #: Bounded sample that the codebooks are fitted on.
 SAMPLE = 8192
@@ -99,6 +101,37 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _folder(path: str, part: str, columns: list[str]) -> pa.Table | None:
+    """The rows of one partition folder of a Parquet table; None where there is none."""
+    system, at = opened(f"{path}/{part}")
+    if system.get_file_info(at).type == fs.FileType.NotFound:
+        return None
+    files = [i.path for i in system.get_file_info(fs.FileSelector(at)) if i.path.endswith(".parquet")]
+    return pa.concat_tables([pq.ParquetFile(system.open_input_file(f)).read(columns) for f in sorted(files)])
+
+
+def _shortlists(part: pa.Table, products: np.ndarray, asked: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], shortlist: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What each query has found, ids and scores, with the codes of one more shard: the best `shortlist`, ties to the smaller id. products: of codebooks, queries and words."""
+    ids = part.column("vec_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    ids, norm = ids[order], part.column("norm").to_numpy()[order]
+    code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order].T.astype(np.intp)
+    keep, out = min(shortlist + 1, len(ids)), []
+    for i, (before, scores) in enumerate(found):
+        score = -0.5 * norm
+        for table, own in zip(products[:, i], code):
+            score += table[own]
+        # every row better than the last one kept, then its equals by vec_id
+        bound = np.partition(score, len(ids) - keep)[len(ids) - keep]
+        above, equal = np.flatnonzero(score > bound), np.flatnonzero(score == bound)
+        new = np.concatenate([above, equal[: keep - len(above)]])
+        new = new[ids[new] != asked[i]]
+        both, near = np.concatenate([before, ids[new]]), np.concatenate([scores, score[new]])
+        best = np.lexsort((both, -near))[:shortlist]
+        out.append((both[best], near[best]))
+    return out
+
+
 def search(vectors: DataFrame, every: int = 50, k: int = 5, shortlist: int = SHORTLIST, shard_rows: int = SHARD_ROWS, block: int = QUERY_BLOCK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k found nearest of all others by cosine.
 
@@ -107,8 +140,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, shortlist: int = SHO
     are candidates once, by their smallest vector. A query without candidates has no row, one with fewer than k has all.
 
     Of equal vectors only the k + 1 rows of smallest vec_id are coded: no other one can be among any query's k.
-    Codes go by shard and queries by block, so a task holds one shard's codes and one block's vectors; queries are
-    not broadcast. The codebooks, of bounded size, are fitted on `sample` rows.
+    Codes are stored by shard and queries by block; a task reads its block, and shard after shard, from there, so neither is
+    shuffled or held more than once. The codebooks, of bounded size, are fitted on `sample` rows and broadcast.
     """
     rows = written(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -130,35 +163,34 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, shortlist: int = SHO
     distinct = rows.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).select("vec_id", "embedding")
     index = written(distinct.mapInArrow(encode, "vec_id long, code binary, norm float"), "codes")
     queries = rows.where(F.col("vec_id") % every == 0)
-    shards, blocks = -(-index.count() // shard_rows), max(1, -(-queries.count() // block))
-    codes = index.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<float>").alias("query"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A shard's codes and a block's queries: the shortlist of each query."""
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(left) and len(right):
-            order = np.argsort(left.column("vec_id").to_numpy(), kind="stable")
-            ids = left.column("vec_id").to_numpy()[order]
-            code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order].T.astype(np.int64)
-            norm = left.column("norm").to_numpy()[order]
-            asked, q = right.column("query_id").to_numpy(), unit(_matrix(right.column("query"))).astype(np.float32)
-            table = np.einsum("qd,bwd->bqw", q, words.value, optimize=True)
-            keep = min(shortlist + 1, len(ids))
-            for i in range(len(q)):
-                score = -0.5 * norm
-                for products, own in zip(table[:, i], code):
-                    score += products[own]
-                # every row better than the last one kept, then its equals by vec_id
-                bound = np.partition(score, len(ids) - keep)[len(ids) - keep]
-                above, equal = np.flatnonzero(score > bound), np.flatnonzero(score == bound)
-                found = np.concatenate([above, equal[: keep - len(above)]])
-                found = found[ids[found] != asked[i]]
-                out.append((np.full(len(found), asked[i]), ids[found], score[found]))
-        columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
-        return pa.table({"query_id": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "near": columns[2].astype(np.float64)})
-
-    near = codes.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(best, "query_id long, vec_id long, near double")
+    spark = rows.sparkSession
+    shards, blocks = -(-index.count() // shard_rows), -(-queries.count() // block)
+    if not blocks:
+        return empty
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    codes_at, asked_at = scratch(spark, "shards"), scratch(spark, "asked")
+    index.withColumn("shard", deal(shards)).repartition("shard").write.partitionBy("shard").parquet(codes_at)
+    queries.select(F.col("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).withColumn("block", deal(blocks)).repartition("block").write.partitionBy("block").parquet(asked_at)
+    # a task takes a block of queries through a span of shards; with blocks enough for all cores, through all of them
+    spans = min(shards, -(-2 * spark.sparkContext.defaultParallelism // blocks))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.column(0).to_pylist():
+                own = _folder(asked_at, f"block={task // spans}", ["vec_id", "embedding"])
+                if own is None:
+                    continue
+                asked, q = own.column("vec_id").to_numpy(), unit(_matrix(own.column("embedding"))).astype(np.float32)
+                products = np.einsum("qd,bwd->bqw", q, words.value, optimize=True)
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(asked)
+                for shard in range(task % spans, shards, spans):
+                    part = _folder(codes_at, f"shard={shard}", ["vec_id", "code", "norm"])
+                    if part is not None:
+                        found = _shortlists(part, products, asked, found, shortlist)
+                sizes = [len(ids) for ids, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]).astype(np.float64))], ["query_id", "vec_id", "near"])
+
+    near = spark.range(blocks * spans, numPartitions=blocks * spans).mapInArrow(best, "query_id long, vec_id long, near double")
     listed = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     short = near.withColumn("_n", F.row_number().over(listed)).where(F.col("_n") <= shortlist).select("query_id", "vec_id")
     pairs = short.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")

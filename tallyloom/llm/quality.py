@@ -23,7 +23,7 @@ TERMS = WORD_TERMS + SHAPE_TERMS + 2
 #: Length of a vector; labelled documents broadcast, at most; neighbours that vote.
 DIMENSIONS, LABELLED, NEIGHBOURS = 64, 6000, 15
 #: Words whose terms a worker remembers.
-MEMORY = 400_000
+MEMORY = 200_000
 _RUN = re.compile(r"(.)\1+")
 
 
@@ -41,8 +41,8 @@ class Terms:
         if found is None:
             if len(self.known) >= MEMORY:
                 self.known.clear()
-            found = (zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_TERMS, WORD_TERMS + zlib.crc32(_shape(word[:64]).encode("utf-8", "surrogatepass")) % SHAPE_TERMS)
-            if len(word) <= 64:
+            found = (zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_TERMS, WORD_TERMS + zlib.crc32(_shape(word).encode("utf-8", "surrogatepass")) % SHAPE_TERMS)
+            if len(word) <= 64:  # a bound of memory, not of the shape
                 self.known[word] = found
         return found
 
@@ -69,9 +69,9 @@ class LatentSpace:
     projection: np.ndarray
 
     @classmethod
-    def fitted(cls, counts: np.ndarray, dimensions: int = DIMENSIONS) -> LatentSpace:
-        """The leading right singular vectors of the weighted term counts of a sample."""
-        idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.2).astype(np.float32)
+    def fitted(cls, counts: np.ndarray, frequencies: np.ndarray, documents: int, dimensions: int = DIMENSIONS) -> LatentSpace:
+        """The leading right singular vectors of the weighted term counts of a sample. frequencies: of how many of all documents has each term."""
+        idf = (np.log((1 + documents) / (1 + frequencies)) + 0.2).astype(np.float32)
         weighted = cls(idf, np.eye(1, dtype=np.float32)).weighted(counts)
         values, vectors = np.linalg.eigh(weighted.T @ weighted)
         return cls(idf, np.ascontiguousarray(vectors[:, ::-1][:, :dimensions], np.float32))
@@ -97,6 +97,26 @@ def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, neighbours:
     return out
 
 
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How many documents have each term, and how many documents there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(TERMS, np.int64), 0
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                seen += _terms.counts(text) > 0
+            n += batch.num_rows
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], n), pa.int64())], ["term", "n"])
+
+    sums = documents(docs).select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(TERMS, np.int64)
+    for row in sums:
+        if row["term"] >= 0:
+            out[row["term"]] = row["n"]
+    return out, sum(row["n"] for row in sums if row["term"] < 0)
+
+
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, out: int = 2, threshold: float = 0.7, labelled: int = LABELLED, neighbours: int = NEIGHBOURS) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score (0 to 1, higher: good quality likelier), predicted (score >= threshold).
 
@@ -104,7 +124,8 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, out: int = 2, th
     score. Null text counts as empty; an empty text has a term of its own. Null and repeated ids pass through.
     Without labels every score is 0.5. Other columns are not read.
 
-    The space and the labelled vectors come from at most `labelled` documents, so what is broadcast is bounded.
+    The space and the labelled vectors come from at most `labelled` documents, so what is broadcast is bounded. Terms
+    are weighted by their frequencies over all documents, which tasks count and Spark sums: there are 2,048 terms.
     """
     rows = labelled_sample(docs, labels, "quality", folds, out, labelled, False)
 
@@ -119,7 +140,8 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, out: int = 2, th
         dense = np.zeros((table.num_rows, TERMS), np.float32)
         for i, (at, n) in enumerate(zip(table.column("terms").to_pylist(), table.column("counts").to_pylist())):
             dense[i, at] = n
-        space = LatentSpace.fitted(dense)
+        frequencies, n = document_frequencies(docs)
+        space = LatentSpace.fitted(dense, frequencies, n)
         known, marks = space.vectors(dense), table.column("label").to_numpy().astype(np.float64)
         del dense
         model = docs.sparkSession.sparkContext.broadcast((space, known, marks))

@@ -17,6 +17,8 @@ from tallyloom.llm._shared import documents, slices
 
 #: Characters of a chunk, and by which chunks overlap at first.
 CHUNK, OVERLAP = 32768, 256
+#: Characters on either side of a place that are normalized to see whether the normalizer works across it.
+NEAR = 16
 
 
 class SpanCounter:
@@ -35,8 +37,16 @@ class SpanCounter:
         self.encoded += 1
         return [begin for begin, _ in self.model.encode(text, return_type="offset_mapping")["offsets"]]
 
+    def normal(self, text: str) -> str:
+        """What the model's normalizer makes of a text inside another one."""
+        return self.model.normalize(f"a{text}a").lstrip("\u2581")[1:-1]
+
     def stable(self, text: str, at: int) -> bool:
-        return (text[at - 1] + text[at]).replace(" ", "▁") not in self.adjacent
+        """True if the normalizer treats the two sides of a place apart, and no piece holds the normalized characters beside it next to each other."""
+        left, right = self.normal(text[max(0, at - NEAR) : at]), self.normal(text[at : at + NEAR])
+        if not left or not right or left + right != self.normal(text[max(0, at - NEAR) : at + NEAR]):
+            return False
+        return left[-1] + right[0] not in self.adjacent
 
     def count(self, text: str) -> int:
         if len(text) <= self.chunk:

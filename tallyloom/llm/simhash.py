@@ -23,7 +23,7 @@ MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Least hashes of a text under which it meets others: texts with shingle similarity s share none with probability (1 - s) ** KEYS.
 KEYS = 12
 #: Prints of a tile where they come with their sets.
-SETS_TILE = 1024
+SETS_TILE = 2048
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -292,16 +292,19 @@ def shingle_sets(docs: DataFrame, shingle: int, words: int, keys: int) -> DataFr
 def near_groups(docs: DataFrame, shingle: int, radius: int, words: int, ratio: float, keys: int, similarity: float, tile: int = TILE, sets_tile: int = SETS_TILE) -> DataFrame:
     """(doc_id, sha, group long) of each row of docs with words: groups are the components of the links between shingle sets of at least the similarity.
 
-    Candidates share a least hash, their sizes are within the ratio and their fingerprints within the radius. Spanning
-    edges of these tell what has a candidate at all; only there are sets fetched. Then all candidates meet again and
-    link by their sets, within the task that compares them: pairs are never rows, however large a group is.
+    Candidates share a least hash, their sizes are within the ratio and their fingerprints within the radius. The components of
+    these candidates are mostly small, and hold every link; only what is in one has its set fetched, once. Sets then meet within
+    their component and link in the task that compares them: pairs are never rows, however large a group is. A component of
+    more than keys * sets_tile sets would be cut into more tiles than there are least hashes: there sets meet under these.
     """
     prints = written(shingle_sets(docs, shingle, words, keys).where("size > 0"), "prints")
     nodes = written(prints.groupBy("id").agg(F.min("sha").alias("sha"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("n")), "nodes")
     met = nodes.select("id", "fp", "size")
     if keys:
         met = written(nodes.select("id", "fp", "size", F.explode(F.array_distinct("keys")).alias("bucket")), "met")
-    candidates = written(near_links(met, radius, words, ratio, tile).select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+    candidates = connected_components(near_links(met, radius, words, ratio, tile)).withColumnRenamed("node", "id")
+    sizes = candidates.groupBy("root").agg(F.count("*").alias("n"))
+    candidates = written(left_by_key(candidates, written(sizes, "sizes"), ["root"]), "candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -312,7 +315,11 @@ def near_groups(docs: DataFrame, shingle: int, radius: int, words: int, ratio: f
     _, maybe = split_by_members(_hashed(docs).select("text", "sha"), F.xxhash64("sha"), wanted.select(F.xxhash64("sha").alias("k")))
     texts = maybe.join(wanted, "sha").dropDuplicates(["id"]).select("id", "text")
     sets = written(texts.mapInArrow(run, "id long, set binary"), "sets")
-    links = near_links(met.join(sets, "id"), radius, words, ratio, sets_tile, similarity)
+    few = F.col("n") <= max(1, keys) * sets_tile
+    meet = nodes.select("id", "fp", "size").join(candidates.where(few), "id").select("id", "fp", "size", F.encode(F.concat(F.lit("component "), F.col("root").cast("string")), "utf-8").alias("bucket"))
+    if keys:
+        meet = meet.unionByName(met.join(candidates.where(~few).select("id"), "id", "left_semi").select("id", "fp", "size", "bucket"))
+    links = near_links(meet.join(sets, "id"), radius, words, ratio, sets_tile, similarity)
     roots = nodes.select("id", "n").join(connected_components(links).select(F.col("node").alias("id"), "root"), "id")
     return left_by_key(prints.select("doc_id", "sha", "id"), written(roots, "roots"), ["id"]).select("doc_id", "sha", F.coalesce("root", "id").alias("group"))
 

@@ -42,6 +42,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 <<
             stop = min(max(fit, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, stop - at)
             at = stop
+        pa.default_memory_pool().release_unused()  # what a worker keeps of past batches counts against its executor
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

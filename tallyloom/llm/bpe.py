@@ -22,8 +22,8 @@ from tallyloom.llm._shared import documents, slices
 
 #: How a text is cut into words before merging: a fixed value of this kind of tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Parts and words of texts that a worker remembers, in either of two generations, and the longest of them: some 150 MB at most.
-PARTS, WORDS_KEPT, MEMORY_CHARS = 240_000, 80_000, 64
+#: Parts and words of texts that a worker remembers, in either of two generations, and the longest of them: some 80 MB at most.
+PARTS, WORDS_KEPT, MEMORY_CHARS = 160_000, 60_000, 64
 #: White space before a space: where it occurs, a text is cut with more care.
 _AWKWARD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -114,7 +114,6 @@ class Codec:
         self.split_special = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})") if self.special else None
         self.words = regex.compile(WORDS)
         self.word, self.part = Recent(WORDS_KEPT), Recent(PARTS)
-        self.same = [*range(size)]  # one object for each id, shared by all that is remembered
         keys = np.array([*self.rank], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array([*self.rank.values()], np.int64)[order]
@@ -126,10 +125,10 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
 
-    def merge_words(self, words: list[str]) -> list[tuple[int, ...]]:
+    def merge_words(self, words: list[str]) -> list[bytes]:
         """merge_word of each: words of up to 64 bytes in one matrix of trees for each width, in step."""
         data = [w.encode("utf-8", "surrogatepass") for w in words]
-        lengths, out = np.array([*map(len, data)]), [()] * len(words)
+        lengths, out = np.array([*map(len, data)]), [b""] * len(words)
         for k in np.flatnonzero(lengths > 64):
             out[k] = self.merge_word(words[k])
         for width in (2, 4, 8, 16, 32, 64):
@@ -137,12 +136,12 @@ class Codec:
             for at in range(0, len(own), 4096):
                 block = own[at : at + 4096]
                 ids, counts = self._trees([data[k] for k in block], lengths[block], width)
-                ends = np.cumsum(counts).tolist()
+                ends = (4 * np.cumsum(counts)).tolist()
                 for k, a, b in zip(block.tolist(), [0, *ends], ends):
-                    out[k] = tuple(map(self.same.__getitem__, ids[a:b]))
+                    out[k] = ids[a:b]
         return out
 
-    def _trees(self, data: list[bytes], lengths: np.ndarray, width: int) -> tuple[list[int], np.ndarray]:
+    def _trees(self, data: list[bytes], lengths: np.ndarray, width: int) -> tuple[bytes, np.ndarray]:
         n, places = len(data), np.arange(width)
         inside = places < lengths[:, None]
         ids = np.full((n, width), -1, np.int64)
@@ -173,7 +172,7 @@ class Codec:
             root = tree[rows, 1]
             rows, root = rows[root < NONE], root[root < NONE]
             if not len(rows):
-                return ids[ids >= 0].tolist(), (ids >= 0).sum(1)
+                return ids[ids >= 0].astype("<u4").tobytes(), (ids >= 0).sum(1)
             rank, at = root // width, root % width
             gone = following[rows, at]
             after = following[rows, gone]
@@ -187,12 +186,12 @@ class Codec:
             has = before >= 0
             put(rows[has], before[has], leaf(rows[has], before[has], at[has]))
 
-    def merge_word(self, word: str) -> tuple[int, ...]:
-        """The ids of one word, by the segment tree."""
+    def merge_word(self, word: str) -> bytes:
+        """The ids of one word, by the segment tree, as little-endian 32-bit numbers."""
         ids = [self.byte_id[b] for b in word.encode("utf-8", "surrogatepass")]
         n = len(ids)
         if n < 2:
-            return tuple(ids)
+            return np.array(ids, "<u4").tobytes()
         rank, width = self.rank, 1 << (n - 1).bit_length()
         # a leaf is rank * n + place, so that the least one is the leftmost of the lowest rank
         tree = [NONE] * (2 * width)
@@ -235,21 +234,22 @@ class Codec:
             if before >= 0:
                 r = rank.get(ids[before] << 32 | ids[i])
                 put(before, NONE if r is None else r * n + before)
-        return tuple(i for i in ids if i >= 0)
+        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text. Texts are cut into parts, parts into words; each is encoded once and remembered."""
+        return [*map(b"".join, self.part.filled([*map(parts_of, texts)], self.encode_parts))]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text. Texts are cut into parts, parts into words; each is encoded once and remembered."""
-        return [[*itertools.chain.from_iterable(x)] for x in self.part.filled([*map(parts_of, texts)], self.encode_parts)]
+        return [np.frombuffer(x, "<u4").tolist() for x in self.encode_bytes(texts)]
 
-    def encode_parts(self, parts: list[str]) -> list[tuple[int, ...]]:
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
         pieces = [self.pieces(p[1:] if p[:1] == "\0" else " " + p) for p in parts]
         if not any(map(self.special.__contains__, itertools.chain.from_iterable(pieces))):
-            return [x[0] if len(x) == 1 else tuple(itertools.chain.from_iterable(x)) for x in self.word.filled(pieces, self.merge_words)]
+            return [x[0] if len(x) == 1 else b"".join(x) for x in self.word.filled(pieces, self.merge_words)]
         known = self.word.filled([[w for w in p if w not in self.special] for p in pieces], self.merge_words)
-        out = []
-        for own, values in zip(pieces, map(iter, known)):
-            out.append(tuple(i for w in own for i in ((self.special[w],) if w in self.special else next(values))))
-        return out
+        special = {w: np.array([i], "<u4").tobytes() for w, i in self.special.items()}
+        return [b"".join(special[w] if w in special else next(values) for w in own) for own, values in zip(pieces, map(iter, known))]
 
     def pieces(self, part: str) -> list[str]:
         """The words of a part, and the special tokens in it."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The style codes that may stand behind an item's name.
 STYLE_CODES = ("IE", "OE", "RN", "RNS")
+#: How a name with a style code behind it looks, and a date.
 _NAMED = r"^(.+?)\s+([A-Z]{2,4})$"
 _DATE = r"\d{1,2}/\d{1,2}/\d{2,4}"
 
@@ -122,9 +123,9 @@ def parse_row_text(text: Column) -> Column:
 
 
 def parse_pairs_line(text: Column, headers: Column) -> Column:
-    """(size, qty) of a line of size:quantity pairs, or, without any, of as many words as headers, by position. Other than whole numbers above 0 go; of a repeated size the last stays."""
+    """(size, qty) of a line of size:quantity pairs, or, without any, of as many places between commas as headers, by position; places may be blank. Other than whole numbers above 0 go; of a repeated size the last stays."""
     pairs = _pairs(text, r"[A-Za-z0-9\-]+")
-    words = F.filter(F.split(F.trim(text), r"[\s,]+"), lambda w: w != "")
+    words = F.transform(F.split(text, ","), lambda w: F.trim(w))
     placed = F.zip_with(headers, words, lambda s, q: F.struct(s.alias("size"), q.try_cast("int").alias("qty")))
     all_ = F.when(F.size(pairs) > 0, pairs).when(F.size(words) == F.size(headers), placed).otherwise(F.slice(placed, 1, 0))
     good = F.filter(all_, lambda p: p["qty"] > 0)
@@ -145,3 +146,68 @@ def parse_cell(header: Column, text: Column) -> Column:
     two = text.rlike(r"^\s*[0-9]+\s+[0-9]+\s*$")
     size, qty = F.when(two, F.regexp_extract(text, "([0-9]+)", 1)).otherwise(header), F.regexp_extract(text, r"([0-9]+)\s*$", 1)
     return F.when(two | text.rlike(r"^\s*[0-9]+\s*$"), F.struct(size.alias("size"), qty.try_cast("int").alias("qty")))
+
+
+def likeness_form(text: Column) -> Column:
+    """A text as likeness scores take it: lower case, each character but letters, digits and the underscore a space, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]", " "))
+
+
+def plain_total(text: Column) -> Column:
+    """A total for arithmetic: a whole number with an optional sign, else null."""
+    return F.trim(text).try_cast("int")
+
+
+def keep_positive(cells: Column) -> Column:
+    """Those of an array of (size, qty) with a quantity above 0."""
+    return F.filter(cells, lambda c: c["qty"] > 0)
+
+
+#: What a flag's status says to a reviewer, and the beginnings of notes that are shown as they are.
+MESSAGES = {"unresolved": "Two readings differ: check this row against the photo.", "resolved": "Two readings differed and one was chosen: check it.", "unverified": "This row could not be checked.", "auto_corrected": "Moved by the catalog's sizes: check it.", "template_corrected": "Changed as reviewers changed this form before: check it."}
+SHOWN_NOTES = ("NEEDS REVIEW", "Row-crop recount", "Hybrid OCR+VLM")
+
+
+def flag_message(status: Column, note: Column) -> Column:
+    """The text shown for a flag: its note where that begins in a known way, else one for its status."""
+    known = F.lit(False)
+    for head in SHOWN_NOTES:
+        known = known | F.startswith(F.coalesce(note, F.lit("")), F.lit(head))
+    return F.when(known, note).otherwise(F.element_at(F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv)), status))
+
+
+#: The record of a form as models return it.
+RECORD = "seller_name string, party_name string, order_no string, order_date string, date_present string, size_headers array<string>, items array<string>, notes array<string>"
+_ITEM = "item string, type string, struck_out string, row_total string, quantities array<string>"
+
+
+def repair_record(raw: Column) -> Column:
+    """A form's record from a model's answer, whatever is wrong with it: fences go, unknown keys go, missing and null values are blank, 0 or false, entries of the wrong kind are passed over."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    texts = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    true = lambda c: F.coalesce(F.lower(c) == "true", F.lit(False))
+
+    def item(text: Column) -> Column:
+        i = F.from_json(text, _ITEM)
+        pairs = F.transform(texts(i["quantities"]), lambda q: F.from_json(q, "size string, quantity string"))
+        pairs = F.transform(F.filter(pairs, lambda q: q["size"].isNotNull() | q["quantity"].isNotNull()), lambda q: F.struct(blank(q["size"]).alias("size"), F.coalesce(q["quantity"].try_cast("double").cast("int"), F.lit(0)).alias("qty")))
+        return F.struct(blank(i["item"]).alias("item"), blank(i["type"]).alias("type"), true(i["struck_out"]).alias("struck_out"), blank(i["row_total"]).alias("row_total"), pairs.alias("quantities"))
+
+    r = F.from_json(bare, RECORD)
+    entries = F.filter(texts(r["items"]), lambda x: F.startswith(F.ltrim(x), F.lit("{")))
+    return F.struct(*(blank(r[c]).alias(c) for c in ("seller_name", "party_name", "order_no", "order_date")), true(r["date_present"]).alias("date_present"), texts(r["size_headers"]).alias("size_headers"), F.transform(entries, item).alias("items"), texts(r["notes"]).alias("notes"))
+
+
+def split_merged_headers(text: Column, headers: Column) -> Column:
+    """The one way to cut a run of digits, itself no header, into two known headers or more; null without, or with several.
+
+    Ways grow one header at a time, at most as many as a run of twelve digits can hold.
+    """
+    way = lambda at, parts: F.struct(at.cast("int").alias("at"), parts.alias("parts"))
+    ways = F.array(way(F.lit(0), F.array().cast("array<string>")))
+    for _ in range(6):
+        longer = lambda w: F.transform(F.filter(headers, lambda h: (w["at"] < F.length(text)) & (F.length(h) > 0) & (F.substr(text, w["at"] + 1, F.length(h)) == h)), lambda h: way(w["at"] + F.length(h), F.concat(w["parts"], F.array(h))))
+        ways = F.concat(F.filter(ways, lambda w: w["at"] == F.length(text)), F.flatten(F.transform(F.filter(ways, lambda w: w["at"] < F.length(text)), longer)))
+    whole = F.filter(ways, lambda w: (w["at"] == F.length(text)) & (F.size(w["parts"]) > 1))
+    return F.when(text.rlike("^[0-9]{2,12}$") & ~F.array_contains(headers, text) & (F.size(whole) == 1), F.get(whole, 0)["parts"])

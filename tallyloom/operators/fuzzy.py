@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 
+_SIGNS = re.compile(r"[^\w]")
+
+
+def cleaned(text: str) -> str:
+    """A text as scores take it: lower case, each character but letters, digits and the underscore a space, trimmed."""
+    return _SIGNS.sub(" ", text.lower()).strip()
+
+
+def codes(text: str) -> list[str]:
+    """All runs of three digits or more."""
+    return re.findall(r"[0-9]{3,}", text)
+
+
 def _common(a: str, b: str) -> int:
     """Length of the longest common subsequence; a row of the table is the bits of one number."""
     at: dict[str, int] = {}
@@ -42,7 +57,7 @@ def _token_set(a: str, b: str) -> float:
     if both and not (left and right):
         return 100.0
     whole = [" ".join(filter(None, (both, rest))) for rest in (left, right)]
-    return max(_ratio(*whole), *(_ratio(both, w) for w in whole if both)) if whole[0] and whole[1] else 0.0
+    return max([_ratio(*whole), *(_ratio(both, w) for w in whole if both)]) if whole[0] and whole[1] else 0.0
 
 
 def _token_sort(a: str, b: str, score=_ratio) -> float:
@@ -62,6 +77,9 @@ def _weighted(a: str, b: str) -> float:
     return max(_ratio(a, b), scale * _partial(a, b), 0.95 * scale * words)
 
 
+weighted, token_set = _weighted, _token_set
+
+
 def _scored(score, a, b):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         seen = {(x, y): None if x is None or y is None else score(x, y) for x, y in set(zip(a, b))}

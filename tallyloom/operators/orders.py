@@ -17,8 +17,8 @@ def catalog_by_name(catalog: DataFrame) -> DataFrame:
 
 
 def product_groups(catalog: DataFrame) -> DataFrame:
-    """(bsid, size, detid): the SKU of each size of a product; the largest detid where one repeats. Blank names go."""
-    keyed = catalog.where(F.trim("bname") != "").withColumn("bsid", F.coalesce("bsid", F.concat_ws("-", "bid", "bstyle")))
+    """(bsid, size, detid): the SKU of each size of a product; the largest detid where one repeats, as rows of a table have no order. A blank bsid is bid and style put together. Blank names go."""
+    keyed = catalog.where(F.trim("bname") != "").withColumn("bsid", F.coalesce(F.nullif("bsid", F.lit("")), F.concat(F.col("bid").cast("string"), F.coalesce("bstyle", F.lit("")))))
     return keyed.groupBy("bsid", F.col("bsize").cast("string").alias("size")).agg(F.max("detid").alias("detid"))
 
 

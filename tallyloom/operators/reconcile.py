@@ -5,26 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import sort_sizes
+
 #: How severe a flag's status is.
 SEVERITY = {"no_recount": 0, "ok": 0, "unverified": 1, "resolved": 2, "auto_corrected": 2, "template_corrected": 2, "unresolved": 3}
 
 
-def reconcile_readings(first: DataFrame, second: DataFrame, totals: DataFrame) -> DataFrame:
-    """Per row (form_id, row_idx): chosen reading and status, from two readings (form_id, row_idx, size, qty) and printed totals.
+def reconcile_readings(first: DataFrame, second: DataFrame, totals: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Per row (form_id, row_idx): chosen reading and status, from two readings (form_id, row_idx, size, qty), printed totals and printed headers (form_id, size).
+
+    An empty side, a size of the first that is no printed header, or equal sides: first, no flag. Other sizes: first, unverified.
+    Same sizes, other values: the only side whose sum is the printed total, resolved; else first, unresolved.
 
-    An empty side or equal sides: first, no flag. Other sizes: first, unverified. Same sizes, other values: the only
-    side whose sum is the printed total, resolved; else first, unresolved.
+    Both readings are dealt by row once; sizes and rows are then summed where they are.
     """
     key = ["form_id", "row_idx"]
-    a, b = first.select(*key, "size", F.col("qty").alias("a")), second.select(*key, "size", F.col("qty").alias("b"))
-    sums = a.join(b, [*key, "size"], "full").groupBy(*key).agg(
-        F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"), F.max(F.col("a").isNull() | F.col("b").isNull()).alias("other_sizes"), F.max(F.col("a") != F.col("b")).alias("other_values")
+    none = F.lit(None).cast("long")
+    q = F.col("qty").cast("long")
+    both = first.select(*key, "size", q.alias("a"), none.alias("b")).unionByName(second.select(*key, "size", none.alias("a"), q.alias("b"))).repartition(*key)
+    cells = both.groupBy(*key, "size").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    if headers is not None:
+        cells = cells.join(headers.select("form_id", "size").distinct().withColumn("known", F.lit(True)), ["form_id", "size"], "left")
+    foreign = F.col("a").isNotNull() & F.col("known").isNull() if headers is not None else F.lit(False)
+    sums = cells.groupBy(*key).agg(
+        F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"), F.max(F.col("a").isNull() | F.col("b").isNull()).alias("other_sizes"), F.max(F.col("a") != F.col("b")).alias("other_values"), F.max(foreign).alias("foreign")
     )
     joined = sums.join(totals.select(*key, "total"), key, "left")
     on_a, on_b = F.coalesce(F.col("sum_a") == F.col("total"), F.lit(False)), F.coalesce(F.col("sum_b") == F.col("total"), F.lit(False))
+    kept = F.col("sum_a").isNull() | F.col("sum_b").isNull() | F.col("foreign")
     differ = F.coalesce("other_values", F.lit(False))
-    status = F.when(F.col("sum_a").isNull() | F.col("sum_b").isNull(), "ok").when(F.col("other_sizes"), "unverified").when(~differ, "ok").when(on_a != on_b, "resolved").otherwise("unresolved")
-    chosen = F.when(F.col("sum_a").isNull(), "second").when(~F.col("other_sizes") & differ & on_b & ~on_a, "second").otherwise("first")
+    status = F.when(kept, "ok").when(F.col("other_sizes"), "unverified").when(~differ, "ok").when(on_a != on_b, "resolved").otherwise("unresolved")
+    chosen = F.when(~kept & ~F.col("other_sizes") & differ & on_b & ~on_a, "second").otherwise("first")
     return joined.select(*key, "sum_a", "sum_b", "total", status.alias("status"), chosen.alias("chosen"))
 
 
@@ -40,12 +51,19 @@ def coverage_guard(marks: DataFrame, cells: DataFrame, least: float = 0.6) -> Da
     return filled.join(found, "form_id", "left").select("form_id", F.coalesce("marks", F.lit(0)).alias("marks"), "cells", (F.coalesce("marks", F.lit(0)) >= least * F.col("cells")).alias("used"))
 
 
+def coverage_flags(marks: DataFrame, cells: DataFrame, least: float = 0.6) -> DataFrame:
+    """Rows with a quantity on forms whose marks are too few to be used: unverified, on no size."""
+    down = coverage_guard(marks, cells, least).where(~F.col("used")).select("form_id")
+    rows = cells.where("qty > 0").select("form_id", "row_idx").distinct().join(down, "form_id", "left_semi")
+    return rows.select("form_id", "row_idx", F.lit("unverified").alias("status"), F.array().cast("array<string>").alias("sizes"))
+
+
 def merge_flags(flags: DataFrame) -> DataFrame:
     """One flag for each row: the most severe status, the first of equals; all sizes sorted; notes in order of arrival joined by ' | '."""
     severity = F.element_at(F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv)), F.col("status"))
     return flags.groupBy("form_id", "row_idx").agg(
         F.min_by("status", F.struct(-severity, F.col("seq"))).alias("status"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sizes")))), ",").alias("sizes"),
+        F.array_join(sort_sizes(F.array_distinct(F.flatten(F.collect_list("sizes")))), ",").alias("sizes"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("note", F.lit("")) != "", F.struct("seq", "note")))), lambda x: x["note"]), " | ").alias("note"),
     )
 
@@ -74,7 +92,7 @@ def catalog_flags(rows: DataFrame) -> DataFrame:
 def flag_failed_rows(errors: DataFrame, cells: DataFrame) -> DataFrame:
     """Rows (form_id, row_idx, error) that could not be read a second time: unverified, on the sizes of the first reading."""
     failed = errors.where("error is not null").select("form_id", "row_idx").distinct()
-    sizes = cells.join(failed, ["form_id", "row_idx"], "left_semi").groupBy("form_id", "row_idx").agg(F.array_sort(F.collect_set("size")).alias("sizes"))
+    sizes = cells.join(failed, ["form_id", "row_idx"], "left_semi").groupBy("form_id", "row_idx").agg(sort_sizes(F.collect_set("size")).alias("sizes"))
     return failed.join(sizes, ["form_id", "row_idx"], "left").select("form_id", "row_idx", F.lit("unverified").alias("status"), F.coalesce("sizes", F.array().cast("array<string>")).alias("sizes"))
 
 
@@ -94,6 +112,21 @@ def drift_trend(anchors: DataFrame) -> DataFrame:
     return fit.select("form_id", "anchors", F.when(enough, F.col("_a")).alias("slope"), F.when(enough, F.col("_b")).alias("intercept"))
 
 
+def drift_hints(rows: DataFrame, trend: DataFrame) -> DataFrame:
+    """Unresolved rows (form_id, row_idx, y, status, matched) without a catalog match, with the offset that their form's trend predicts, rounded half to even; those of offset 0 go."""
+    joined = rows.where("status = 'unresolved' and not matched").join(trend.where("slope is not null"), "form_id")
+    return joined.select("form_id", "row_idx", F.bround(F.col("slope") * F.col("y") + F.col("intercept")).cast("int").alias("offset")).where("offset <> 0")
+
+
+def row_centres_valid(rows: DataFrame) -> DataFrame:
+    """Per form (form_id, row_idx, top, bottom), the loose check: whether the centres of rows of some height go down the page, within 0.005. Rows without height are passed over."""
+    order = Window.partitionBy("form_id").orderBy("row_idx")
+    centres = rows.where("bottom > top").withColumn("_c", (F.col("top") + F.col("bottom")) / 2)
+    placed = centres.withColumn("_above", F.lag("_c").over(order))
+    found = placed.groupBy("form_id").agg(F.bool_and(F.col("_above").isNull() | (F.col("_c") >= F.col("_above") - 0.005)).alias("valid"))
+    return rows.select("form_id").distinct().join(found, "form_id", "left").select("form_id", F.coalesce("valid", F.lit(False)).alias("valid"))
+
+
 def row_fracs_valid(rows: DataFrame) -> DataFrame:
     """Per form (form_id, row_idx, top, bottom, table_bottom): whether its rows are at least 0.008 high, on the page, in order and within the table."""
     order = Window.partitionBy("form_id").orderBy("row_idx")

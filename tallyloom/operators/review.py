@@ -68,6 +68,16 @@ def prune_empty_sizes(cells: DataFrame) -> DataFrame:
     return cells.join(cells.where("qty > 0").select("form_id", "size").distinct(), ["form_id", "size"], "left_semi")
 
 
+def add_product_sizes(headers: DataFrame, products: DataFrame) -> DataFrame:
+    """The size columns of a form (form_id, size) with those of the products on it (form_id, size)."""
+    return headers.select("form_id", "size").unionByName(products.select("form_id", F.col("size").cast("string").alias("size"))).where("size <> ''").distinct()
+
+
+def add_size(headers: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The size columns of a form (form_id, size) with new ones, trimmed, in capitals; blank ones go."""
+    return add_product_sizes(headers, sizes.select("form_id", F.upper(F.trim("size")).alias("size")))
+
+
 def pivot_grid(cells: DataFrame, sizes: list[str]) -> DataFrame:
     """Rows of a form with a column for each of the sizes, null where there is no quantity."""
     return cells.groupBy("form_id", "row_idx").pivot("size", sizes).agg(F.sum("qty"))
@@ -107,10 +117,10 @@ def _word_edits(truth: pd.Series, prediction: pd.Series) -> pd.Series:
 
 
 def text_error_rates(pairs: DataFrame, *by: str) -> DataFrame:
-    """Error rates in per cent of characters and of words over all pairs (truth, prediction), trimmed, and how many are the same."""
-    t, p = F.trim("truth"), F.trim("prediction")
-    rows = pairs.select(*by, t.alias("t"), p.alias("p")).withColumns({"c": F.levenshtein("t", "p"), "n": F.length("t"), "w": pandas_udf(_word_edits, "long")("t", "p"), "m": F.size(F.filter(F.split("t", r"\s+"), lambda x: x != ""))})
-    return rows.groupBy(*by).agg((F.sum("c") * 100.0 / F.sum("n")).alias("cer"), (F.sum("w") * 100.0 / F.sum("m")).alias("wer"), F.count_if(F.col("t") == F.col("p")).alias("perfect"))
+    """Error rates in per cent of characters and of words over all pairs (truth, prediction), trimmed, null as empty, and how many are the same. Equal pairs are counted before words are compared."""
+    t, p = (F.trim(F.coalesce(c, F.lit(""))) for c in ("truth", "prediction"))
+    rows = pairs.select(*by, t.alias("t"), p.alias("p")).groupBy(*by, "t", "p").agg(F.count("*").alias("k")).withColumns({"c": F.levenshtein("t", "p"), "n": F.length("t"), "w": pandas_udf(_word_edits, "long")("t", "p"), "m": F.size(F.filter(F.split("t", r"\s+"), lambda x: x != ""))})
+    return rows.groupBy(*by).agg((F.sum(F.expr("c * k")) * 100.0 / F.sum(F.expr("n * k"))).alias("cer"), (F.sum(F.expr("w * k")) * 100.0 / F.sum(F.expr("m * k"))).alias("wer"), F.sum(F.when(F.col("t") == F.col("p"), F.col("k")).otherwise(0)).alias("perfect"))
 
 
 def split_dataset(rows: DataFrame, *order: str) -> DataFrame:

@@ -27,11 +27,29 @@ def expand_ditto(rows: DataFrame) -> DataFrame:
 
 def _expanded(above, item):
     rest = F.trim(F.regexp_replace(item, r"^[\s\-—–\"'`]{2,}", ""))
-    stem = F.trim(F.regexp_replace(F.coalesce(above, F.lit("")), r"\S+\s*$", ""))
-    ditto = item.rlike(r"^[\s\-—–\"'`]{2,}") & above.isNotNull()
-    return F.when(ditto & (rest == ""), above).when(ditto, F.trim(F.concat_ws(" ", stem, rest))).otherwise(item)
+    stem = F.when(F.contains(above, F.lit(" ")), F.regexp_replace(above, " [^ ]*$", "")).otherwise(above)  # a name of one word stays whole
+    ditto = F.trim(item).rlike(r"^[\s\-—–\"'`]{2,}") & (F.coalesce(above, F.lit("")) != "")
+    return F.when(ditto & (rest == ""), above).when(ditto, F.concat_ws(" ", stem, rest)).otherwise(item)
 
 
 def gate_presence(rows: DataFrame) -> DataFrame:
     """A struck row has no quantity and no printed total."""
     return rows.withColumn("qty", F.when(~F.col("struck_out"), F.col("qty"))).withColumn("row_total", F.when(F.col("struck_out"), "").otherwise(F.col("row_total")))
+
+
+def gate_date(forms: DataFrame) -> DataFrame:
+    """A form without a date has no order_date."""
+    return forms.withColumn("order_date", F.when(F.coalesce("date_present", F.lit(True)), F.col("order_date")).otherwise(""))
+
+
+def shift_rows_vertically(cells: DataFrame, first: DataFrame, down: bool = True) -> DataFrame:
+    """cells (form_id, row_idx, size, qty) with the quantities of each row from first (form_id, from_row) on moved to the next row, or the one above.
+
+    Rows are numbered without gaps. Going down, what leaves the form is gone, so rows (form_id, rows) bounds it; going up, the row above from_row takes what moves there.
+    """
+    moved = F.col("row_idx") >= F.col("from_row")
+    placed = cells.join(first, "form_id", "left").withColumn("_to", F.when(moved, F.col("row_idx") + (1 if down else -1)).otherwise(F.col("row_idx")))
+    inside = placed.where((F.col("_to") >= 1) & (F.col("rows").isNull() | (F.col("_to") <= F.col("rows"))))
+    if not down:  # what stood in the row above is replaced
+        inside = inside.where(~F.coalesce((F.col("row_idx") == F.col("from_row") - 1), F.lit(False)))
+    return inside.select("form_id", F.col("_to").alias("row_idx"), "size", "qty")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import likeness_form, normalize_name
 from tallyloom.operators.fuzzy import ratio
+from tallyloom.operators.matching import apply_offset
 
 
 def template_seen(forms: DataFrame) -> DataFrame:
@@ -60,12 +62,50 @@ def count_applied(fired: DataFrame) -> DataFrame:
     return fired.select("signature", "kind", "trigger", "form_id").distinct().groupBy("signature", "kind", "trigger").agg(F.count("*").alias("times_applied"))
 
 
-def apply_rules(rows: DataFrame, rules: DataFrame, least: float = 92.0) -> DataFrame:
-    """rows (.., signature, item) with item replaced by what the rule of its template with the nearest trigger says, from a ratio of `least` on, and fired: that trigger. Ties: the first trigger by text.
+def fired_rules(rows: DataFrame, rules: DataFrame, least: float = 92.0) -> DataFrame:
+    """(signature, item, fired, value) of each distinct name of a template that a rule (signature, trigger, value) fires on: the nearest trigger from a ratio of `least` on, ties to the first by text.
 
-    Each distinct name of a template is scored once, against the rules of that template only.
+    Names and triggers are compared without case and signs, each distinct pair of a template once.
     """
     names = rows.select("signature", "item").distinct()
-    scored = names.join(rules.select("signature", "trigger", "corrected"), "signature").withColumn("score", ratio("item", "trigger")).where(F.col("score") >= least)
-    best = scored.groupBy("signature", "item").agg(F.min(F.struct(-F.col("score"), "trigger", "corrected")).alias("b")).select("signature", "item", F.col("b.trigger").alias("fired"), F.col("b.corrected").alias("_corrected"))
+    scored = names.join(rules.select("signature", "trigger", "value"), "signature").withColumn("score", ratio(likeness_form(F.col("item")), likeness_form(F.col("trigger")))).where(F.col("score") >= least)
+    best = scored.groupBy("signature", "item").agg(F.min(F.struct(-F.col("score"), "trigger", "value")).alias("b"))
+    return best.select("signature", "item", F.col("b.trigger").alias("fired"), F.col("b.value").alias("value"))
+
+
+def apply_rules(rows: DataFrame, rules: DataFrame, least: float = 92.0) -> DataFrame:
+    """rows (.., signature, item) with item replaced by what the rule (signature, trigger, corrected) that fires on it says, and fired: its trigger."""
+    best = fired_rules(rows, rules.withColumnRenamed("corrected", "value"), least).withColumnRenamed("value", "_corrected")
     return rows.join(best, ["signature", "item"], "left").withColumn("item", F.coalesce("_corrected", "item")).drop("_corrected")
+
+
+def apply_shift_rules(rows: DataFrame, cells: DataFrame, headers: DataFrame, rules: DataFrame, least: float = 92.0) -> DataFrame:
+    """cells (form_id, row_idx, size, qty) moved by the offset of the shift rule (signature, trigger, offset) that fires on their row's name, as it is after apply_rules; others stay as they are."""
+    best = fired_rules(rows, rules.withColumnRenamed("offset", "value"), least)
+    offsets = rows.join(best, ["signature", "item"]).select("form_id", "row_idx", F.col("value").alias("offset"))
+    placed = cells.join(offsets, ["form_id", "row_idx"], "left").withColumn("offset", F.coalesce("offset", F.lit(0)))
+    return apply_offset(placed, headers)
+
+
+def correction_events(rows: DataFrame) -> DataFrame:
+    """Events (signature, kind, trigger, at, value; value null: a confirmation) of rows as shown and as submitted.
+
+    rows: signature, uid, at, item and cells as shown, submitted_item (null: not submitted) and submitted_cells, headers, and of the last correction that
+    fired fired_kind, rule_raw, rule_trigger and raw_cells, else null; cells are arrays of (size, qty). Rows without uid, new ones and those that were not submitted
+    teach nothing. A changed name is a substitution for what was read; the name of a fired substitution that stays is confirmed. Changed
+    quantities are a shift if one offset alone makes them from what was read; those of a fired shift that stay are confirmed.
+    """
+    name = F.trim(F.coalesce("submitted_item", F.lit("")))
+    sub, shift = F.coalesce(F.col("fired_kind") == "item_substitution", F.lit(False)), F.coalesce(F.col("fired_kind") == "column_shift", F.lit(False))
+    known = rows.where("signature is not null and coalesce(uid, '') <> '' and not contains(uid, '#new') and submitted_item is not null").withColumn("raw", F.when(shift, F.col("raw_cells")).otherwise(F.col("cells")))
+    same = F.array_sort("submitted_cells") == F.array_sort("cells")
+    known = detect_shift_offset(known.withColumn("submitted", F.col("submitted_cells")))
+    event = lambda when, kind, trigger, value: F.when(when, F.struct(F.lit(kind).alias("kind"), trigger.alias("trigger"), value.cast("string").alias("value")))
+    read, shown = F.when(sub, F.col("rule_raw")).otherwise(F.col("item")), F.when(shift, F.col("rule_trigger")).when(name != "", name).otherwise(F.col("item"))
+    nothing = F.lit(None).cast("string")
+    changed = (name != "") & (name != F.col("item"))
+    events = F.array_compact(F.array(
+        event(changed & (F.trim(read) != "") & (normalize_name(read) != normalize_name(name)), "item_substitution", read, name), event(~changed & (name != "") & sub, "item_substitution", read, nothing),
+        event(~same & F.col("offset").isNotNull() & (normalize_name(shown) != ""), "column_shift", shown, F.col("offset")), event(same & shift, "column_shift", shown, nothing),
+    ))
+    return known.select("signature", "uid", "at", F.explode(events).alias("e")).select("signature", "e.kind", normalize_name(F.col("e.trigger")).alias("trigger"), "at", "uid", "e.value")

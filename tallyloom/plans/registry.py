@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.operators import matching, orders, reconcile, rows, templates, totals
-from tallyloom.plans.views import SECOND, second_reading, view, with_views
+from tallyloom.plans.views import SECOND, second_reading, selected, view, with_views
 from tallyloom.sources import tables
 from tallyloom.streaming.usage import usage_windows
 
@@ -56,9 +56,14 @@ def catalog_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("bname", F.array_join("styles", ",").alias("styles"), F.array_join(F.col("sizes").cast("array<string>"), ",").alias("sizes"))
 
 
-@query(with_views("catalog") + "SELECT bsid, CAST(bsize AS VARCHAR) AS size, max(detid) AS detid FROM catalog GROUP BY bsid, bsize")
+@query(with_views("catalog") + """
+SELECT CASE WHEN detid % 7 = 0 OR detid % 11 = 0 THEN bid || bstyle ELSE bsid END AS bsid, CAST(bsize AS VARCHAR) AS size, max(detid) AS detid
+FROM catalog
+GROUP BY 1, 2
+""")
 def product_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders.product_groups(view(spark, sf_dir, "catalog"))
+    k = F.col("detid")
+    return orders.product_groups(view(spark, sf_dir, "catalog").withColumn("bsid", F.when(k % 7 == 0, "").when(k % 11 != 0, F.col("bsid"))))
 
 
 @query(with_views("form_rows", "cells", "forms", more="r AS (SELECT session_id, page, form_id * 100 + row_idx AS row_idx, sum(CASE WHEN qty > 0 THEN 1 ELSE 0 END) AS n, sum(qty) AS q FROM cells JOIN forms USING (form_id) GROUP BY ALL)") + "SELECT session_id, page, count(*) AS rows, CAST(sum(n) AS BIGINT) AS filled, CAST(sum(q) AS BIGINT) AS pieces FROM r GROUP BY ROLLUP (session_id, page)")
@@ -101,8 +106,7 @@ _ORDERS = with_views("form_rows", "cells", "catalog", more=", ".join((_SUBMITTED
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view(spark, sf_dir, "cells").createOrReplaceTempView("cells")
-    submitted = spark.sql(f"WITH {_SUBMITTED} SELECT * FROM s")
+    submitted = selected(spark, sf_dir, "SELECT * FROM s", "cells", "orders", more=_SUBMITTED)
     return orders.resolve_lines(submitted, orders.product_groups(view(spark, sf_dir, "catalog")))
 
 
@@ -214,14 +218,36 @@ def apply_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # readings and flags
 
-_READ = with_views("form_rows", "cells", more=f"b AS ({SECOND}), t AS (SELECT form_id, row_idx, max(qty) + CASE WHEN row_idx % 3 = 0 THEN 1 ELSE 0 END AS total FROM cells GROUP BY form_id, row_idx)")
-
-
-@query(_READ.rstrip() + ", j AS (SELECT coalesce(a.form_id, b.form_id) AS form_id, coalesce(a.row_idx, b.row_idx) AS row_idx, a.qty AS a, b.qty AS b FROM cells a FULL JOIN b ON a.form_id = b.form_id AND a.row_idx = b.row_idx AND a.size = b.size), g AS (SELECT form_id, row_idx, CAST(sum(a) AS BIGINT) AS sum_a, CAST(sum(b) AS BIGINT) AS sum_b, bool_or(a IS NULL OR b IS NULL) AS os, coalesce(bool_or(a <> b), false) AS ov FROM j GROUP BY ALL), h AS (SELECT g.*, total, coalesce(sum_a = total, false) AS oa, coalesce(sum_b = total, false) AS ob FROM g LEFT JOIN t USING (form_id, row_idx)) SELECT form_id, row_idx, sum_a, sum_b, total, CASE WHEN sum_a IS NULL OR sum_b IS NULL THEN 'ok' WHEN os THEN 'unverified' WHEN NOT ov THEN 'ok' WHEN oa <> ob THEN 'resolved' ELSE 'unresolved' END AS status, CASE WHEN sum_a IS NULL THEN 'second' WHEN NOT os AND ov AND ob AND NOT oa THEN 'second' ELSE 'first' END AS chosen FROM h")
+_READ = with_views("form_rows", "cells", more=f"b AS ({SECOND})")
+
+#: Two readings of rows of several cells: of some rows one has no cell, of others one cell more; some values are one higher.
+_TWO = """
+    k AS (SELECT form_id, row_idx, size, qty, form_id * 7 + row_idx AS k, CAST(size AS INT) AS s FROM grid),
+    one AS (SELECT form_id, row_idx, size, qty, k FROM k WHERE k % 19 <> 0),
+    two AS (SELECT form_id, row_idx, size, CASE WHEN k % 5 < 2 AND s % 10 = 0 THEN qty + 1 ELSE qty END AS qty, k FROM k WHERE k % 17 <> 0 AND NOT (k % 7 = 0 AND s % 10 = 5)),
+    total AS (
+        SELECT form_id, row_idx, CASE WHEN k % 3 = 0 THEN sum(qty) WHEN k % 3 = 1 THEN sum(CASE WHEN k % 5 < 2 AND s % 10 = 0 THEN qty + 1 ELSE qty END) END AS total
+        FROM k GROUP BY form_id, row_idx, k)"""
+
+
+@query(with_views("form_rows", "grid", more=_TWO) + """,
+    a AS (SELECT form_id, row_idx, sum(qty) AS sum_a, list(size ORDER BY size) AS keys, list(size || ':' || qty ORDER BY size) AS cells, max(CAST(size AS INT)) > 110 AS foreign_key FROM one GROUP BY ALL),
+    b AS (SELECT form_id, row_idx, sum(qty) AS sum_b, list(size ORDER BY size) AS keys, list(size || ':' || qty ORDER BY size) AS cells FROM two GROUP BY ALL),
+    j AS (
+        SELECT form_id, row_idx, sum_a, sum_b, total, foreign_key,
+               CASE WHEN sum_a IS NULL OR sum_b IS NULL OR foreign_key OR a.cells = b.cells THEN 'same' WHEN a.keys <> b.keys THEN 'sizes'
+                    WHEN sum_a = total AND sum_b <> total THEN 'a' WHEN sum_b = total AND sum_a <> total THEN 'b' ELSE 'open' END AS kind
+        FROM a FULL JOIN b USING (form_id, row_idx) LEFT JOIN total USING (form_id, row_idx))
+SELECT form_id, row_idx, CAST(sum_a AS BIGINT) AS sum_a, CAST(sum_b AS BIGINT) AS sum_b, CAST(total AS BIGINT) AS total,
+       CASE kind WHEN 'same' THEN 'ok' WHEN 'sizes' THEN 'unverified' WHEN 'open' THEN 'unresolved' ELSE 'resolved' END AS status,
+       CASE WHEN kind = 'b' THEN 'second' ELSE 'first' END AS chosen
+FROM j
+""")
 def reconcile_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = view(spark, sf_dir, "cells").select("form_id", "row_idx", "size", "qty")
-    printed = cells.groupBy("form_id", "row_idx").agg(F.max("qty").alias("total")).withColumn("total", F.col("total") + F.when(F.col("row_idx") % 3 == 0, 1).otherwise(0))
-    return reconcile.reconcile_readings(cells, second_reading(cells), printed)
+    read = lambda name: selected(spark, sf_dir, f"SELECT * FROM {name}", "grid", more=_TWO)
+    first = read("one")
+    headers = first.select("form_id").distinct().select("form_id", F.explode(F.transform(F.sequence(F.lit(40), F.lit(110), F.lit(5)), lambda s: s.cast("string"))).alias("size"))
+    return reconcile.reconcile_readings(first, read("two"), read("total"), headers)
 
 
 @query(_READ + "SELECT form_id, count(*) AS rows, CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) AS BIGINT) AS agree FROM (SELECT coalesce(a.form_id, b.form_id) AS form_id, coalesce(a.row_idx, b.row_idx) AS row_idx, bool_and(a.qty IS NOT DISTINCT FROM b.qty) AS same FROM cells a FULL JOIN b ON a.form_id = b.form_id AND a.row_idx = b.row_idx AND a.size = b.size GROUP BY ALL) GROUP BY form_id")
@@ -236,10 +262,10 @@ def coverage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.coverage_guard(second_reading(cells).where("size not like '%00'"), cells)
 
 
-@query(with_views("form_rows", more="f AS (SELECT form_id, row_idx % 2 AS row_idx, row_idx AS seq, CASE qty % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'unverified' WHEN 2 THEN 'resolved' ELSE 'unresolved' END AS status, CASE qty % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS sev, CAST(qty % 5 AS VARCHAR) AS size, CASE WHEN qty % 3 > 0 THEN 'note ' || qty % 3 END AS note FROM form_rows)") + "SELECT form_id, CAST(row_idx AS INT) AS row_idx, arg_min(status, (-sev, seq)) AS status, array_to_string(list_sort(list(DISTINCT size)), ',') AS sizes, coalesce(string_agg(note, ' | ' ORDER BY seq), '') AS note FROM f GROUP BY ALL")
+@query(with_views("form_rows", more="f AS (SELECT form_id, row_idx % 2 AS row_idx, row_idx AS seq, CASE qty % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'unverified' WHEN 2 THEN 'resolved' ELSE 'unresolved' END AS status, CASE qty % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS sev, (qty % 5) * 45 AS size, CASE WHEN qty % 3 > 0 THEN 'note ' || qty % 3 END AS note FROM form_rows)") + "SELECT form_id, CAST(row_idx AS INT) AS row_idx, arg_min(status, (-sev, seq)) AS status, array_to_string(list_sort(list(DISTINCT size)), ',') AS sizes, coalesce(string_agg(note, ' | ' ORDER BY seq), '') AS note FROM f GROUP BY ALL")
 def merge_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("qty")
-    flags = view(spark, sf_dir, "form_rows").select("form_id", (F.col("row_idx") % 2).alias("row_idx"), F.col("row_idx").alias("seq"), F.when(q % 4 == 0, "ok").when(q % 4 == 1, "unverified").when(q % 4 == 2, "resolved").otherwise("unresolved").alias("status"), F.array((q % 5).cast("string")).alias("sizes"), F.when(q % 3 > 0, F.concat(F.lit("note "), (q % 3).cast("string"))).alias("note"))
+    flags = view(spark, sf_dir, "form_rows").select("form_id", (F.col("row_idx") % 2).alias("row_idx"), F.col("row_idx").alias("seq"), F.when(q % 4 == 0, "ok").when(q % 4 == 1, "unverified").when(q % 4 == 2, "resolved").otherwise("unresolved").alias("status"), F.array((q % 5 * 45).cast("string")).alias("sizes"), F.when(q % 3 > 0, F.concat(F.lit("note "), (q % 3).cast("string"))).alias("note"))
     return reconcile.merge_flags(flags)
 
 
@@ -269,4 +295,4 @@ def preferred_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the rest registers itself
-from tallyloom.plans import review_queries  # noqa: E402, F401
+from tallyloom.plans import match_queries, review_queries  # noqa: E402, F401

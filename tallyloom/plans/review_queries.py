@@ -45,7 +45,7 @@ def parse_row_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '45:' || p_size WHEN 1 THEN '45:3,55:' || p_size ELSE '' END AS cells FROM part")
 def parse_pairs_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
-    line = F.when(_k() % 3 == 0, F.concat(F.lit("45: 10, 50:x, 55:0, 45 :"), size)).when(_k() % 3 == 1, F.concat(F.lit("3 x "), size)).otherwise("3 4")
+    line = F.when(_k() % 3 == 0, F.concat(F.lit("45: 10, 50:x, 55:0, 45 :"), size)).when(_k() % 3 == 1, F.concat(F.lit("3,,"), size)).otherwise("3 4")
     return _part(spark, sf_dir).select(_k(), _joined(text.parse_pairs_line(line, F.array(*map(F.lit, ("45", "50", "55"))))).alias("cells"))
 
 
@@ -253,11 +253,14 @@ def count_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.count_applied(view(spark, sf_dir, "cells").select((F.col("form_id") % 50).alias("signature"), F.lit("name").alias("kind"), F.col("p_name").alias("trigger"), "form_id"))
 
 
-@query()
+@query(with_views("form_rows", "cells", more="r AS (SELECT DISTINCT p_partkey % 50 AS signature, p_name AS t FROM part WHERE p_partkey % 3 = 0)") + """
+SELECT c.form_id, c.row_idx, c.form_id % 50 AS signature, CASE WHEN t IS NULL THEN p_name || 's' ELSE upper(p_name) END AS item, upper(t) AS fired
+FROM cells c LEFT JOIN r ON r.signature = c.form_id % 50 AND r.t = c.p_name
+""")
 def apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of every row with one letter misread, against rules of their template for a third of the names. Tested against brute force."""
+    """Names of every row with one letter misread, against rules of their template for a third of the names, whose triggers are written otherwise."""
     cells = view(spark, sf_dir, "cells").select("form_id", "row_idx", (F.col("form_id") % 50).alias("signature"), F.concat("p_name", F.lit("s")).alias("item"))
-    rules = _part(spark, sf_dir).where("p_partkey % 3 = 0").select((_k() % 50).alias("signature"), F.col("p_name").alias("trigger"), F.upper("p_name").alias("corrected")).distinct()
+    rules = _part(spark, sf_dir).where("p_partkey % 3 = 0").select((_k() % 50).alias("signature"), F.upper("p_name").alias("trigger"), F.upper("p_name").alias("corrected")).distinct()
     return templates.apply_rules(cells, rules)
 
 

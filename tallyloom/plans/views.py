@@ -11,16 +11,31 @@ SQL = {
     "buyers": "SELECT c_custkey AS head_id, c_name AS name, n_name AS city, CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS is_active FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "form_rows": "SELECT l_orderkey AS form_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS row_idx, l_partkey, l_suppkey, CAST(l_quantity AS INT) AS qty, l_returnflag, l_linestatus, CAST(floor(l_extendedprice) AS BIGINT) AS price FROM lineitem",
     "cells": "SELECT form_id, row_idx, CAST(p_size * 5 AS VARCHAR(9)) AS size, qty, p_partkey, p_name, p_type, l_returnflag, l_linestatus FROM form_rows JOIN part ON l_partkey = p_partkey",
+    "grid": "SELECT form_id, row_idx, CAST(40 + 5 * ((l_partkey + n) % 16) AS VARCHAR(9)) AS size, CAST((qty + n * 7) % 30 AS INT) AS qty, l_partkey FROM form_rows, (VALUES (0), (1), (2), (3), (4), (5)) AS t(n) WHERE n < 3 + l_partkey % 4",
     "forms": "SELECT o_orderkey AS form_id, o_custkey AS session_id, c_name AS party_name, o_orderdate, o_orderstatus, o_orderpriority, CAST(o_orderkey % 5 AS INT) AS page FROM orders JOIN customer ON o_custkey = c_custkey",
 }
 
 
+#: What each stands on.
+NEEDS = {"catalog": ("part",), "buyers": ("customer", "nation"), "form_rows": ("lineitem",), "cells": ("form_rows", "part"), "grid": ("form_rows",), "forms": ("orders", "customer")}
+
+
+def selected(spark: SparkSession, sf_dir: str, text: str, *names: str, more: str = "") -> DataFrame:
+    """A query over stand-ins and tables by name. They are named within the query alone: no view of the session is made or replaced."""
+    parts: dict[str, str] = {}
+
+    def add(name: str) -> None:
+        for other in NEEDS.get(name, ()):
+            add(other)
+        parts.setdefault(name, SQL.get(name) or f"SELECT * FROM parquet.`{sf_dir}/{name}.parquet`")
+
+    for name in names:
+        add(name)
+    return spark.sql("WITH " + ", ".join(f"{n} AS ({q})" for n, q in parts.items()) + (", " + more if more else "") + " " + text)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in, with what it stands on registered before it under names of this library's own."""
-    for table in ("part", "customer", "nation", "lineitem", "orders"):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    spark.sql(SQL["form_rows"]).createOrReplaceTempView("form_rows")
-    return spark.sql(SQL[name])
+    return selected(spark, sf_dir, f"SELECT * FROM {name}", name)
 
 
 def second_reading(cells: DataFrame) -> DataFrame:

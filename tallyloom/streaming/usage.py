@@ -11,3 +11,9 @@ def usage_windows(calls: DataFrame, width: str = "1 day", slide: str | None = No
     calls = calls.withWatermark("ts", late) if calls.isStreaming else calls
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     return calls.groupBy(window.alias("w"), "model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("tokens")).select(F.col("w.start").alias("start"), "model", "calls", "tokens")
+
+
+def usage_sessions(calls: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Calls and tokens of each image in sessions, which end where nothing comes for `gap`."""
+    calls = calls.withWatermark("ts", late) if calls.isStreaming else calls
+    return calls.groupBy(F.session_window("ts", gap).alias("w"), "image").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("tokens")).select("image", F.col("w.start").alias("start"), "calls", "tokens")

@@ -27,7 +27,9 @@ SEARCHED, BUYER_HIT, SUGGESTED, SELECTED, LEAD, BAND = 40, 88, 70, 90, 8, 8
 
 def _against_all(texts: DataFrame, keys: DataFrame, take: Callable[[str, list[tuple[int, str]]], list[tuple]], columns: str, at_once: int = KEYS_AT_ONCE) -> DataFrame:
     """(text, columns..) rows that take makes of each distinct text and the keys (ord long, key), part by part."""
-    spark, texts = texts.sparkSession, texts.select("text").where("text is not null").distinct()
+    spark = texts.sparkSession
+    # few texts are much work: they are dealt to all cores, however small they are together
+    texts = texts.select("text").where("text is not null").distinct().repartition(2 * spark.sparkContext.defaultParallelism, "text")
     parts = max(1, -(-keys.count() // at_once))
     out = None
     for part in range(parts):

@@ -22,11 +22,17 @@ def codes(text: str) -> list[str]:
     return re.findall(r"[0-9]{3,}", text)
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence; a row of the table is the bits of one number."""
+def _masks(a: str) -> dict[str, int]:
+    """For each character the bits of its places."""
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def _common(a: str, b: str, at: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence; a row of the table is the bits of one number. at: the masks of a, where known."""
+    at = _masks(a) if at is None else at
     row = (1 << len(a)) - 1
     for c in b:
         hit = row & at.get(c, 0)
@@ -44,7 +50,12 @@ def _partial(a: str, b: str) -> float:
     n = len(short)
     if not n:
         return 100.0 if not long else 0.0
-    return max(_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
+    at, best = _masks(short), 0.0
+    for i in range(1 - n, len(long)):
+        part = long[max(0, i) : i + n]
+        if 200.0 * len(part) / (n + len(part)) > best:  # a shorter stretch can score no more than this
+            best = max(best, 200.0 * _common(short, part, at) / (n + len(part)))
+    return best
 
 
 def _token_parts(a: str, b: str) -> tuple[str, str, str]:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import operator
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,41 +21,58 @@ WORD_TERMS, SHAPE_TERMS = 1536, 510
 TERMS = WORD_TERMS + SHAPE_TERMS + 2
 #: Length of a vector; labelled documents broadcast, at most; neighbours that vote.
 DIMENSIONS, LABELLED, NEIGHBOURS = 64, 6000, 15
-#: Words whose terms a worker remembers.
+#: Shapes of words whose terms a worker remembers.
 MEMORY = 200_000
 _RUN = re.compile(r"(.)\1+")
 
 
-def _shape(word: str) -> str:
-    """Letters as A, a or 9 by kind, other characters as they are, runs as one."""
-    return _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word))
+class _Kinds(dict):
+    """Letters as A, a or 9 by kind, other characters as they are, for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
+_KINDS = _Kinds()
 
 
 class Terms:
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
+        self.shapes: dict[str, int] = {}
 
-    def of(self, word: str) -> tuple[int, int]:
-        found = self.known.get(word)
+    def _shape(self, kinds: str) -> int:
+        """The term of a word's kinds of letters, with runs as one."""
+        found = self.shapes.get(kinds)
         if found is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            found = (zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_TERMS, WORD_TERMS + zlib.crc32(_shape(word).encode("utf-8", "surrogatepass")) % SHAPE_TERMS)
-            if len(word) <= 64:  # a bound of memory, not of the shape
-                self.known[word] = found
+            if len(self.shapes) >= MEMORY:
+                self.shapes.clear()
+            found = WORD_TERMS + zlib.crc32(_RUN.sub(r"\1", kinds).encode()) % SHAPE_TERMS
+            if len(kinds) <= 64:  # a bound of memory, not of the shape
+                self.shapes[kinds] = found
         return found
 
-    def counts(self, text: str) -> np.ndarray:
-        words = text.split()
-        if not words:
-            out = np.zeros(TERMS, np.float32)
-            out[-1] = 1
-            return out
-        own = Counter(words)
-        pairs = np.array([*map(self.of, own)], np.int64)
-        n = np.fromiter(own.values(), np.float64, len(own))
-        out = np.bincount(pairs.ravel(), np.repeat(n, 2), TERMS).astype(np.float32)
-        out[-2] = sum(map(operator.eq, words, words[1:]))
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The word term and the shape term of each word. Words hold no line break, so all are lowered and turned to kinds at once."""
+        joined = "\n".join(words)
+        lowered, kinds = joined.lower().encode().split(b"\n"), joined.translate(_KINDS).split("\n")
+        return np.fromiter(map(zlib.crc32, lowered), np.int64) % WORD_TERMS, np.fromiter(map(self._shape, kinds), np.int64)
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """A row of term counts for each text. The words of all texts are split by Arrow, and each distinct one is looked up once."""
+        rows, lists = len(texts), pc.utf8_split_whitespace(texts)
+        words = lists.flatten()
+        whole = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # space at an end leaves an empty word
+        row = np.repeat(np.arange(rows), lists.value_lengths().to_numpy(zero_copy_only=False))[whole]
+        coded = words.filter(pa.array(whole)).dictionary_encode()
+        word, shape = self.of(coded.dictionary.to_pylist())
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        at = row * TERMS
+        out = np.bincount(np.concatenate([at + word[code], at + shape[code]]), minlength=rows * TERMS).reshape(rows, TERMS).astype(np.float32)
+        same = (code[1:] == code[:-1]) & (row[1:] == row[:-1])
+        out[:, -2] = np.bincount(row[1:][same], minlength=rows)
+        out[:, -1] = np.bincount(row, minlength=rows) == 0
         return out
 
 
@@ -103,8 +119,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(TERMS, np.int64), 0
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                seen += _terms.counts(text) > 0
+            seen += (_terms.counts(batch.column(0)) > 0).sum(0)
             n += batch.num_rows
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], n), pa.int64())], ["term", "n"])
@@ -131,8 +146,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, out: int = 2, th
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            counts = [_terms.counts(t) for t in batch.column(1).to_pylist()]
-            sparse = [(at := np.flatnonzero(c).astype(np.int32), c[at]) for c in counts]
+            sparse = [(at := np.flatnonzero(c).astype(np.int32), c[at]) for c in _terms.counts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([s[0] for s in sparse], pa.list_(pa.int32())), pa.array([s[1] for s in sparse], pa.list_(pa.float32()))], ["label", "terms", "counts"])
 
     table = rows.mapInArrow(count, "label int, terms array<int>, counts array<float>").toArrow()
@@ -154,7 +168,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, out: int = 2, th
                 scores = np.full(batch.num_rows, 0.5)
             else:
                 space, known, marks = model.value
-                scores = vote(space.vectors(np.stack([_terms.counts(t) for t in batch.column(1).to_pylist()])), known, marks, neighbours) if batch.num_rows else np.zeros(0)
+                scores = vote(space.vectors(_terms.counts(batch.column(1))), known, marks, neighbours)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = documents(docs).mapInArrow(score, "doc_id long, score double")

@@ -1,6 +1,11 @@
 """Models and joins that the corpus operators stand on, against plain versions."""
 
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyloom.llm import _shared, quality, toxicity
@@ -38,6 +43,26 @@ def test_votes_of_exact_neighbours():
         assert abs(got - sum(w * labels[i] for w, i in zip(weight, near)) / sum(weight)) < 1e-9
 
 
+def plain_counts(text):
+    """Terms of one text, word by word."""
+    out = np.zeros(quality.TERMS)
+    words = text.split()
+    for word, n in Counter(words).items():
+        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+        out[zlib.crc32(word.lower().encode()) % quality.WORD_TERMS] += n
+        out[quality.WORD_TERMS + zlib.crc32(re.sub(r"(.)\1+", r"\1", kinds).encode()) % quality.SHAPE_TERMS] += n
+    out[-2] = sum(a == b for a, b in zip(words, words[1:]))
+    out[-1] = not words
+    return out
+
+
+def test_terms_of_many_texts_are_those_of_each():
+    texts = ["", "  ", "a a B b", " Tab\tand\x1cother\u3000space\x85here ", "ÉTÉ été 12,50!! ___", "漢字 😀😀 \0", "x" * 5000 + " y" * 3000, "a"]
+    got = quality.Terms().counts(pa.array(["not in the slice", *texts]).slice(1))
+    assert (got == np.stack([*map(plain_counts, texts)])).all()
+    assert quality.Terms().counts(pa.array([], pa.string())).shape == (0, quality.TERMS)
+
+
 def test_joins_of_hot_and_of_possible_keys(spark):
     rows = _shared.written(spark.range(6000).select((F.when(F.col("id") < 2500, 1).otherwise(F.col("id"))).alias("k"), "id"), "rows")
     groups = _shared.written(rows.groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 1"), "groups")

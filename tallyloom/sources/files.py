@@ -1,10 +1,12 @@
-"""Usage logs in, reviews and order forms out."""
+"""Usage logs, forms, images and markup in; reviews, order forms, orders, usage and audit records out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import parse_total
+
 _USAGE = "timestamp_utc timestamp, image string, model string, mode string, input_tokens long, cache_read_tokens long, cache_write_tokens long, output_tokens long, estimated_cost_usd double"
 
 
@@ -25,3 +27,103 @@ def write_order_forms(cells: DataFrame, path: str) -> None:
     items = once.groupBy("form_id", "row_idx", "item").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("size", "qty")))).alias("quantities"))
     forms = items.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "item", F.map_entries("quantities").alias("q")))).alias("r"))
     forms.select("form_id", F.transform("r", lambda i: F.struct(i["item"].alias("item"), F.map_from_entries(i["q"]).alias("quantities"))).alias("items")).write.mode("overwrite").json(path)
+
+
+#: Extensions of images, and of a form's artefacts before .json with their shapes.
+IMAGES = ("jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff")
+_ITEM = "struct<item:string,type:string,quantities:map<string,int>>"
+_ARTEFACTS = {
+    "form": f"seller_name string, party_name string, order_no string, order_date string, items array<{_ITEM}>",
+    "stageA": "size_headers array<string>",
+    "raw": "items array<struct<row_total:string,struck_out:boolean>>",
+    "recount_flags": "array<struct<status:string,note:string>>",
+    "brandlist": "array<struct<matched:string,score:double>>",
+    "party_check": "status string, note string",
+    "template_learning": "matched boolean, occurrences int",
+}
+
+
+def _file(path: Column) -> Column:
+    """The last part of a path, decoded."""
+    return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
+
+
+def list_images(spark: SparkSession, path: str) -> DataFrame:
+    """Images below a folder in order of their paths: path, length, name. The name is the file's stem with other than letters, digits, space, - and _ as _, page where blank; of equal names the second is `name (2)`.
+
+    Contents are not read. Equal names are numbered by name, so a folder of many names is many groups.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGES))
+    stem = F.trim(F.regexp_replace(F.regexp_replace(_file(F.col("path")), r"\.[^.]*$", ""), r"[^\p{L}\p{N} _-]", "_"))
+    named = files.withColumn("name", F.when(stem == "", "page").otherwise(stem))
+    n = F.row_number().over(Window.partitionBy("name").orderBy("path"))
+    return named.withColumn("_n", n).withColumn("name", F.when(F.col("_n") > 1, F.concat("name", F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise(F.col("name"))).drop("_n")
+
+
+def read_page_markup(spark: SparkSession, path: str) -> DataFrame:
+    """form_id, raw_text: the whole text of each file below a folder, by its name without the extension."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return files.select(F.regexp_replace(_file(F.input_file_name()), r"\.[^.]*$", "").alias("form_id"), F.col("value").alias("raw_text"))
+
+
+def read_form_json(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each form of a folder with what stands beside it: form_id, form, stageA, raw, recount_flags, brandlist, party_check, template_learning.
+
+    Form X is X.json, its artefacts X.raw.json and so on. A missing file, or one that is no JSON, is null. A form without X.json has no row.
+    """
+    name = F.regexp_replace(_file(F.input_file_name()), r"\.json$", "")
+    kinds = [k for k in _ARTEFACTS if k != "form"]
+    ending = F.regexp_extract(name, r"\.(" + "|".join(kinds) + ")$", 1)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(name.alias("name"), ending.alias("kind"), "value")
+    own = files.select(F.when(F.col("kind") == "", F.col("name")).otherwise(F.expr("substr(name, 1, length(name) - length(kind) - 1)")).alias("form_id"), F.when(F.col("kind") == "", "form").otherwise(F.col("kind")).alias("kind"), "value")
+    wide = own.groupBy("form_id").pivot("kind", list(_ARTEFACTS)).agg(F.first("value")).where("form is not null")
+    parsed = [F.when(F.try_parse_json(F.col(k)).isNotNull(), F.from_json(k, shape)).alias(k) for k, shape in _ARTEFACTS.items()]
+    return wide.select("form_id", *parsed)
+
+
+def form_rows(forms: DataFrame) -> DataFrame:
+    """The items of read_form_json's forms as rows, each with what has its index in the other artefacts: form_id, row_idx (from 0), item, kind, quantities, status, note, matched, score, printed_total, struck_out."""
+    items = forms.select("form_id", "raw", "recount_flags", "brandlist", F.posexplode("form.items").alias("row_idx", "i"))
+    flag, match, raw = F.get("recount_flags", "row_idx"), F.get("brandlist", "row_idx"), F.get(F.col("raw.items"), F.col("row_idx"))
+    return items.select("form_id", "row_idx", F.col("i.item").alias("item"), F.col("i.type").alias("kind"), F.col("i.quantities").alias("quantities"), flag["status"].alias("status"), flag["note"].alias("note"), match["matched"].alias("matched"), match["score"].alias("score"), parse_total(raw["row_total"]).alias("printed_total"), F.coalesce(raw["struck_out"], F.lit(False)).alias("struck_out"))
+
+
+def write_orders(master: DataFrame, details: DataFrame, path: str, batch: str) -> bool:
+    """Both tables of a batch, or neither: they are written below path/batch=..., and count once a row in path/published names the batch. False if the batch is published already; one that failed before is written anew.
+
+    A detail (order_no, det_id) that comes twice is an error.
+    """
+    spark = master.sparkSession
+    if not published(spark, path).where(F.col("batch") == batch).isEmpty():
+        return False
+    twice = details.groupBy("order_no", "det_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"order {twice[0]['order_no']} has detail {twice[0]['det_id']} twice")
+    master.write.mode("overwrite").parquet(f"{path}/master/batch={batch}")
+    details.write.mode("overwrite").parquet(f"{path}/details/batch={batch}")
+    spark.range(1).select(F.lit(batch).alias("batch")).coalesce(1).write.mode("append").parquet(f"{path}/published")
+    return True
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """batch of each one that write_orders has finished."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/published")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "batch string")
+    return spark.read.schema("batch string").parquet(f"{path}/published")
+
+
+def read_orders(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """master or details of the batches that are published. There are few batches beside rows, so their names are left to be broadcast by size."""
+    return spark.read.parquet(f"{path}/{table}").withColumn("batch", F.col("batch").cast("string")).join(published(spark, path).distinct(), "batch", "left_semi")
+
+
+def append_usage(calls: DataFrame, path: str) -> None:
+    """Calls, failed ones too, after those of a log folder, in the columns that read_usage_log reads as new."""
+    names = [c.split()[0] for c in (_USAGE + ", duration_seconds double, error string").split(", ")]
+    calls.select(*names).write.mode("append").csv(path, header=True)
+
+
+def write_audit(orders: DataFrame, path: str) -> None:
+    """A JSON record for each order (order_no, session, submitted_at, extracted, submitted, detail_rows: any types), in a folder for each day."""
+    orders.withColumn("day", F.to_date("submitted_at")).repartition("day", F.pmod(F.xxhash64("order_no"), F.lit(16))).write.mode("append").partitionBy("day").json(path)

@@ -132,12 +132,17 @@ def parse_pairs_line(text: Column, headers: Column) -> Column:
     return F.filter(good, lambda p, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda q: q["size"] == p["size"]))
 
 
-def strip_markup(text: Column) -> Column:
-    """A piece of markup as text: breaks are spaces, tags go, four entities are read, spaces are run together; a placeholder in brackets is nothing."""
+def plain_markup(text: Column) -> Column:
+    """A piece of markup as text: breaks are spaces, tags go, four entities are read, spaces are run together."""
     flat = F.regexp_replace(F.regexp_replace(text, r"(?i)<br[ \t\r\n]*/?>", " "), "<[^>]*>", "")
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")):
         flat = F.replace(flat, F.lit(entity), F.lit(char))
-    flat = F.trim(F.regexp_replace(flat, r"[ \t\r\n]+", " "))
+    return F.trim(F.regexp_replace(flat, r"[ \t\r\n]+", " "))
+
+
+def strip_markup(text: Column) -> Column:
+    """As plain_markup; a placeholder in brackets is nothing."""
+    flat = plain_markup(text)
     return F.when(flat.rlike(r"^\[.*\]$"), "").otherwise(flat)
 
 

@@ -15,6 +15,7 @@ from tallyloom.functions.text import correct_lookalike_digits, split_merged_qty
 
 #: Letter sizes in their order, and texts of a dash.
 LETTERS = ("XS", "S", "M", "L", "XL", "XXL", "3XL", "4XL")
+LABELS = (*LETTERS, "2XL")
 DASHES = ("一", "-")
 #: Least score, pixels within which marks are the same, least height of a header band, most of a quantity.
 SURE, SAME, BAND, MOST = 0.5, 15.0, 15.0, 500
@@ -113,28 +114,36 @@ def name_matches(seen: Column, expected: Column) -> Column:
     return (F.coalesce(seen, F.lit("")) == "") | (F.size(words) == 0) | F.exists(words, lambda w: F.contains(F.upper(seen), w))
 
 
+def least_in_order(costs: list[list[tuple]]) -> tuple[list[int], tuple]:
+    """The column of each row of costs, in order and one each, with the least sum of costs, and that sum. There are as many columns as rows or more."""
+    width = len(costs[0]) if costs else 0
+    none = tuple(0 for _ in costs[0][0]) if width else ()
+    # least[j]: the least cost of the rows so far on the first j columns; taken: whether the last row is on column j
+    least, taken = [none] * (width + 1), []
+    for row in costs:
+        now, use = [None], [False]
+        for j, cost in enumerate(row, 1):
+            on = least[j - 1] and tuple(a + b for a, b in zip(least[j - 1], cost))
+            use.append(on is not None and (now[-1] is None or on < now[-1]))
+            now.append(on if use[-1] else now[-1])
+        least, taken = now, [*taken, use]
+    at, j = [], width
+    for use in reversed(taken):
+        while not use[j]:
+            j -= 1
+        j -= 1
+        at.append(j)
+    return at[::-1], least[-1]
+
+
 def _nearest_in_order(marks: pd.Series, headers: pd.Series) -> pd.DataFrame:
     """For each row its marks' headers, in order and one each, with the least sum of distances, and the mean distance."""
 
     def one(xs: list[float], hs: list[float]) -> tuple[list[int] | None, float | None]:
         if not len(xs) or len(xs) > len(hs):
             return None, None
-        # least[j]: the least cost of the marks so far on the first j headers; taken: whether the last mark is on header j
-        least, taken = [0.0] * (len(hs) + 1), []
-        for x in xs:
-            now, use = [float("inf")], [False]
-            for j, h in enumerate(hs, 1):
-                on = least[j - 1] + abs(x - h)
-                use.append(on < now[-1])
-                now.append(min(on, now[-1]))
-            least, taken = now, [*taken, use]
-        at, j = [], len(hs)
-        for use in reversed(taken):
-            while not use[j]:
-                j -= 1
-            j -= 1
-            at.append(j)
-        return at[::-1], least[-1] / len(xs)
+        at, (cost,) = least_in_order([[(abs(x - h),) for h in hs] for x in xs])
+        return at, cost / len(xs)
 
     return pd.DataFrame([one(m, h) for m, h in zip(marks, headers)], columns=["at", "cost"])
 
@@ -196,3 +205,193 @@ def fill_collapsed_names(rows: DataFrame) -> DataFrame:
     item, label = F.trim(F.coalesce("item", F.lit(""))), F.trim(F.regexp_replace(F.coalesce("label", F.lit("")), r"^\d+\.\s*", ""))
     collapsed = (item == "") | (F.lower(item) == F.lower(F.trim(F.coalesce("kind", F.lit("")))))
     return rows.withColumn("item", F.when(collapsed & (label != ""), label).otherwise(F.col("item")))
+
+
+def overflow_columns(tokens: DataFrame, bands: DataFrame, located: DataFrame, sizes: DataFrame, centres: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Columns written behind the last printed one: their headers (form_id, size, x, bottom) and their marks (form_id, token_id, part, qty, x, y).
+
+    A label is a sure number of the catalog's sizes (size), no header, up to 1.2 spacings right of the columns, with a quantity below it (0.3 spacings in x, 1.5
+    bands in y; the first by token_id). Where over half the form's rows (centres: form_id, row_idx, y) have a number within a spacing, it is no label. Its quantity, and
+    what stands below the label in its column, are marks; those within 15 pixels of a known one, or of an earlier one of the column, go.
+    """
+    sure = tokens.where(F.col("score") >= SURE).withColumns({"_x": _x(), "_y": _y()})
+    digit = sure.where(F.col("text").rlike("^[0-9]+$")).select("form_id", F.col("token_id").alias("_id"), F.col("text").try_cast("long").alias("_q"), F.col("_x").alias("_dx"), F.col("_y").alias("_dy"))
+    known = sizes.select(F.col("size").cast("string").alias("text")).distinct()
+    labels = sure.join(bands.select("form_id", "bottom", "band", "spacing", "ceiling"), "form_id").where("y0 > bottom and _x > ceiling and _x <= ceiling + 1.2 * spacing").join(known, "text", "left_semi")
+    labels = labels.join(located.select("form_id", F.col("size").alias("text")), ["form_id", "text"], "left_anti").select("form_id", "token_id", "text", "_x", "_y", "y1", "band", "spacing")
+    below = labels.join(digit, "form_id").where("abs(_dx - _x) <= 0.3 * spacing and _dy > _y and _dy - _y <= 1.5 * band")
+    key = ["form_id", "token_id"]
+    paired = below.groupBy(*key, "text", "_x", "y1", "band", "spacing").agg(F.min_by(F.struct("_id", "_q", "_dx", "_dy"), "_id").alias("c"))
+    rows = centres.groupBy("form_id").agg(F.count("*").alias("_rows"))
+    near = paired.select(*key, "_x", "band", "spacing").join(centres.select("form_id", "row_idx", F.col("y").alias("_cy")), "form_id").join(digit, "form_id").where("abs(_dy - _cy) <= band and abs(_dx - _x) <= spacing")
+    dense = near.groupBy(*key).agg(F.count_distinct("row_idx").alias("_near")).join(rows, "form_id").where("_near > 0.5 * _rows")
+    good = paired.where(F.col("c._q").between(1, MOST)).join(dense, key, "left_anti")
+    first = good.groupBy("form_id", "text").agg(F.min_by(F.struct("_x", "y1", "spacing", "c"), "token_id").alias("l")).select("form_id", F.col("text").alias("size"), F.col("l._x").alias("_hx"), F.col("l.y1").alias("_bottom"), F.col("l.spacing").alias("_s"), "l.c")
+
+    held = first.select("form_id", F.col("c._id").alias("token_id"), F.col("c._q").cast("int").alias("qty"), F.col("c._dx").alias("x"), F.col("c._dy").alias("y")).distinct()
+    qty = F.when(F.col("text").rlike("^[0-9]+$"), F.col("text").try_cast("long")).otherwise(correct_lookalike_digits(F.col("text")).cast("long"))
+    column = sure.join(first, "form_id").where("y0 > _bottom and abs(_x - _hx) <= 0.3 * _s").withColumn("_q", qty).where(F.col("_q").between(1, MOST))
+    column = column.select("form_id", "token_id", F.col("_q").cast("int").alias("qty"), F.col("_x").alias("x"), F.col("_y").alias("y")).distinct()
+
+    def far_from(new: DataFrame, old: DataFrame, more: str = "true") -> DataFrame:
+        old = old.select(F.col("form_id").alias("_f"), F.col("token_id").alias("_id"), F.col("x").alias("_ox"), F.col("y").alias("_oy"))
+        return new.join(old, F.expr(f"form_id = _f and abs(x - _ox) <= {SAME} and abs(y - _oy) <= {SAME} and {more}"), "left_anti")
+
+    column = far_from(far_from(column, marks.select("form_id", "token_id", "x", "y")), held)
+    added = held.unionByName(far_from(column, column, "_id < token_id"))
+    return first.select("form_id", "size", F.col("_hx").alias("x"), F.col("_bottom").alias("bottom")), added.select("form_id", "token_id", F.lit(0).alias("part"), "qty", "x", "y")
+
+
+def recover_centres(rows: DataFrame, tables: DataFrame) -> DataFrame:
+    """rows (form_id, row_idx, center, top, bottom, name_y; shares of the page's height) with center mended.
+
+    The height of its name counts where that is known. Else a center that a neighbour has too is no measurement: rows then share the height of the table
+    (form_id, top_frac, bottom_frac) by their own heights, the middle one of the trusted heights for those without, if three can be trusted.
+    """
+    page, line = Window.partitionBy("form_id"), Window.partitionBy("form_id").orderBy("row_idx")
+    same = lambda other: F.coalesce(F.abs(other - F.col("center")) < 1e-6, F.lit(False))
+    placed = rows.join(tables.select("form_id", "top_frac", "bottom_frac"), "form_id", "left").withColumn("_tied", same(F.lag("center").over(line)) | same(F.lead("center").over(line)))
+    height = F.col("bottom") - F.col("top")
+    placed = placed.withColumn("_h", F.when(~F.col("_tied") & (height > 0), height))
+    placed = placed.withColumn("_all", F.sort_array(F.collect_list("_h").over(page)))
+    typical = F.get("_all", F.floor(F.size("_all") / 2).cast("int"))
+    placed = placed.withColumn("_w", F.coalesce("_h", typical))
+    upto = F.sum("_w").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    share = F.col("top_frac") + (upto - F.col("_w") / 2) * (F.col("bottom_frac") - F.col("top_frac")) / F.sum("_w").over(page)
+    may = (F.size("_all") >= 3) & (F.col("top_frac") >= 0) & (F.col("top_frac") < F.col("bottom_frac")) & (F.col("bottom_frac") <= 1)
+    return placed.withColumn("center", F.when(F.col("name_y").isNotNull(), F.col("name_y")).when(F.col("_tied") & may, share).otherwise(F.col("center"))).drop("_tied", "_h", "_all", "_w", "top_frac", "bottom_frac")
+
+
+def _clusters_in_order(clusters: pd.Series, rows: pd.Series) -> pd.Series:
+    """For each form the place of each cluster's row."""
+
+    def one(marks: list, items: list) -> list[int] | None:
+        if len(marks) > len(items):
+            return None
+        blank = sum(i["total"] is None for i in items)
+        void = lambda i: i["total"] is None and blank < 0.5 * len(items)
+        cost = lambda c, i: (-int(i["total"] == c["qty"]), int(void(i)), abs(c["y"] - i["y"]))
+        return least_in_order([[cost(c, i) for i in items] for c in marks])[0]
+
+    return pd.Series([one(c, r) for c, r in zip(clusters, rows)])
+
+
+def assign_clusters_to_rows(clusters: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters of marks (form_id, cluster, y, qty: their sum) with row_idx, and the rows (form_id, row_idx) that are taken for empty.
+
+    rows: form_id, row_idx, y, total (null: none is printed). In order, one cluster a row: as many sums as can be that are the row's total, then as few rows that may be void, then
+    the least distance. Rows without a total may be void where under half of the form's rows lack one; those that get no cluster are empty. A form with more clusters than rows goes.
+    """
+    page = rows.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "y", F.col("total").cast("long").alias("total")))).alias("_r"))
+    found = clusters.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct("y", "cluster", F.col("qty").cast("long").alias("qty")))).alias("_c")).join(page, "form_id")
+    solved = found.withColumn("_a", pandas_udf(_clusters_in_order, "array<int>")("_c", "_r")).where("_a is not null")
+    each = solved.select("form_id", "_r", F.explode(F.arrays_zip(F.col("_c").alias("c"), F.col("_a").alias("at"))).alias("e"))
+    given = each.select("form_id", F.col("e.c.cluster").alias("cluster"), F.col("e.c.y").alias("y"), F.col("e.c.qty").alias("qty"), F.get("_r", F.col("e.at"))["row_idx"].alias("row_idx"))
+    blank = F.filter("_r", lambda r: r["total"].isNull())
+    rest = F.filter(F.transform("_r", lambda r, i: F.struct(r["row_idx"].alias("row_idx"), (r["total"].isNull() & ~F.array_contains("_a", i)).alias("void"))), lambda r: r["void"])
+    empty = solved.where(F.size(blank) < 0.5 * F.size("_r")).select("form_id", F.explode(rest).alias("r")).select("form_id", "r.row_idx")
+    return given, empty
+
+
+def calibrate_drift(marks: DataFrame, located: DataFrame, rows: DataFrame, sure: float = 12.0) -> DataFrame:
+    """(form_id, a, b): how far marks (form_id, row_idx, x, qty) lie right of their headers, a * y + b, at a row's height y (rows: form_id, row_idx, y; a share of the page's).
+
+    Fitted to the rows whose marks lie within `sure` pixels of their headers in the mean; forms with fewer than three, or with these within 0.08 of the height, go.
+    """
+    first = assign_marks_to_headers(marks, located, float("inf")).where(F.col("cost") < sure).join(located.select("form_id", "size", F.col("x").alias("_hx")), ["form_id", "size"])
+    points = first.groupBy("form_id", "row_idx").agg(F.avg(F.col("x") - F.col("_hx")).alias("_off")).join(rows.select("form_id", "row_idx", "y"), ["form_id", "row_idx"])
+    fitted = points.groupBy("form_id").agg(F.count("*").alias("_n"), (F.max("y") - F.min("y")).alias("_spread"), F.regr_slope("_off", "y").alias("a"), F.regr_intercept("_off", "y").alias("b"))
+    return fitted.where("_n >= 3 and _spread >= 0.08").select("form_id", "a", "b")
+
+
+def assign_with_drift(marks: DataFrame, located: DataFrame, rows: DataFrame) -> DataFrame:
+    """assign_marks_to_headers once more, after marks have moved back by their form's drift; x stays as it was."""
+    drift = calibrate_drift(marks, located, rows)
+    shift = F.coalesce(F.col("a") * F.col("y") + F.col("b"), F.lit(0.0))
+    moved = marks.join(rows.select("form_id", "row_idx", "y"), ["form_id", "row_idx"], "left").join(drift, "form_id", "left").select("form_id", "row_idx", (F.col("x") - shift).alias("x"), "qty")
+    shifts = rows.join(drift, "form_id").select("form_id", "row_idx", shift.alias("_shift"))
+    placed = assign_marks_to_headers(moved, located, float("inf")).join(shifts, ["form_id", "row_idx"], "left")
+    return placed.withColumn("x", F.col("x") + F.coalesce("_shift", F.lit(0.0))).drop("_shift")
+
+
+def _labelled(pages: pd.Series, bounds: pd.DataFrame) -> pd.Series:
+    """For each form (row_idx, label, qty) of labels above their quantities, and of quantities below an earlier row's label."""
+
+    def one(rows: list, floor: float, cutoff: float, spacing: float) -> list[dict]:
+        out, known = [], {}
+        for row in rows:
+            tokens = [(t["text"], (t["x0"] + t["x1"]) / 2, t["y0"]) for t in row["tokens"]]
+            beyond = lambda x: cutoff < x <= cutoff + spacing
+            quantity = {i: int(t) for i, (t, _, _) in enumerate(tokens) if t.isdecimal() and 1 <= int(t) <= MOST}
+            used, mine = set(), {}
+            for i, (text, x, y) in enumerate(tokens):
+                number = text.isdecimal() and len(text) <= 3 and beyond(x)
+                letter = text.upper() in LABELS and floor <= x <= cutoff + spacing
+                under = [(tokens[j][2], j) for j in quantity if j != i and j not in used and abs(tokens[j][1] - x) <= 0.25 * spacing and tokens[j][2] > y]
+                if (number or letter) and under:
+                    j = min(under)[1]
+                    used |= {i, j}
+                    label = text if number else text.upper()
+                    mine[label] = quantity[j]
+                    if label.isdecimal():
+                        known.setdefault(label, x)
+            free = {j: tokens[j][1] for j in quantity if j not in used and beyond(tokens[j][1])}
+            for label, x in known.items():
+                near = [(abs(at - x), j) for j, at in free.items() if abs(at - x) <= SAME]
+                if label not in mine and near:
+                    j = min(near)[1]
+                    mine[label] = quantity[j]
+                    del free[j]
+            out += [{"row_idx": row["row_idx"], "size": label, "qty": qty} for label, qty in mine.items()]
+        return out
+
+    return pd.Series([one(p, f, c, s) for p, f, c, s in zip(pages, bounds["floor"], bounds["cutoff"], bounds["spacing"])])
+
+
+def stacked_labels(tokens: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(form_id, row_idx, size, qty) of sizes that stand above their quantity in a row: numbers up to a spacing right of the columns, and letters anywhere.
+
+    tokens: those of rows' bands below the header (form_id, row_idx, token_id, text, x0, y0, x1, y1, score); bounds: form_id, floor, cutoff, spacing. The quantity (1 to 500) is the
+    nearest below within a quarter of a spacing, each used once. A number left over right of the columns takes the label that an earlier row has within 15 pixels. A form's rows go in order, as one array.
+    """
+    sure = tokens.where((F.col("score") >= SURE) & F.col("text").isNotNull())
+    rows = sure.groupBy("form_id", "row_idx").agg(F.array_sort(F.collect_list(F.struct("token_id", "text", "x0", "x1", "y0"))).alias("tokens"))
+    pages = rows.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "tokens"))).alias("_p")).join(bounds, "form_id")
+    cells = pandas_udf(_labelled, "array<struct<row_idx:int,size:string,qty:int>>")("_p", F.struct("floor", "cutoff", "spacing"))
+    return pages.select("form_id", F.explode(cells).alias("c")).select("form_id", "c.row_idx", "c.size", "c.qty")
+
+
+def share_letter_columns(marks: DataFrame, letters: DataFrame, tolerance: float) -> DataFrame:
+    """(form_id, row_idx, size, qty) of the rows from an anchor row down whose marks (form_id, row_idx, x, qty) all lie in its columns of letters (form_id, anchor_row, letter, x), if there are two or more.
+
+    The first row without marks, or with one beyond `tolerance` of all columns, ends the group. Where groups meet, the lower anchor counts. Of marks of one letter the right one stays.
+    """
+    columns = letters.groupBy("form_id", "anchor_row").agg(F.collect_list(F.struct("x", "letter")).alias("_l"))
+    met = marks.join(columns, "form_id").where("row_idx >= anchor_row")
+    near = F.array_min(F.transform("_l", lambda c: F.struct(F.abs(c["x"] - F.col("x")).alias("d"), c["x"].alias("x"), c["letter"].alias("letter"))))
+    met = met.withColumn("_n", near).select("form_id", "anchor_row", "row_idx", "x", "qty", F.col("_n.letter").alias("size"), (F.col("_n.d") <= tolerance).alias("_in"))
+    group = Window.partitionBy("form_id", "anchor_row")
+    rows = met.groupBy("form_id", "anchor_row", "row_idx").agg(F.bool_and("_in").alias("_in"))
+    line = group.orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.where(F.col("_in")).withColumn("_k", F.count("*").over(line)).where(F.col("row_idx") - F.col("anchor_row") + 1 == F.col("_k"))
+    rows = rows.withColumn("_size", F.count("*").over(group)).where("_size >= 2")
+    last = rows.groupBy("form_id", "row_idx").agg(F.max("anchor_row").alias("anchor_row"))
+    return met.join(last, ["form_id", "row_idx", "anchor_row"]).groupBy("form_id", "row_idx", "size").agg(F.max_by("qty", "x").alias("qty"))
+
+
+def recover_headers_by_order(tokens: DataFrame, headers: DataFrame, bottoms: DataFrame) -> DataFrame:
+    """(form_id, size, x): places of headers (form_id, pos, size) by order alone, for forms of which not all are found by text.
+
+    Numbers of three digits at most that end above the bottom of the header row (form_id, bottom) are taken from left to right if there are as many as headers; of
+    more, those above their largest gap in height. Else the form goes.
+    """
+    line = Window.partitionBy("form_id").orderBy("y0", "token_id")
+    wanted = headers.groupBy("form_id").agg(F.count("*").alias("_all"))
+    numbers = tokens.where(F.col("text").rlike("^[0-9]{1,3}$")).join(bottoms.select("form_id", "bottom"), "form_id").where("y1 <= bottom").join(wanted, "form_id").withColumn("x", _x())
+    page = Window.partitionBy("form_id")
+    ranked = numbers.withColumns({"_k": F.row_number().over(line), "_gap": F.lead("y0").over(line) - F.col("y0"), "_found": F.count("*").over(page)})
+    cut = F.max_by("_k", F.when(F.col("_gap").isNotNull(), F.struct("_gap", -F.col("_k")))).over(page)
+    top = ranked.withColumn("_cut", F.when(F.col("_found") == F.col("_all"), F.col("_found")).when(F.col("_found") > F.col("_all"), cut)).where("_k <= _cut and _cut = _all")
+    places = top.withColumn("_pos", F.row_number().over(page.orderBy("x", "token_id"))).select("form_id", "_pos", "x")
+    order = headers.withColumn("_pos", F.row_number().over(page.orderBy("pos")))
+    return order.join(places, ["form_id", "_pos"]).select("form_id", "size", "x")

@@ -18,11 +18,14 @@ def expand_ditto(rows: DataFrame) -> DataFrame:
 
     Each name above is itself expanded, so a form's rows are folded in order, in an array: a form is a page.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("row_idx", "item")))
-    step = lambda done, row: F.concat(done, F.array(F.struct(row["row_idx"].alias("row_idx"), _expanded(F.when(F.size(done) > 0, F.element_at(done, -1)["item"]), row["item"]).alias("item"))))
-    kind = rows.select(F.struct("row_idx", F.col("item"))).schema[0].dataType.simpleString()
-    folded = rows.groupBy("form_id").agg(ordered.alias("r")).select("form_id", F.explode(F.aggregate("r", F.array().cast(f"array<{kind}>"), step)).alias("r")).select("form_id", "r.row_idx", "r.item")
-    return rows.drop("item").join(folded, ["form_id", "row_idx"])
+    place = lambda r: F.struct(r["row_idx"], r["item"])
+    before = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
+    step = lambda done, row: F.concat(done, F.array(_expanded(F.when(F.size(done) > 0, F.element_at(done, -1)), row["item"])))
+    page = rows.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct(*rows.columns)), before).alias("_r"))
+    folded = page.withColumn("_items", F.aggregate("_r", F.array().cast("array<string>"), step))
+    each = folded.select(F.explode(F.arrays_zip(F.col("_r").alias("r"), F.col("_items").alias("item"))).alias("e"))
+    rest = [c for c in rows.columns if c not in ("form_id", "row_idx", "item")]
+    return each.select("e.r.form_id", "e.r.row_idx", *(F.col("e.r")[c].alias(c) for c in rest), "e.item")
 
 
 def _expanded(above, item):

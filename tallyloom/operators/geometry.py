@@ -212,34 +212,35 @@ def overflow_columns(tokens: DataFrame, bands: DataFrame, located: DataFrame, si
 
     A label is a sure number of the catalog's sizes (size), no header, up to 1.2 spacings right of the columns, with a quantity below it (0.3 spacings in x, 1.5
     bands in y; the first by token_id). Where over half the form's rows (centres: form_id, row_idx, y) have a number within a spacing, it is no label. Its quantity, and
-    what stands below the label in its column, are marks; those within 15 pixels of a known one, or of an earlier one of the column, go.
+    what stands below the label in its column, are marks, in their order; those within 15 pixels of a known one, or of one before, go. A form's tokens meet as an array.
     """
-    sure = tokens.where(F.col("score") >= SURE).withColumns({"_x": _x(), "_y": _y()})
-    digit = sure.where(F.col("text").rlike("^[0-9]+$")).select("form_id", F.col("token_id").alias("_id"), F.col("text").try_cast("long").alias("_q"), F.col("_x").alias("_dx"), F.col("_y").alias("_dy"))
-    known = sizes.select(F.col("size").cast("string").alias("text")).distinct()
-    labels = sure.join(bands.select("form_id", "bottom", "band", "spacing", "ceiling"), "form_id").where("y0 > bottom and _x > ceiling and _x <= ceiling + 1.2 * spacing").join(known, "text", "left_semi")
-    labels = labels.join(located.select("form_id", F.col("size").alias("text")), ["form_id", "text"], "left_anti").select("form_id", "token_id", "text", "_x", "_y", "y1", "band", "spacing")
-    below = labels.join(digit, "form_id").where("abs(_dx - _x) <= 0.3 * spacing and _dy > _y and _dy - _y <= 1.5 * band")
-    key = ["form_id", "token_id"]
-    paired = below.groupBy(*key, "text", "_x", "y1", "band", "spacing").agg(F.min_by(F.struct("_id", "_q", "_dx", "_dy"), "_id").alias("c"))
-    rows = centres.groupBy("form_id").agg(F.count("*").alias("_rows"))
-    near = paired.select(*key, "_x", "band", "spacing").join(centres.select("form_id", "row_idx", F.col("y").alias("_cy")), "form_id").join(digit, "form_id").where("abs(_dy - _cy) <= band and abs(_dx - _x) <= spacing")
-    dense = near.groupBy(*key).agg(F.count_distinct("row_idx").alias("_near")).join(rows, "form_id").where("_near > 0.5 * _rows")
-    good = paired.where(F.col("c._q").between(1, MOST)).join(dense, key, "left_anti")
-    first = good.groupBy("form_id", "text").agg(F.min_by(F.struct("_x", "y1", "spacing", "c"), "token_id").alias("l")).select("form_id", F.col("text").alias("size"), F.col("l._x").alias("_hx"), F.col("l.y1").alias("_bottom"), F.col("l.spacing").alias("_s"), "l.c")
-
-    held = first.select("form_id", F.col("c._id").alias("token_id"), F.col("c._q").cast("int").alias("qty"), F.col("c._dx").alias("x"), F.col("c._dy").alias("y")).distinct()
-    qty = F.when(F.col("text").rlike("^[0-9]+$"), F.col("text").try_cast("long")).otherwise(correct_lookalike_digits(F.col("text")).cast("long"))
-    column = sure.join(first, "form_id").where("y0 > _bottom and abs(_x - _hx) <= 0.3 * _s").withColumn("_q", qty).where(F.col("_q").between(1, MOST))
-    column = column.select("form_id", "token_id", F.col("_q").cast("int").alias("qty"), F.col("_x").alias("x"), F.col("_y").alias("y")).distinct()
-
-    def far_from(new: DataFrame, old: DataFrame, more: str = "true") -> DataFrame:
-        old = old.select(F.col("form_id").alias("_f"), F.col("token_id").alias("_id"), F.col("x").alias("_ox"), F.col("y").alias("_oy"))
-        return new.join(old, F.expr(f"form_id = _f and abs(x - _ox) <= {SAME} and abs(y - _oy) <= {SAME} and {more}"), "left_anti")
-
-    column = far_from(far_from(column, marks.select("form_id", "token_id", "x", "y")), held)
-    added = held.unionByName(far_from(column, column, "_id < token_id"))
-    return first.select("form_id", "size", F.col("_hx").alias("x"), F.col("_bottom").alias("bottom")), added.select("form_id", "token_id", F.lit(0).alias("part"), "qty", "x", "y")
+    digits = F.col("text").rlike("^[0-9]+$")
+    number = F.when(digits, F.col("text").try_cast("long"))
+    read = F.struct("token_id", "text", _x().alias("x"), _y().alias("y"), "y0", "y1", number.alias("n"), F.when(digits, number).otherwise(correct_lookalike_digits(F.col("text")).cast("long")).alias("qty"))
+    listed = lambda df, name, item: df.groupBy("form_id").agg(F.collect_list(item).alias(name))
+    page = tokens.where(F.col("score") >= SURE).groupBy("form_id").agg(F.array_sort(F.collect_list(read)).alias("_t"))
+    page = page.join(bands.select("form_id", "bottom", "band", "spacing", "ceiling"), "form_id").join(listed(located, "_h", F.col("size")), "form_id")
+    right = F.filter("_t", lambda t: t["n"].isNotNull() & (t["y0"] > F.col("bottom")) & (t["x"] > F.col("ceiling")) & (t["x"] <= F.col("ceiling") + 1.2 * F.col("spacing")) & ~F.array_contains("_h", t["text"]))
+    known = sizes.select(F.col("size").cast("string").alias("_size")).distinct()
+    labels = page.withColumn("l", F.explode(right)).withColumn("_size", F.col("l.text")).join(known, "_size", "left_semi")
+    labels = labels.join(listed(centres, "_c", F.col("y")), "form_id", "left").join(listed(marks, "_m", F.struct("x", "y")), "form_id", "left")
+
+    label = F.col("l")
+    below = F.filter("_t", lambda t: t["n"].isNotNull() & (F.abs(t["x"] - label["x"]) <= 0.3 * F.col("spacing")) & (t["y"] > label["y"]) & (t["y"] - label["y"] <= 1.5 * F.col("band")))
+    filled = F.filter("_c", lambda c: F.exists("_t", lambda t: t["n"].isNotNull() & (F.abs(t["y"] - c) <= F.col("band")) & (F.abs(t["x"] - label["x"]) <= F.col("spacing"))))
+    rows = F.coalesce(F.size("_c"), F.lit(0))
+    good = labels.withColumn("_q", F.get(below, 0)).where(F.col("_q.n").between(1, MOST) & ((rows <= 0) | (F.size(filled) <= 0.5 * rows)))
+    first = good.groupBy("form_id", "_size").agg(F.min_by(F.struct("l", "_q", "spacing", "_t", "_m"), "l.token_id").alias("g")).select("form_id", "_size", "g.*")
+
+    form = first.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct(F.col("l.token_id").alias("at"), "l", "_q"))).alias("_f"), *(F.first(c).alias(c) for c in ("spacing", "_t", "_m")))
+    mark = lambda t: F.struct(t["token_id"].alias("token_id"), t["qty"].cast("int").alias("qty"), t["x"].alias("x"), t["y"].alias("y"))
+    inside = lambda f: F.transform(F.filter("_t", lambda t: (t["y0"] > f["l"]["y1"]) & (F.abs(t["x"] - f["l"]["x"]) <= 0.3 * F.col("spacing")) & t["qty"].between(1, MOST)), mark)
+    near = lambda t: lambda m: (F.abs(m["x"] - t["x"]) <= SAME) & (F.abs(m["y"] - t["y"]) <= SAME)
+    held = F.transform("_f", lambda f: mark(f["_q"]))
+    new = lambda t: ~F.coalesce(F.exists("_m", near(t)), F.lit(False))
+    added = F.aggregate(F.filter(F.flatten(F.transform("_f", inside)), new), held, lambda done, t: F.when(F.exists(done, near(t)), done).otherwise(F.concat(done, F.array(t))))
+    found = form.select("form_id", F.explode(added).alias("m")).select("form_id", "m.token_id", F.lit(0).alias("part"), "m.qty", "m.x", "m.y")
+    return first.select("form_id", F.col("_size").alias("size"), "l.x", F.col("l.y1").alias("bottom")), found
 
 
 def recover_centres(rows: DataFrame, tables: DataFrame) -> DataFrame:

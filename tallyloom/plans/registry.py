@@ -295,4 +295,4 @@ def preferred_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the rest registers itself
-from tallyloom.plans import geometry_queries, markup_queries, match_queries, review_queries  # noqa: E402, F401
+from tallyloom.plans import column_queries, geometry_queries, markup_queries, match_queries, review_queries  # noqa: E402, F401

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def page_totals(cells: DataFrame) -> DataFrame:
-    """Rows, filled cells and pieces of each page, of each session (page null), and of all (both null). One row for each row first, so no distinct count is needed."""
-    rows = cells.groupBy("session_id", "page", "row_idx").agg(F.sum((F.col("qty") > 0).cast("long")).alias("n"), F.sum("qty").alias("q"))
-    return rows.rollup("session_id", "page").agg(F.count("*").alias("rows"), F.sum("n").alias("filled"), F.sum("q").alias("pieces"))
+    """Rows, filled cells, pieces and unbound rows with pieces (bsid null) of each page, of each session (page null), and of all (both null). One row for each row first, so no distinct count is needed."""
+    rows = cells.groupBy("session_id", "page", "row_idx").agg(F.sum((F.col("qty") > 0).cast("long")).alias("n"), F.sum("qty").alias("q"), F.count("bsid").alias("b"))
+    unbound = ((F.col("q") > 0) & (F.col("b") == 0)).cast("long")
+    return rows.rollup("session_id", "page").agg(F.count("*").alias("rows"), F.sum("n").alias("filled"), F.sum("q").alias("pieces"), F.coalesce(F.sum(unbound), F.lit(0)).alias("unbound"))
 
 
 def size_column_totals(cells: DataFrame) -> DataFrame:
@@ -26,3 +27,11 @@ def usage_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
 def usage_summary(calls: DataFrame) -> DataFrame:
     return calls.groupBy("model", "mode").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost").alias("cost"), F.count("error").alias("errors"))
+
+
+def usage_by_image(calls: DataFrame) -> DataFrame:
+    """Per image, model and mode: calls, tokens, cost (null where no price is known), errors, seconds of all calls together and from the first call's start to the last one's end."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    wall = F.max(start + F.coalesce(F.col("duration_seconds") * 1e6, F.lit(0.0))) - F.min(start)
+    return calls.groupBy("image", "model", "mode").agg(F.count("*").alias("calls"), n("input_tokens"), n("output_tokens"), F.sum("cost").alias("cost"), F.count("error").alias("errors"), F.coalesce(F.sum("duration_seconds"), F.lit(0.0)).alias("seconds"), (wall / 1e6).alias("wall_seconds"))

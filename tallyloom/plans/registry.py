@@ -66,10 +66,10 @@ def product_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.product_groups(view(spark, sf_dir, "catalog").withColumn("bsid", F.when(k % 7 == 0, "").when(k % 11 != 0, F.col("bsid"))))
 
 
-@query(with_views("form_rows", "cells", "forms", more="r AS (SELECT session_id, page, form_id * 100 + row_idx AS row_idx, sum(CASE WHEN qty > 0 THEN 1 ELSE 0 END) AS n, sum(qty) AS q FROM cells JOIN forms USING (form_id) GROUP BY ALL)") + "SELECT session_id, page, count(*) AS rows, CAST(sum(n) AS BIGINT) AS filled, CAST(sum(q) AS BIGINT) AS pieces FROM r GROUP BY ROLLUP (session_id, page)")
+@query(with_views("form_rows", "cells", "forms", more="r AS (SELECT session_id, page, form_id * 100 + row_idx AS row_idx, sum(CASE WHEN qty > 0 THEN 1 ELSE 0 END) AS n, sum(qty) AS q, bool_and(p_partkey % 7 = 0) AS none FROM cells JOIN forms USING (form_id) GROUP BY session_id, page, form_id, row_idx)") + "SELECT session_id, page, count(*) AS rows, CAST(sum(n) AS BIGINT) AS filled, CAST(sum(q) AS BIGINT) AS pieces, count_if(none AND q > 0) AS unbound FROM r GROUP BY ROLLUP (session_id, page)")
 def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = view(spark, sf_dir, "cells").join(view(spark, sf_dir, "forms"), "form_id").withColumn("row_idx", F.col("form_id") * 100 + F.col("row_idx"))
-    return totals.page_totals(cells)
+    return totals.page_totals(cells.withColumn("bsid", F.when(F.col("p_partkey") % 7 != 0, F.col("p_type"))))
 
 
 @query(with_views("form_rows", "cells", "forms") + "SELECT session_id, page, size, CAST(sum(qty) AS BIGINT) AS pieces FROM cells JOIN forms USING (form_id) GROUP BY ALL")
@@ -91,11 +91,23 @@ def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.usage_summary(totals.usage_cost(_calls(spark, sf_dir), prices)).withColumn("cost", F.round("cost", 6))
 
 
-@query("WITH " + _CALLS + " SELECT date_trunc('day', ts) AS start, model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS tokens FROM c GROUP BY ALL")
+@query("WITH " + _CALLS + " SELECT date_trunc('day', ts) AS start, model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS tokens, count(error) AS errors FROM c GROUP BY ALL")
 def usage_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_windows(_calls(spark, sf_dir))
 
 
+@query("SELECT user_id AS image, event_type AS model, CASE WHEN event_id % 2 = 0 THEN 'batch' ELSE 'live' END AS mode, count(*) AS calls, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, CAST(sum(event_id % 10) AS BIGINT) AS output_tokens, count(CASE WHEN event_id % 17 = 0 THEN 1 END) AS errors, CAST(sum(event_id % 7) AS DOUBLE) AS seconds, round(max(epoch_us(ts) / 1e6 + event_id % 7) - min(epoch_us(ts) / 1e6), 2) AS wall_seconds FROM events GROUP BY ALL")
+def usage_by_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    calls = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("user_id").alias("image"), F.col("event_type").alias("model"), F.when(k % 2 == 0, "batch").otherwise("live").alias("mode"), (k % 100).alias("input_tokens"), (k % 10).alias("output_tokens"), F.lit(0.0).alias("cost"), F.when(k % 17 == 0, "x").alias("error"), (k % 7).cast("double").alias("duration_seconds"))
+    return totals.usage_by_image(calls).drop("cost").withColumn("wall_seconds", F.round("wall_seconds", 2))
+
+
+@query("SELECT s_suppkey AS id, trim(s_name) AS name FROM supplier ORDER BY name, id")
+def read_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_lookup(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", "s_name", by_name=True)
+
+
 # orders
 
 #: Cells of a submission, with every kind of problem among them.

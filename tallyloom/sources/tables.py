@@ -17,3 +17,9 @@ def catalog_for_picking(catalog: DataFrame) -> DataFrame:
 def live_buyers(buyers: DataFrame) -> DataFrame:
     """is_active = 0 means live. Names and cities are trimmed; blank names go."""
     return buyers.where("is_active = 0").withColumns({"name": F.trim("name"), "city": F.trim("city")}).where("name <> ''")
+
+
+def read_lookup(table: DataFrame, key: str, name: str, by_name: bool = False) -> DataFrame:
+    """A small table of users or companies: key and trimmed name (blank for null), ordered by the key, or by name and key."""
+    rows = table.select(F.col(key).alias("id"), F.trim(F.coalesce(name, F.lit(""))).alias("name"))
+    return rows.orderBy("name", "id") if by_name else rows.orderBy("id")

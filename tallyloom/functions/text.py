@@ -153,6 +153,19 @@ def parse_cell(header: Column, text: Column) -> Column:
     return F.when(two | text.rlike(r"^\s*[0-9]+\s*$"), F.struct(size.alias("size"), qty.try_cast("int").alias("qty")))
 
 
+#: Letters that may name a cell's size.
+CELL_LABELS = ("XS", "S", "M", "L", "XL", "XXL", "2XL", "3XL", "4XL")
+
+
+def labelled_cell(text: Column) -> Column:
+    """(label, qty) of a cell: one number, whose label is null, or a size (a number or letters, these in capitals) and a number; null for anything else. Numbers may be a circled digit, sizes not."""
+    words = F.split(F.trim(text), r"\s+")
+    label = F.upper(F.get(words, 0))
+    named = (F.size(words) == 2) & (label.rlike("^[0-9]+$") | label.isin(*CELL_LABELS))
+    qty = F.when(F.size(words) == 1, plain_int(F.get(words, 0))).when(named, plain_int(F.get(words, 1)))
+    return F.when(qty.isNotNull(), F.struct(F.when(named, label).alias("label"), qty.alias("qty")))
+
+
 def likeness_form(text: Column) -> Column:
     """A text as likeness scores take it: lower case, each character but letters, digits and the underscore a space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]", " "))

@@ -65,22 +65,22 @@ def assign_clusters_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drifting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Marks that drift to the right by up to 28 pixels, more than half a column."""
+    """Marks that drift to the right by up to 12 pixels."""
     grid, size = view(spark, sf_dir, "grid"), F.col("size").cast("int")
-    marks = grid.select("form_id", "row_idx", (size * 8 + F.col("form_id") % 5 * (F.col("row_idx") - 1)).cast("double").alias("x"), "qty")
+    marks = grid.select("form_id", "row_idx", (size * 8 + F.col("form_id") % 3 * (F.col("row_idx") - 1)).cast("double").alias("x"), "qty")
     located = grid.select("form_id", "size", (size * 8).cast("double").alias("x")).distinct()
     return marks, located, grid.select("form_id", "row_idx", ((F.col("row_idx") - 1) / 10).alias("y")).distinct()
 
 
-@query(with_views("form_rows") + "SELECT form_id, CAST(form_id % 5 * 10 AS DOUBLE) AS a FROM form_rows GROUP BY form_id HAVING (form_id % 5 < 3 AND count(*) >= 3)")
+@query(with_views("form_rows") + "SELECT form_id, CAST(form_id % 3 * 10 AS DOUBLE) AS a FROM form_rows GROUP BY form_id HAVING count(*) >= 3")
 def calibrate_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drift = geometry.calibrate_drift(*_drifting(spark, sf_dir)).where("form_id % 5 < 3")  # beyond, last rows may lie near the next header
+    drift = geometry.calibrate_drift(*_drifting(spark, sf_dir))
     return drift.select("form_id", (F.round("a", 4) + 0.0).alias("a"))
 
 
-@query(with_views("form_rows", "grid") + "SELECT form_id, row_idx, size, qty FROM grid WHERE form_id % 5 < 3")
+@query(with_views("form_rows", "grid") + "SELECT form_id, row_idx, size, qty FROM grid")
 def assign_with_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.assign_with_drift(*_drifting(spark, sf_dir)).where("form_id % 5 < 3").select("form_id", "row_idx", "size", "qty")
+    return geometry.assign_with_drift(*_drifting(spark, sf_dir)).select("form_id", "row_idx", "size", "qty")
 
 
 #: In each row a letter above a quantity; in the first one a number behind the columns, with or without a quantity; in others such a quantity alone.

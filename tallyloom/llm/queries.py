@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import additive_quantizer, bpe, exact_dedup, mixing, quality, simhash, token_counts, token_files, toxicity, warc
+from tallyloom.llm import additive_quantizer, bpe, exact_dedup, mixing, prefix_trie, quality, simhash, token_counts, token_files, toxicity, url_filter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_additive_quantizer, op2_toxicity, op3_simhash, op4_exact_dedup, op5_mixing, op6_quality, op7_token_counts, op8_bpe, op9_token_files, op10_warc)}
+    return {f.__name__: f for f in (op1_additive_quantizer, op2_toxicity, op3_simhash, op4_exact_dedup, op5_mixing, op6_quality, op7_token_counts, op8_bpe, op9_token_files, op10_warc, op11_url_filter, op12_whitening, op13_prefix_trie)}
 
 
 OP4_SQL = r"""
@@ -100,7 +112,32 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM f
 """
 
+# crc32 by its polynomial, bit by bit over the decimal digits
+OP13_SQL = """
+WITH p AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (
+  SELECT c, max(pos) AS n, c - c % 5 AS base,
+         xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ord(s)::BIGINT), lambda a, x:
+           list_reduce([xor(a, x)::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda b, k: CASE WHEN b % 2 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END))) % 9 AS h
+  FROM p GROUP BY c),
+b AS (SELECT n.*, least(n.h, coalesce(m.n, 0)) AS taken FROM n LEFT JOIN n m ON m.c = n.base),
+t AS (
+  SELECT b.c, p.pos AS d, role, text FROM b JOIN p ON p.c = b.base AND p.pos <= b.h
+  UNION ALL SELECT b.c, taken + pos - h, role, text FROM p JOIN b USING (c) WHERE pos > h),
+k AS (
+  SELECT c, d, text, list(struct_pack(r := role, x := text)) OVER (PARTITION BY c ORDER BY d) AS seq, d = max(d) OVER (PARTITION BY c) AS ends FROM t
+  UNION ALL SELECT c, 0, '', CAST([] AS STRUCT(r VARCHAR, x VARCHAR)[]), NOT EXISTS (SELECT 1 FROM t WHERE t.c = b.c) FROM b),
+m AS (SELECT seq, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(strlen(text)) AS bytes, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM k GROUP BY seq),
+f AS (SELECT u.seq AS up, count(*) AS n_children FROM m JOIN m u ON m.depth > 0 AND u.seq = m.seq[1:m.depth - 1] GROUP BY u.seq),
+g AS (SELECT k.seq, sum(CASE WHEN f.up IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((m.n_convs - 1) * m.bytes) AS saved_tokens FROM m LEFT JOIN f ON f.up = m.seq JOIN k ON k.c = m.conv_id AND k.d <= m.depth GROUP BY k.seq)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs, CAST(coalesce(f.n_children, 0) AS BIGINT) AS n_children,
+       CAST(g.n_leaves AS BIGINT) AS n_leaves, CAST(g.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m LEFT JOIN m u ON m.depth > 0 AND u.seq = m.seq[1:m.depth - 1] LEFT JOIN f ON f.up = m.seq JOIN g ON g.seq = m.seq
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL: XXH64, trained models and tokenizers are beyond it. tests/llm holds them against brute force."""
-    return {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op10_warc": OP10_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op10_warc": OP10_SQL, "op13_prefix_trie": OP13_SQL}

@@ -1,52 +1,24 @@
 """Names of items and buyers against catalog and buyer master: best match, search, binding to a product, and the annotation of rows.
 
-Texts are made distinct first. A text that nothing narrows is held against all keys of a table: the keys are taken in parts of
-bounded size, each broadcast to the tasks that have the texts, so nothing that grows with the data is broadcast whole.
+Texts are made distinct first. A text that nothing narrows is held against all keys of a table by way of name_index: exactly, but scored with few of them.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scratch import written
 from tallyloom.functions.text import likeness_form, normalize_name, product_codes, sort_sizes
 from tallyloom.operators import fuzzy
+from tallyloom.operators.name_index import NameIndex, against_names
 from tallyloom.operators.orders import numbered
 from tallyloom.operators.matching import code_candidates, code_narrowing, detect_column_shift, fill_or_check_style, match_trust, resolve_letter_size, sizes_outside_catalog
 
-#: Keys that are broadcast at once.
-KEYS_AT_ONCE = 100_000
 #: The least score of a search hit, of a buyer hit, of a suggested name, of a selected buyer and its lead, and how far from the best name a product may be.
 SEARCHED, BUYER_HIT, SUGGESTED, SELECTED, LEAD, BAND = 40, 88, 70, 90, 8, 8
 
 
-def _against_all(texts: DataFrame, keys: DataFrame, take: Callable[[str, list[tuple[int, str]]], list[tuple]], columns: str, at_once: int = KEYS_AT_ONCE) -> DataFrame:
-    """(text, columns..) rows that take makes of each distinct text and the keys (ord long, key), part by part."""
-    spark = texts.sparkSession
-    # few texts are much work: they are dealt to all cores, however small they are together
-    texts = texts.select("text").where("text is not null").distinct().repartition(2 * spark.sparkContext.defaultParallelism, "text")
-    parts = max(1, -(-keys.count() // at_once))
-    out = None
-    for part in range(parts):
-        # hash parts of some at_once keys each; what is collected is one of them
-        own = [(r["ord"], r["key"]) for r in keys.where(F.pmod(F.xxhash64("ord"), F.lit(parts)) == part).orderBy("ord").select("ord", "key").collect()]
-        pool = spark.sparkContext.broadcast(own)
-
-        def run(batches: Iterator[pd.DataFrame], pool=pool) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(text, *found) for text in batch["text"] for found in take(text, pool.value)]
-                yield pd.DataFrame(rows, columns=["text", *(c.split()[0] for c in columns.split(", "))])
-
-        found = texts.mapInPandas(run, f"text string, {columns}")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 def _best(scored: DataFrame, *by: str) -> DataFrame:
     """The row of the highest score of each key, ties to the smallest ord."""
     return scored.groupBy(*by).agg(F.min(F.struct((-F.col("score")).alias("s"), "ord")).alias("b")).select(*by, (-F.col("b.s")).alias("score"), F.col("b.ord").alias("ord"))
@@ -55,14 +27,10 @@ def _best(scored: DataFrame, *by: str) -> DataFrame:
 def best_of_all(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """(text, score, ord): the key with the highest weighted ratio, no cutoff, the first by ord of equals. Texts that are blank once cleaned have none."""
 
-    def take(text: str, pool: list[tuple[int, str]]) -> list[tuple]:
-        a = fuzzy.cleaned(text)
-        if not a or not pool:
-            return []
-        score, ord_ = min((-fuzzy.weighted(a, fuzzy.cleaned(key)), ord_) for ord_, key in pool)
-        return [(-score, ord_)]
+    def take(index: NameIndex, text: str) -> list[tuple]:
+        return [(score, int(index.ords[i])) for score, i in index.best(text, 1)] if fuzzy.cleaned(text) else []
 
-    return _best(_against_all(texts, keys, take, "score double, ord long"), "text")
+    return _best(against_names(texts, keys, take, "score double, ord long"), "text")
 
 
 def ordered_keys(keys: DataFrame, *order: str) -> DataFrame:
@@ -71,7 +39,7 @@ def ordered_keys(keys: DataFrame, *order: str) -> DataFrame:
 
 
 def best_catalog_match(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row for each distinct item that is not blank: bname, score (rounded to one digit), code_narrowed, pool, unmatched_code.
+    """One row for each distinct item that is not blank: bname, score, code_narrowed, pool, unmatched_code.
 
     Items are scored against the names that hold one of their codes; those without such a name, against all. Names are in order of text.
     """
@@ -81,29 +49,29 @@ def best_catalog_match(items: DataFrame, catalog: DataFrame) -> DataFrame:
     coded = code_candidates(items, catalog).join(names, "bname").withColumn("score", fuzzy.weighted_ratio(likeness_form(F.col("item")), likeness_form(F.col("bname"))))
     free = best_of_all(narrowing.where("not code_narrowed").select(F.col("item").alias("text")), names.select("ord", F.col("bname").alias("key"))).withColumnRenamed("text", "item")
     best = _best(coded.select("item", "score", "ord"), "item").unionByName(free)
-    return narrowing.join(best, "item").join(names, "ord").select("item", "bname", F.round("score", 1).alias("score"), "code_narrowed", "pool", "unmatched_code")
+    return narrowing.join(best, "item").join(names, "ord").select("item", "bname", "score", "code_narrowed", "pool", "unmatched_code")
 
 
 def best_buyer_match(texts: DataFrame, buyers: DataFrame) -> DataFrame:
     """(text, head_id, name, city, score) of each distinct text: the live buyer (head_id, name, city) whose name and city are most like it, ties by name, then id."""
     listed = written(ordered_keys(buyers.select("head_id", "name", F.coalesce("city", F.lit("")).alias("city")), "name", "head_id"), "buyers")
     best = best_of_all(texts, listed.select("ord", F.trim(F.concat_ws(" ", "name", "city")).alias("key")))
-    return best.join(listed, "ord").select("text", "head_id", "name", "city", F.round("score", 1).alias("score"))
+    return best.join(listed, "ord").select("text", "head_id", "name", "city", "score")
 
 
-def resolve_party(forms: DataFrame, buyers: DataFrame, own: str = "essa") -> DataFrame:
+def resolve_party(forms: DataFrame, buyers: DataFrame, own: str) -> DataFrame:
     """Per form (form_id, seller_name, party_name): outcome, suggested_party_name and closed_hint; null outcome where nothing is to be said.
 
-    Forms of the own letterhead are passed over. A hit is a score of 88 or more. Different buyers: ambiguous. Only the seller: its buyer is suggested, with a
-    hint where its name says that it is closed. Neither: unmatched. Only the party, or the same buyer twice: nothing.
+    Forms whose seller's name holds `own`, the own letterhead, are passed over. A hit is a score of 88 or more. Buyers of different names: ambiguous. Only the seller:
+    its buyer is suggested, with a hint where its name says that it is closed. Neither, a blank one too: unmatched. Only the party, or the same name twice: nothing.
     """
     texts = forms.select(F.explode(F.array("seller_name", "party_name")).alias("text")).where("trim(text) <> ''")
-    found = written(best_buyer_match(texts, buyers).where(F.col("score") >= BUYER_HIT).select("text", "head_id", "name"), "parties")
-    seller, party = (found.select(F.col("text").alias(f"{c}_name"), F.col("head_id").alias(f"{c}_id"), F.col("name").alias(f"{c}_buyer")) for c in ("seller", "party"))
-    joined = forms.join(seller, "seller_name", "left").join(party, "party_name", "left")
-    skipped = F.contains(F.lower(F.coalesce("seller_name", F.lit(""))), F.lit(own)) | (F.trim(F.coalesce("seller_name", F.lit(""))) == "")
-    s, p = F.col("seller_id").isNotNull(), F.col("party_id").isNotNull()
-    outcome = F.when(skipped | (p & ~s) | (s & p & (F.col("seller_id") == F.col("party_id"))), None).when(s & p, "ambiguous").when(s, "suggest").otherwise("unmatched")
+    found = written(best_buyer_match(texts, buyers).where(F.col("score") >= BUYER_HIT).select("text", "name"), "parties")
+    seller, party = (found.select(F.col("text").alias(f"{c}_name"), F.col("name").alias(f"{c}_buyer")) for c in ("seller", "party"))
+    joined = forms.select("form_id", "seller_name", "party_name").join(seller, "seller_name", "left").join(party, "party_name", "left")
+    skipped = F.contains(F.lower(F.coalesce("seller_name", F.lit(""))), F.lit(own.lower()))
+    s, p = F.col("seller_buyer").isNotNull(), F.col("party_buyer").isNotNull()
+    outcome = F.when(skipped | (p & ~s) | (s & p & (F.col("seller_buyer") == F.col("party_buyer"))), None).when(s & p, "ambiguous").when(s, "suggest").otherwise("unmatched")
     suggested = F.when(outcome == "suggest", F.col("seller_buyer"))
     return joined.select("form_id", outcome.alias("outcome"), suggested.alias("suggested_party_name"), F.coalesce(F.contains(F.lower(suggested), F.lit("close")), F.lit(False)).alias("closed_hint"))
 
@@ -116,17 +84,16 @@ def ranked_search(texts: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
     """
     most = max(4 * limit, 60)
 
-    def take(text: str, pool: list[tuple[int, str]]) -> list[tuple]:
-        a, codes = fuzzy.cleaned(text), set(fuzzy.codes(text))
-        low = text.casefold()
+    def take(index: NameIndex, text: str) -> list[tuple]:
         if not text.strip():
-            return [(ord_, None, False, False, False) for ord_, _ in pool[:limit]]
-        scored = [(score, -ord_, any(c in key for c in codes), key.casefold()) for ord_, key in pool if (score := fuzzy.token_set(a, fuzzy.cleaned(key))) >= SEARCHED]
-        # each part of the keys sends on no more than its own best of either kind
-        best = {*heapq.nlargest(most, scored), *heapq.nlargest(most, (s for s in scored if s[2]))}
-        return [(-at, score, coded, key.startswith(low), low in key) for score, at, coded, key in best]
-
-    found = written(_against_all(texts, keys, take, "ord long, score double, coded boolean, begins boolean, holds boolean"), "hits")
+            return [(int(ord_), None, False, False, False) for ord_ in index.ords[:limit]]
+        low, codes = text.casefold(), set(fuzzy.codes(text))
+        # each shard sends on no more than its own best of either kind
+        best = {*index.best(text, most, "set", SEARCHED), *index.best(text, most, "set", SEARCHED, coded=True)}
+        keys = {i: index.names[i] for _, i in best}
+        return [(int(index.ords[i]), score, any(c in keys[i] for c in codes), keys[i].casefold().startswith(low), low in keys[i].casefold()) for score, i in best]
+
+    found = written(against_names(texts, keys, take, "ord long, score double, coded boolean, begins boolean, holds boolean"), "hits")
     by_score = Window.partitionBy("text").orderBy(F.desc_nulls_last("score"), "ord")
     shown = Window.partitionBy("text").orderBy(F.desc("begins"), F.desc("holds"), F.desc_nulls_last("score"), "ord")
 
@@ -176,17 +143,21 @@ def apply_letter_sizes(rows: DataFrame) -> DataFrame:
 
 
 def annotate_rows(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """rows (form_id, row_idx, item, kind, headers: array of int, cells) with what the catalog says of each: match and trust, style, letter sizes, shift, sizes that the product lacks. The item is never changed."""
+    """rows (form_id, row_idx, item, kind, headers: array of int, cells) with what the catalog says of each: match and trust, style, letter sizes, shift, sizes that the product lacks. The item is never changed.
+
+    Scores are held against their bounds as they are and rounded to one digit for the result. A match too weak to show says nothing of styles and sizes.
+    """
     by_name = catalog.groupBy("bname").agg(F.sort_array(F.collect_set(F.when(F.trim("bstyle") != "", F.col("bstyle")))).alias("styles"), F.sort_array(F.collect_set(F.col("bsize").cast("int"))).alias("catalog_sizes"))
     matches = match_trust(best_catalog_match(rows.select("item"), catalog)).join(by_name, "bname")
     none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
-    joined = rows.join(matches, "item", "left").withColumns({"trusted": F.coalesce("trusted", F.lit(False)), "styles": none("styles", "string"), "catalog_sizes": none("catalog_sizes", "int")})
+    joined = rows.join(matches, "item", "left").withColumns({"shown": F.coalesce("shown", F.lit(False)), "trusted": F.coalesce("trusted", F.lit(False)), "catalog_sizes": none("catalog_sizes", "int")})
+    joined = joined.withColumns({"trusted": F.col("trusted") & F.col("shown"), "styles": F.when(F.col("shown"), none("styles", "string")).otherwise(F.array().cast("array<string>"))})
     told = apply_letter_sizes(fill_or_check_style(joined))
     numbers = F.transform(F.filter("cells", lambda c: c["size"].rlike("^[0-9]+$")), lambda c: c["size"].cast("int"))
     told = detect_column_shift(told.withColumn("sizes", numbers)).withColumn("offset", F.when(F.col("trusted"), F.col("offset")))
     outside = F.when(F.col("trusted"), sizes_outside_catalog(F.transform("cells", lambda c: c["size"]), F.col("catalog_sizes").cast("array<string>")))
-    shown = F.when(F.coalesce("shown", F.lit(False)), F.col("bname"))
-    return told.select("form_id", "row_idx", "item", "kind", shown.alias("suggestion"), "score", "code_narrowed", "pool", "unmatched_code", "trusted", "style_mismatch", "cells", "unresolved", "conflicts", "offset", outside.alias("outside"))
+    seen = lambda c: F.when(F.col("shown"), F.col(c)).alias(c)
+    return told.select("form_id", "row_idx", "item", "kind", F.when(F.col("shown"), F.col("bname")).alias("suggestion"), F.round("score", 1).alias("score"), "code_narrowed", "pool", "unmatched_code", "trusted", "style_mismatch", "cells", seen("unresolved"), seen("conflicts"), "offset", outside.alias("outside"))
 
 
 def bind_products(rows: DataFrame, matches: DataFrame, products: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ from tallyloom.functions.text import product_codes, sort_sizes
 ADULT_SIZES = {"XS": 75, "S": 80, "M": 85, "L": 90, "XL": 95, "XXL": 100, "2XL": 100, "3XL": 105, "4XL": 110}
 CHILD_SIZES = {"0": 25, "XS": 30, "S": 35, "M": 40, "L": 45, "XL": 50, "XXL": 55, "2XL": 55}
 
+#: The least score to trust a match that a code narrows to one name, to at most NARROW names, and any other; the least to show one.
+UNIQUE_CODE, NARROWED, UNNARROWED, NARROW, SHOWN = 35, 70, 95, 2, 70
+
 
 def resolve_letter_size(letter: F.Column, sizes: F.Column) -> F.Column:
     """The number of a letter size that a product's sizes (array of int) have; null without one, or with one of each table."""
@@ -28,10 +31,10 @@ def binding_result(rows: DataFrame) -> DataFrame:
 
 
 def fill_or_check_style(rows: DataFrame) -> DataFrame:
-    """Trusted rows (kind, styles, trusted): a blank kind becomes the only style; style_mismatch has the styles where the kind is none of them."""
+    """rows (kind, styles, trusted): on trusted rows a blank kind becomes the only style; style_mismatch has the styles, trusted or not, where the kind is none of them. styles is empty for a match that is not shown."""
     blank = F.trim(F.coalesce("kind", F.lit(""))) == ""
     only = F.col("trusted") & blank & (F.size("styles") == 1)
-    other = F.col("trusted") & ~blank & (F.size("styles") > 0) & ~F.array_contains("styles", F.col("kind"))
+    other = ~blank & (F.size("styles") > 0) & ~F.array_contains("styles", F.col("kind"))
     return rows.withColumns({"style_mismatch": F.when(other, F.col("styles")), "kind": F.when(only, F.get("styles", 0)).otherwise(F.col("kind"))})
 
 
@@ -43,8 +46,8 @@ def vocabulary(catalog: DataFrame) -> DataFrame:
 
 def products_named(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Each item with the products of that name, whatever its case."""
-    key = F.lower(F.trim("item"))
-    return items.withColumn("_key", key).join(catalog.withColumn("_key", F.lower(F.trim("bname"))), "_key").drop("_key")
+    a, b = items.alias("a"), catalog.alias("b")
+    return a.join(b, F.lower(F.trim("a.item")) == F.lower(F.trim("b.bname")))
 
 
 def sizes_outside_catalog(sizes: F.Column, catalog_sizes: F.Column) -> F.Column:
@@ -81,8 +84,8 @@ def code_narrowing(items: DataFrame, catalog: DataFrame) -> DataFrame:
 def match_trust(matches: DataFrame) -> DataFrame:
     """matches (score, code_narrowed, pool) with trusted, by how far the code narrows the pool, and shown."""
     only = F.col("code_narrowed") & (F.col("pool") == 1)
-    floor = F.when(only, 35).when(F.col("code_narrowed") & (F.col("pool") <= 2), 70).otherwise(95)
-    return matches.withColumn("trusted", F.col("score") >= floor).withColumn("shown", (F.col("score") >= 70) | only)
+    floor = F.when(only, UNIQUE_CODE).when(F.col("code_narrowed") & (F.col("pool") <= NARROW), NARROWED).otherwise(UNNARROWED)
+    return matches.withColumn("trusted", F.col("score") >= floor).withColumn("shown", (F.col("score") >= SHOWN) | only)
 
 
 def _fits(offset: F.Column) -> F.Column:

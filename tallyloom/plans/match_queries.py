@@ -220,16 +220,21 @@ def merge_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT replace(lower(a.bname), ' ', '-') AS item, a.bname, 100.0::DOUBLE AS score, true AS code_narrowed, count(*) AS pool, '' AS unmatched_code
 FROM n a JOIN n b ON contains(b.bname, a.bname[-3:])
 GROUP BY a.bname
+UNION ALL
+SELECT 'x' || lower(bname[:-4]) || ' ' || bname[-2:], bname, round(200 * (length(bname) - 1) / CAST(2 * length(bname) AS DOUBLE), 6), false, (SELECT count(*) FROM n), '' FROM n
 """)
 def best_catalog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every name of the catalog, written otherwise, finds itself."""
+    """Every name of the catalog finds itself, written otherwise, and misread: with a letter before it and without the first digit, so that no code narrows."""
     catalog = view(spark, sf_dir, "catalog")
-    return catalog_match.best_catalog_match(catalog.select(F.replace(F.lower("bname"), F.lit(" "), F.lit("-")).alias("item")), catalog)
+    low = F.lower("bname")
+    misread = F.concat(F.lit("x"), F.substr(low, F.lit(1), F.length(low) - 4), F.lit(" "), F.right(low, F.lit(2)))
+    items = catalog.select(F.explode(F.array(F.replace(low, F.lit(" "), F.lit("-")), misread)).alias("item"))
+    return catalog_match.best_catalog_match(items, catalog).withColumn("score", F.round("score", 6))
 
 
 #: Names on forms: the own letterhead, buyers' names, and others. Customers whose key is a multiple of 7 are not live.
 _PARTIES = """p AS (
-    SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'ESSA Garments' WHEN 1 THEN 'customer#' || lpad(CAST(s_suppkey AS VARCHAR(9)), 9, '0') ELSE s_name END AS seller_name,
+    SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'LOOMHOUSE Garments' WHEN 1 THEN 'customer#' || lpad(CAST(s_suppkey AS VARCHAR(9)), 9, '0') ELSE s_name END AS seller_name,
            CASE s_suppkey % 3 WHEN 0 THEN 'Customer ' || lpad(CAST(s_suppkey AS VARCHAR(9)), 9, '0') WHEN 1 THEN 'Customer#' || lpad(CAST(s_suppkey + 1 AS VARCHAR(9)), 9, '0') ELSE 'Nobody at all' END AS party_name
     FROM supplier)"""
 
@@ -242,7 +247,7 @@ SELECT k AS form_id, outcome, CASE WHEN outcome = 'suggest' THEN c_name END AS s
 """)
 def resolve_party(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = selected(spark, sf_dir, "SELECT k AS form_id, seller_name, party_name FROM p", "supplier", more=_PARTIES)
-    return catalog_match.resolve_party(forms, live_buyers(view(spark, sf_dir, "buyers")))
+    return catalog_match.resolve_party(forms, live_buyers(view(spark, sf_dir, "buyers")), "loomhouse")
 
 
 @query("SELECT s_suppkey AS form_id, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 7 <> 0 THEN s_suppkey WHEN s_suppkey % 3 = 1 AND (s_suppkey + 1) % 7 <> 0 THEN s_suppkey + 1 END AS head_id FROM supplier")

@@ -189,7 +189,7 @@ def binding_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.binding_result(rows).select("detid", F.array_join("size_mismatch", ",").alias("size_mismatch"), "auto_bound")
 
 
-@query(with_views("catalog", more=_NAMES) + "SELECT detid, CASE WHEN detid % 3 = 0 THEN CASE WHEN detid % 5 <> 0 AND len(styles) = 1 THEN styles[1] ELSE '' END WHEN detid % 3 = 1 THEN bstyle ELSE 'none' END AS kind, CASE WHEN detid % 5 <> 0 AND detid % 3 = 2 THEN array_to_string(list_sort(styles), ',') END AS style_mismatch FROM catalog JOIN n USING (bname)")
+@query(with_views("catalog", more=_NAMES) + "SELECT detid, CASE WHEN detid % 3 = 0 THEN CASE WHEN detid % 5 <> 0 AND len(styles) = 1 THEN styles[1] ELSE '' END WHEN detid % 3 = 1 THEN bstyle ELSE 'none' END AS kind, CASE WHEN detid % 3 = 2 THEN array_to_string(list_sort(styles), ',') END AS style_mismatch FROM catalog JOIN n USING (bname)")
 def fill_or_check_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("detid")
     rows = _with_names(spark, sf_dir).select(k, F.when(k % 3 == 0, "").when(k % 3 == 1, F.col("bstyle")).otherwise("none").alias("kind"), "styles", (k % 5 != 0).alias("trusted"))

@@ -1,8 +1,12 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.operators import catalog_match, fuzzy, matching, reconcile, recount, review, rows, templates
+from tallyloom.operators.name_index import NameIndex, against_names
 
 CATALOG = "bid int, bsid string, bname string, bstyle string, bsize int, detid int"
 
@@ -66,17 +70,57 @@ def test_best_catalog_match(spark, catalog):
     assert got["X 999 SHORTS"].unmatched_code == "999" and got["X 999 SHORTS"].pool == 6
 
 
-def test_parts_of_the_keys_give_the_same_best(spark):
+def misread(r, text):
+    chars = list(text)
+    for _ in range(r.randint(0, 3)):
+        at = r.randrange(len(chars))
+        chars[at : at + 1] = r.choice([[], [r.choice("ABEILNO018 ")], [chars[at], chars[at]]])
+    return "".join(chars)
+
+
+def test_bounds_are_never_below_scores():
+    r = random.Random(4)
+    words = ["FULL", "PANT", "SET", "B", "MM", "K", "KIDS", "PLAIN", "LADIES", "TRUNK", "VEST", "PRINT", "ÉTÉ", "aaa"]
+    names = [" ".join(r.choice(words) for _ in range(r.randint(0, 6))) + r.choice(["", " ", "-"]) + str(r.randint(1, 99999)) for _ in range(90)] + ["", "-", "  ", "a" * 300, "B  B b"]
+    texts = [misread(r, n + " x") for n in names[:60]] + ["".join(r.choice("abcdeé 12-. ") for _ in range(r.randint(0, 30))) for _ in range(60)]
+    index = NameIndex(np.arange(len(names))[::-1].copy(), names)
+    for text in texts:
+        form, at = fuzzy.cleaned(text), index._shared(fuzzy.cleaned(text))
+        for kind, bounds, score in (("weighted", index._weighted_bound, fuzzy.weighted), ("set", index._set_bound, fuzzy.token_set)):
+            exact = [score(form, f) for f in index.forms]
+            assert (bounds(form, *at) + 1e-7 >= exact).all()
+            for k, least, coded in ((1, 0.0, False), (5, 40.0, False), (5, 40.0, True)):
+                wanted = sorted((-s, i) for i, s in enumerate(exact) if s >= least and (not coded or any(c in index.names[i] for c in fuzzy.codes(text))))[:k]
+                assert index.best(text, k, kind, least, coded) == [(-s, i) for s, i in wanted]
+
+
+def test_few_pairs_are_scored():
+    r = random.Random(1)
+    names = sorted({"".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) + f" {r.choice(('full', 'half'))} pant {r.randint(10, 9999)}" for _ in range(5000)})
+    index = NameIndex(np.arange(len(names)), names)
+    for text in (asked := [misread(r, r.choice(names)) for _ in range(100)]):
+        index.best(text, 1)
+    assert index.scored < 0.05 * len(asked) * len(names)
+
+
+def test_shards_and_blocks_give_the_same_best(spark):
+    r = random.Random(2)
     names = [f"{a} {b}" for a in ("RED", "BLUE", "OLD", "NEW") for b in ("VEST", "TRUNK", "BRIEF", "SLIP", "GOWN")]
     keys = spark.createDataFrame([*enumerate(names)], "ord long, key string")
-    texts = spark.createDataFrame([("red vesst",), ("nw gown",), ("trunk old",)], "text string")
+    asked = sorted({misread(r, n) for n in names} | {"trunk old"})
+    texts = spark.createDataFrame([(t,) for t in [*asked, None, asked[0]]], "text string")
+    wanted = {t: max((fuzzy.weighted(fuzzy.cleaned(t), fuzzy.cleaned(k)), -i) for i, k in enumerate(names)) for t in asked}
 
-    def take(t, pool):
-        return [(max((fuzzy.weighted(fuzzy.cleaned(t), fuzzy.cleaned(k)) for _, k in pool), default=0.0),)]
+    def take(index, text):
+        return [(s, int(index.ords[i])) for s, i in index.best(text, 1)]
 
-    for at_once in (100, 3):
-        found = catalog_match._against_all(texts, keys, take, "score double", at_once).groupBy("text").agg(F.max("score").alias("score")).collect()
-        assert {r.text: r.score for r in found} == {t: take(t, list(enumerate(names)))[0][0] for t in ("red vesst", "nw gown", "trunk old")}
+    for shard, block in ((100, 1000), (3, 4)):
+        rows = against_names(texts, keys, take, "score double, ord long", shard, block).collect()
+        best = {}
+        for x in rows:
+            best[x.text] = max(best.get(x.text, (-1, 0)), (x.score, -x.ord))
+        assert best == wanted
+    assert against_names(texts, keys.limit(0), take, "score double, ord long").count() == 0 and against_names(texts.limit(0), keys, take, "score double, ord long").count() == 0
 
 
 def test_ranked_search(spark, catalog):
@@ -115,12 +159,12 @@ def test_binding(spark, catalog):
 
 
 def test_parties(spark):
-    buyers = spark.createDataFrame([(1, "SHARDA SALES (Z CLOSE)", "SOLAPUR"), (2, "M K ENTERPRISES", "PUNE"), (3, "M.M ENTERPRISES", "PUNE"), (4, "ALPHA HOSIERY", None)], "head_id int, name string, city string")
-    forms = spark.createDataFrame([(1, "Sharda Sales (Z Close)", "Ramu"), (2, "ESSA", "Alpha Hosiery"), (3, "Alpha Hosiery", "M K Enterprises Pune"), (4, "Alpha Hosiery", "alpha-hosiery"), (5, "Ramu", "Shamu"), (6, "", "M. K. Enterprises")], "form_id int, seller_name string, party_name string")
-    got = {r.form_id: r[1:] for r in catalog_match.resolve_party(forms, buyers).collect()}
-    assert got == {1: ("suggest", "SHARDA SALES (Z CLOSE)", True), 2: (None, None, False), 3: ("ambiguous", None, False), 4: (None, None, False), 5: ("unmatched", None, False), 6: (None, None, False)}
+    buyers = spark.createDataFrame([(1, "SHARDA SALES (Z CLOSE)", "SOLAPUR"), (2, "M K ENTERPRISES", "PUNE"), (3, "M.M ENTERPRISES", "PUNE"), (4, "ALPHA HOSIERY", None), (5, "ALPHA HOSIERY", "AGRA")], "head_id int, name string, city string")
+    forms = spark.createDataFrame([(1, "Sharda Sales (Z Close)", "Ramu"), (2, "LOOMHOUSE", "Alpha Hosiery"), (3, "Alpha Hosiery", "M K Enterprises Pune"), (4, "Alpha Hosiery", "alpha-hosiery"), (5, "Ramu", "Shamu"), (6, "", "M. K. Enterprises"), (7, " ", "Shamu"), (8, "Alpha Hosiery", "Alpha Hosiery Agra")], "form_id int, seller_name string, party_name string")
+    got = {r.form_id: r[1:] for r in catalog_match.resolve_party(forms, buyers, "loomhouse").collect()}
+    assert got == {1: ("suggest", "SHARDA SALES (Z CLOSE)", True), 2: (None, None, False), 3: ("ambiguous", None, False), 4: (None, None, False), 5: ("unmatched", None, False), 6: (None, None, False), 7: ("unmatched", None, False), 8: (None, None, False)}
     picked = {r.form_id: r.head_id for r in catalog_match.suggest_buyer(forms.withColumn("suggested_party_name", F.lit("")), buyers).collect()}
-    assert picked[6] == 2 and picked[2] == 4 and picked[5] is None
+    assert picked[6] == 2 and picked[2] is None and picked[5] is None  # two buyers of one name: none is selected
 
 
 def test_annotation(spark, catalog):
@@ -132,6 +176,18 @@ def test_annotation(spark, catalog):
     assert got[2].conflicts == ["L"] and [tuple(c) for c in got[2].cells] == [("45", 1), ("L", 2)] and got[2].style_mismatch == ["RNS"]
     assert got[3].offset == 1 and got[3].outside == ["50"] and got[3].suggestion == "B 4749 FULL PANT SET"
     assert got[4].trusted is False and got[4].suggestion is None
+    weak = catalog_match.annotate_rows(spark.createDataFrame([(1, 5, "qqq zzz", "OE", [45], [("L", 1)])], cells), catalog).first()
+    assert (weak.suggestion, weak.style_mismatch, weak.unresolved, weak.conflicts) == (None, None, None, None)
+
+
+def test_trust_goes_by_the_score_as_it_is(spark):
+    df = spark.createDataFrame([(94.96, False, 9), (95.0, False, 9), (69.96, True, 2), (34.96, True, 1)], "score double, code_narrowed boolean, pool int")
+    assert [(r.trusted, r.shown) for r in matching.match_trust(df).collect()] == [(False, True), (True, True), (False, False), (False, True)]
+
+
+def test_style_mismatch_without_trust(spark):
+    df = spark.createDataFrame([("RN", ["IE"], False), ("", ["IE"], False), ("", ["IE"], True), ("RN", [], True)], "kind string, styles array<string>, trusted boolean")
+    assert [(r.kind, r.style_mismatch) for r in matching.fill_or_check_style(df).collect()] == [("RN", ["IE"]), ("", None), ("IE", None), ("RN", None)]
 
 
 def test_recount_without_second_reading(spark):

@@ -83,8 +83,15 @@ def _means(x: np.ndarray, group: np.ndarray, out: np.ndarray) -> None:
     out[group[order][first]] = np.add.reduceat(x[order], first) / np.diff(np.append(first, len(x)))[:, None]
 
 
+def levelled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between a half and one, so that no square is lost to the range of doubles. Exact, but for components lost beside that one."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True))
+    x = levelled(x)
+    return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -170,7 +177,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, shortlist: int = SHO
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     codes_at, asked_at = scratch(spark, "shards"), scratch(spark, "asked")
     index.withColumn("shard", deal(shards)).repartition("shard").write.partitionBy("shard").parquet(codes_at)
-    queries.select(F.col("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).withColumn("block", deal(blocks)).repartition("block").write.partitionBy("block").parquet(asked_at)
+    queries.withColumn("block", deal(blocks)).repartition("block").write.partitionBy("block").parquet(asked_at)
     # a task takes a block of queries through a span of shards; with blocks enough for all cores, through all of them
     spans = min(shards, -(-2 * spark.sparkContext.defaultParallelism // blocks))
 
@@ -197,7 +204,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, shortlist: int = SHO
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
+            if not batch.num_rows:
+                continue
+            a, b = levelled(_matrix(batch.column(2))), levelled(_matrix(batch.column(3)))
             score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["query_id", "vec_id", "score"])
 

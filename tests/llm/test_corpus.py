@@ -264,3 +264,14 @@ def test_stages_tell_rows_of_one_id_apart(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     stays = toxicity.without_toxic(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")).collect()
     assert sorted(map(str, map(tuple, stays))) == sorted(str(r) for r in rows if "idiot" not in (r[1] or ""))
+
+
+def test_neighbours_of_tiny_and_huge_vectors(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in r.normal(size=8)]) for i in range(200)]
+    rows += [(1000, [1e-200 * v for v in rows[3][1]]), (1050, [1e200 * v for v in rows[4][1]]), (1001, [5e-324, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    got = {}
+    for x in additive_quantizer.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(x.query_id, {})[x["rank"]] = (x.vec_id, x.score)
+    assert got.keys() == {0, 50, 100, 150, 1000, 1050} and {len(v) for v in got.values()} == {5}
+    assert got[1000][1][0] == 3 and got[1050][1][0] == 4 and abs(got[1000][1][1] - 1) < 1e-12

@@ -221,7 +221,7 @@ SELECT replace(lower(a.bname), ' ', '-') AS item, a.bname, 100.0::DOUBLE AS scor
 FROM n a JOIN n b ON contains(b.bname, a.bname[-3:])
 GROUP BY a.bname
 UNION ALL
-SELECT 'x' || lower(bname[:-4]) || ' ' || bname[-2:], bname, round(200 * (length(bname) - 1) / CAST(2 * length(bname) AS DOUBLE), 6), false, (SELECT count(*) FROM n), '' FROM n
+SELECT 'x' || lower(bname[:-5]) || ' ' || bname[-2:], bname, round(200 * (length(bname) - 1) / CAST(2 * length(bname) AS DOUBLE), 6), false, (SELECT count(*) FROM n), '' FROM n
 """)
 def best_catalog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every name of the catalog finds itself, written otherwise, and misread: with a letter before it and without the first digit, so that no code narrows."""

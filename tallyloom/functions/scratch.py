@@ -16,6 +16,17 @@ def _own_folder() -> str:
     return f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir. A local session without that setting, as in tests, gets a temporary folder; on a cluster it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -218,14 +218,27 @@ def repair_record(raw: Column) -> Column:
 
 
 def split_merged_headers(text: Column, headers: Column) -> Column:
-    """The one way to cut a run of digits, itself no header, into two known headers or more; null without, or with several.
+    """The one way to cut a run of digits, itself no header, into known headers; null without, or with several.
 
-    Ways grow one header at a time, at most as many as a run of twelve digits can hold.
+    For each place of the text the number of ways to reach it, two standing for more, and the parts of one of them: as long as the text, whatever that is.
     """
-    way = lambda at, parts: F.struct(at.cast("int").alias("at"), parts.alias("parts"))
-    ways = F.array(way(F.lit(0), F.array().cast("array<string>")))
-    for _ in range(6):
-        longer = lambda w: F.transform(F.filter(headers, lambda h: (w["at"] < F.length(text)) & (F.length(h) > 0) & (F.substr(text, w["at"] + 1, F.length(h)) == h)), lambda h: way(w["at"] + F.length(h), F.concat(w["parts"], F.array(h))))
-        ways = F.concat(F.filter(ways, lambda w: w["at"] == F.length(text)), F.flatten(F.transform(F.filter(ways, lambda w: w["at"] < F.length(text)), longer)))
-    whole = F.filter(ways, lambda w: (w["at"] == F.length(text)) & (F.size(w["parts"]) > 1))
-    return F.when(text.rlike("^[0-9]{2,12}$") & ~F.array_contains(headers, text) & (F.size(whole) == 1), F.get(whole, 0)["parts"])
+    known = F.filter(F.array_distinct(headers), lambda h: F.length(h) > 0)
+    none = F.array().cast("array<string>")
+    reached = lambda ways, parts: F.struct(ways.cast("int").alias("ways"), parts.alias("parts"))
+
+    def step(so_far: Column, i: Column) -> Column:
+        ends = F.filter(known, lambda h: (F.length(h) <= i) & (F.substr(text, i - F.length(h) + 1, F.length(h)) == h))
+        from_ = F.filter(F.transform(ends, lambda h: F.struct(h.alias("h"), F.get(so_far, i - F.length(h)).alias("w"))), lambda e: e["w"]["ways"] > 0)
+        ways = F.least(F.lit(2), F.aggregate(from_, F.lit(0), lambda n, e: n + e["w"]["ways"]))
+        parts = F.when(ways == 1, F.concat(F.get(from_, 0)["w"]["parts"], F.array(F.get(from_, 0)["h"]))).otherwise(none)
+        return F.concat(so_far, F.array(reached(ways, parts)))
+
+    last = F.element_at(F.aggregate(F.sequence(F.lit(1), F.length(text)), F.array(reached(F.lit(1), none)), step), -1)
+    # looked at only where it can be: the rest of the texts of a page are no such runs
+    return F.when(text.rlike("^[0-9]{2,}$") & ~F.array_contains(headers, text), F.when(last["ways"] == 1, last["parts"]))
+
+
+def merged_header_centres(parts: Column, x0: Column, x1: Column) -> Column:
+    """(size, x) of the headers that one box holds, each with the middle of its share of the box, by characters."""
+    long = lambda p: F.aggregate(p, F.lit(0), lambda n, h: n + F.length(h))
+    return F.transform(parts, lambda h, i: F.struct(h.alias("size"), (x0 + (x1 - x0) * (long(F.slice(parts, 1, i)) + F.length(h) / 2) / long(parts)).alias("x")))

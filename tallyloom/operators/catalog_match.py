@@ -35,7 +35,7 @@ def best_of_all(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 def ordered_keys(keys: DataFrame, *order: str) -> DataFrame:
     """keys with ord, their place in an order. Ranges of the order are numbered apart."""
-    return numbered(keys, *order).withColumn("ord", F.col("_n").cast("long")).drop("_n", "_all")
+    return numbered(keys, *order, n="ord").withColumn("ord", F.col("ord").cast("long"))
 
 
 def best_catalog_match(items: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tallyloom.functions.text import correct_lookalike_digits, split_merged_qty
+from tallyloom.functions.text import correct_lookalike_digits, merged_header_centres, split_merged_headers, split_merged_qty
 
 #: Letter sizes in their order, and texts of a dash.
 LETTERS = ("XS", "S", "M", "L", "XL", "XXL", "3XL", "4XL")
@@ -30,13 +30,31 @@ def _y() -> Column:
 
 
 def locate_headers(tokens: DataFrame, headers: DataFrame, share: float = 0.6) -> DataFrame:
-    """The first sure token of each printed size header (form_id, size): form_id, size, x, y0, y1. Forms with less than `share` of theirs found go."""
+    """The first sure token of each printed size header (form_id, size): form_id, size, x, y0, y1. Forms with less than `share` of theirs found go.
+
+    Headers that were read as one token are taken apart where only one cut into headers of the form is possible and the token's middle lies no further than half the height
+    of the headers found (15 pixels at least) above or below them; those that were found by themselves stay where they are.
+    """
     wanted = headers.select("form_id", "size").distinct()
-    sure = tokens.where(F.col("score") >= SURE).select("form_id", F.col("text").alias("size"), "token_id", F.struct(_x().alias("x"), "y0", "y1").alias("box"))
+    sure = tokens.where(F.col("score") >= SURE).select("form_id", F.col("text").alias("size"), "token_id", F.struct(_x().alias("x"), "y0", "y1").alias("box"), "x0", "x1")
     found = wanted.join(sure, ["form_id", "size"], "left").groupBy("form_id", "size").agg(F.min_by("box", "token_id").alias("box"))
+    row = found.groupBy("form_id").agg(F.collect_list("size").alias("known"), F.min("box.y0").alias("top"), F.max("box.y1").alias("bottom")).where("top is not null")
+    margin = F.greatest(F.col("bottom") - F.col("top"), F.lit(BAND)) * 0.5
+    middle = (F.col("box.y0") + F.col("box.y1")) / 2
+    fused = sure.where(F.col("size").rlike("^[0-9]{2,}$")).join(row, "form_id").where(middle.between(F.col("top") - margin, F.col("bottom") + margin))
+    parts = fused.withColumn("parts", split_merged_headers(F.col("size"), F.col("known"))).where("parts is not null")
+    parts = parts.select("form_id", "token_id", "box", F.explode(merged_header_centres(F.col("parts"), F.col("x0"), F.col("x1"))).alias("p"))
+    split = parts.groupBy("form_id", F.col("p.size").alias("size")).agg(F.min_by(F.struct("p.x", "box.y0", "box.y1"), "token_id").alias("part"))
+    found = found.join(split, ["form_id", "size"], "left").select("form_id", "size", F.coalesce("box", "part").alias("box"))
     form = Window.partitionBy("form_id")
     enough = F.count("box").over(form) >= share * F.count("size").over(form)
-    return found.withColumn("_enough", enough).where(F.col("_enough") & F.col("box").isNotNull()).select("form_id", "size", "box.x", "box.y0", "box.y1")
+    return found.withColumn("enough", enough).where(F.col("enough") & F.col("box").isNotNull()).select("form_id", "size", "box.x", "box.y0", "box.y1")
+
+
+def cluster_gap(items: DataFrame) -> DataFrame:
+    """(form_id, gap) of the gap, in pixels, that parts rows of marks: 0.6 of the mean distance of the items' middles (form_id, y), but 8 at least and 20 at most; 20 for one item."""
+    mean = (F.max("y") - F.min("y")) / (F.count("y") - 1)
+    return items.groupBy("form_id").agg(F.when(F.count("y") >= 2, F.greatest(F.least(mean * 0.6, F.lit(20.0)), F.lit(8.0))).otherwise(20.0).alias("gap"))
 
 
 def header_bands(located: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scratch import written
+from tallyloom.functions.scratch import fresh, written
+from tallyloom.functions.text import sort_sizes
 
 #: The most that a cell's quantity can be stored as.
 MOST = 32767
@@ -40,6 +41,14 @@ def resolve_lines(cells: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.select("session_id", "rsno", "bsid", "size", "qty", "detid", problem.alias("problem"))
 
 
+def row_problems(lines: DataFrame) -> DataFrame:
+    """(session_id, rsno, kind, sizes) of resolve_lines' problems: one for a row without a known product, one for each cell out of range, and one for all sizes of a row that its product lacks, in order."""
+    by_cell = F.when(F.col("problem").isin("negative_qty", "qty_too_large"), F.col("size"))
+    bound = ~F.col("problem").isin("unbound", "unknown_product")
+    found = lines.where("problem is not null").groupBy("session_id", "rsno", F.col("problem").alias("kind"), by_cell.alias("cell")).agg(F.collect_set(F.when(bound, F.col("size"))).alias("sizes"))
+    return found.select("session_id", "rsno", "kind", sort_sizes("sizes").alias("sizes"))
+
+
 def merge_lines(lines: DataFrame) -> DataFrame:
     """Good lines with each SKU of an order once: quantities summed into the first line, whose rsno and size stay; sno numbers them."""
     good = lines.where("problem is null")
@@ -58,23 +67,24 @@ def skip_submitted(headers: DataFrame, submitted: DataFrame) -> DataFrame:
     return headers.join(submitted.select("session_id").distinct(), "session_id", "left_anti")
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with _n, their place from 1 on in an order, and _all, how many there are.
+def numbered(rows: DataFrame, *order: str, n: str = "n") -> DataFrame:
+    """rows with n, their place from 1 on in an order.
 
     Rows are ranged by that order and numbered within their range; the ranges' counts, a row each, give the offsets.
-    The ranged rows are written first: ranges drawn anew for the counts could be others.
+    The ranged rows are written first: ranges drawn anew for the counts could be others. n replaces a column of that name.
     """
-    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
-    placed = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    counts = placed.groupBy("_range").agg(F.count("*").alias("_c"))
-    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = counts.select("_range", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
-    return placed.join(offsets, "_range").withColumn("_n", F.col("_before") + F.col("_n")).drop("_range", "_before")
+    part, count, before, place = fresh(rows, "part", "count", "before", "place")
+    ranged = written(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "numbered")
+    placed = ranged.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    counts = placed.groupBy(part).agg(F.count("*").alias(count))
+    upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = counts.select(part, (F.sum(count).over(upto) - F.col(count)).alias(before))
+    return placed.join(offsets, part).withColumn(n, F.col(before) + F.col(place)).drop(part, before, place)
 
 
 def allocate_order_no(headers: DataFrame, last: int = 0) -> DataFrame:
     """order_no: consecutive from last + 1 on, by (submitted_at, session_id)."""
-    return numbered(headers, "submitted_at", "session_id").withColumn("order_no", F.lit(last) + F.col("_n")).drop("_n", "_all")
+    return numbered(headers, "submitted_at", "session_id", n="order_no").withColumn("order_no", F.lit(last) + F.col("order_no"))
 
 
 def build_submission(cells: DataFrame) -> DataFrame:
@@ -103,3 +113,24 @@ def order_summary(master: DataFrame, details: DataFrame, buyers: DataFrame) -> D
     sums = details.groupBy("session_id").agg(F.count("*").alias("lines"), F.sum("qty").alias("total"))
     joined = master.join(buyers, "head_id", "left").join(sums, "session_id", "left")
     return joined.select("session_id", "buyer", F.date_format("order_dt", "dd/MM/yyyy").alias("order_dt"), F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def orders_of(submissions: DataFrame, groups: DataFrame, done: DataFrame, last: int, today: F.Column) -> dict[str, DataFrame]:
+    """What a batch of submissions comes to: master and details of those without a problem, numbered from last + 1 on, and rejected (session_id, submitted_at, problems).
+
+    submissions: session_id, submitted_at, head_id, user_id, ref_no, order_dt, ref_dt, company_id, order_source and rows, an array of (bsid, item, quantities: a map of sizes). Of
+    a session the first counts, by submitted_at, then reference and buyer; sessions in done (session_id) are passed over. groups: as product_groups gives them.
+    """
+    columns = ["session_id", "submitted_at", "head_id", "user_id", "ref_no", "order_dt", "ref_dt", "company_id", "order_source", "rows"]
+    first = submissions.select(columns).where("session_id is not null").groupBy("session_id").agg(F.min_by(F.struct(*columns[1:]), F.struct("submitted_at", "ref_no", "head_id")).alias("s")).select("session_id", "s.*")
+    new = written(first.join(done.select("session_id").distinct(), "session_id", "left_anti"), "submissions")
+    placed = new.select("session_id", F.posexplode("rows").alias("rsno", "r")).select("session_id", (F.col("rsno") + 1).alias("rsno"), F.nullif(F.trim("r.bsid"), F.lit("")).alias("bsid"), F.explode("r.quantities").alias("size", "qty"))
+    lines = written(resolve_lines(placed, groups), "lines")
+    wrong = row_problems(lines).groupBy("session_id").agg(F.array_sort(F.collect_list(F.concat_ws(" ", F.concat(F.lit("row "), F.col("rsno").cast("string")), "kind", F.array_join("sizes", ",")))).alias("wrong"))
+    pieces = lines.where("qty > 0").groupBy("session_id").agg(F.sum("qty").alias("pieces"))
+    told = header_problems(new.drop("rows").join(pieces, "session_id", "left")).join(wrong, "session_id", "left")
+    told = written(told.withColumn("problems", F.concat("problems", F.coalesce("wrong", F.array().cast("array<string>")))).drop("wrong", "pieces"), "headers")
+    good = told.where(F.size("problems") == 0).drop("problems")
+    master = written(allocate_order_no(header_defaults(good, today), last), "master")
+    details = merge_lines(lines.join(good.select("session_id"), "session_id", "left_semi")).join(master.select("session_id", "order_no"), "session_id")
+    return {"master": master, "details": details.select("order_no", F.col("detid").alias("det_id"), "qty", "rsno", "sno"), "rejected": told.where(F.size("problems") > 0).select("session_id", "submitted_at", "problems")}

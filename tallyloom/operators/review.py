@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tallyloom.functions.scratch import fresh
 from tallyloom.functions.text import normalize_name
 from tallyloom.operators.orders import numbered
 
@@ -91,8 +92,8 @@ def correction_diff(shown: DataFrame, submitted: DataFrame) -> DataFrame:
     return joined.withColumn("change", change).where("change is not null")
 
 
-def cluster_rows(marks: DataFrame, gap: float) -> DataFrame:
-    """marks (form_id, token_id, y) with cluster, from 0 down the page: a new one after each gap above `gap`."""
+def cluster_rows(marks: DataFrame, gap: float | Column) -> DataFrame:
+    """marks (form_id, token_id, y) with cluster, from 0 down the page: a new one after each gap above `gap`, a number or a column of marks (see geometry.cluster_gap)."""
     order = Window.partitionBy("form_id").orderBy("y", "token_id")
     apart = marks.withColumn("_new", F.coalesce(F.col("y") - F.lag("y").over(order) > gap, F.lit(False)).cast("int"))
     return apart.withColumn("cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
@@ -125,6 +126,9 @@ def text_error_rates(pairs: DataFrame, *by: str) -> DataFrame:
 
 def split_dataset(rows: DataFrame, *order: str) -> DataFrame:
     """rows with part: train for the first 85 % in an order, validation for the next 10 %, test for the rest."""
-    n, below = F.col("_all"), F.col("_n") - 1
+    place, total = fresh(rows, "place", "total")
+    placed = numbered(rows, *order, n=place)
+    counted = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias(total))))  # one row
+    n, below = F.col(total), F.col(place) - 1
     part = F.when(below < F.floor(n * 85 / 100), "train").when(below < F.floor(n * 95 / 100), "validation").otherwise("test")
-    return numbered(rows, *order).withColumn("part", part).drop("_n", "_all")
+    return counted.withColumn("part", part).drop(place, total)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import parse_total
+from tallyloom.sources.order_store import commits, publish, read_published
 
 _USAGE = "timestamp_utc timestamp, image string, model string, mode string, input_tokens long, cache_read_tokens long, cache_write_tokens long, output_tokens long, estimated_cost_usd double"
 
@@ -89,33 +90,24 @@ def form_rows(forms: DataFrame) -> DataFrame:
 
 
 def write_orders(master: DataFrame, details: DataFrame, path: str, batch: str) -> bool:
-    """Both tables of a batch, or neither: they are written below path/batch=..., and count once a row in path/published names the batch. False if the batch is published already; one that failed before is written anew.
+    """Both tables of a batch, or neither (see order_store.publish). False if the batch is published already; one that failed before is written anew.
 
     A detail (order_no, det_id) that comes twice is an error.
     """
-    spark = master.sparkSession
-    if not published(spark, path).where(F.col("batch") == batch).isEmpty():
-        return False
     twice = details.groupBy("order_no", "det_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"order {twice[0]['order_no']} has detail {twice[0]['det_id']} twice")
-    master.write.mode("overwrite").parquet(f"{path}/master/batch={batch}")
-    details.write.mode("overwrite").parquet(f"{path}/details/batch={batch}")
-    spark.range(1).select(F.lit(batch).alias("batch")).coalesce(1).write.mode("append").parquet(f"{path}/published")
-    return True
+    return publish(master.sparkSession, path, batch, lambda last: {"master": master, "details": details})
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
     """batch of each one that write_orders has finished."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/published")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], "batch string")
-    return spark.read.schema("batch string").parquet(f"{path}/published")
+    return commits(spark, path).select("batch")
 
 
 def read_orders(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """master or details of the batches that are published. There are few batches beside rows, so their names are left to be broadcast by size."""
-    return spark.read.parquet(f"{path}/{table}").withColumn("batch", F.col("batch").cast("string")).join(published(spark, path).distinct(), "batch", "left_semi")
+    """master or details of the batches that are published, with batch, a text whatever it looks like."""
+    return read_published(spark, path, table)
 
 
 def append_usage(calls: DataFrame, path: str) -> None:

@@ -39,8 +39,9 @@ def test_orders_are_published_whole(spark, tmp_path):
         files.write_orders(master, details.union(details), path, "x")
     assert files.published(spark, path).isEmpty()
     assert files.write_orders(master, details, path, "x") and not files.write_orders(master, details, path, "x")
-    master.withColumn("order_no", F.lit(9)).write.parquet(f"{path}/master/batch=y")  # a writer that was lost before it had published
+    master.withColumn("order_no", F.lit(9)).write.parquet(f"{path}/master/folder=b-y")  # a writer that was lost before it had published
     assert [r.order_no for r in files.read_orders(spark, path, "master").collect()] == [1] and files.read_orders(spark, path, "details").count() == 1
+    assert files.write_orders(master, details, path, "007") and sorted(r.batch for r in files.read_orders(spark, path, "master").collect()) == ["007", "x"]
 
 
 def test_usage_and_audit(spark, tmp_path):

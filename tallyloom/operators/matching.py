@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scratch import fresh
 from tallyloom.functions.text import product_codes, sort_sizes
 
 #: What a letter size is as a number, for adults and for children.
@@ -105,11 +106,15 @@ def detect_column_shift(rows: DataFrame) -> DataFrame:
 def shift_offsets(rows: DataFrame, offsets: tuple[int, ...] = (-2, -1, 0, 1, 2)) -> DataFrame:
     """rows (form_id, row_idx, sizes, headers, catalog_sizes: arrays of int) with offset: the only one that moves every size to a header the catalog has; else null."""
     good = F.filter(F.array(*map(F.lit, offsets)), _fits)
-    return rows.withColumn("_good", F.when(F.size("sizes") > 0, good)).withColumn("offset", F.when(F.size("_good") == 1, F.col("_good")[0])).drop("_good")
+    only = fresh(rows, "good")[0]
+    return rows.withColumn(only, F.when(F.size("sizes") > 0, good)).withColumn("offset", F.when(F.size(only) == 1, F.col(only)[0])).drop(only)
 
 
-def apply_offset(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """cells (form_id, row_idx, size, qty, offset) with sizes moved by the header positions (form_id, pos, size); off the edge they go, sizes that are no header stay."""
+def apply_offset(cells: DataFrame, headers: DataFrame, numbers: bool = False) -> DataFrame:
+    """cells (form_id, row_idx, size, qty, offset) with sizes moved by the header positions (form_id, pos, size); off the edge they go, sizes that are no header stay. numbers: only headers that are numbers count, in their order."""
+    if numbers:
+        order = Window.partitionBy("form_id").orderBy("pos")
+        headers = headers.where(F.col("size").rlike("^[0-9]+$")).withColumn("pos", F.row_number().over(order))
     here = headers.select("form_id", F.col("pos").alias("_from"), "size")
     there = headers.select("form_id", F.col("pos").alias("_to"), F.col("size").alias("_moved"))
     placed = cells.join(here, ["form_id", "size"], "left").withColumn("_to", F.col("_from") + F.col("offset"))

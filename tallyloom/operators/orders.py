@@ -126,7 +126,7 @@ def orders_of(submissions: DataFrame, groups: DataFrame, done: DataFrame, last:
     new = written(first.join(done.select("session_id").distinct(), "session_id", "left_anti"), "submissions")
     placed = new.select("session_id", F.posexplode("rows").alias("rsno", "r")).select("session_id", (F.col("rsno") + 1).alias("rsno"), F.nullif(F.trim("r.bsid"), F.lit("")).alias("bsid"), F.explode("r.quantities").alias("size", "qty"))
     lines = written(resolve_lines(placed, groups), "lines")
-    wrong = row_problems(lines).groupBy("session_id").agg(F.array_sort(F.collect_list(F.concat_ws(" ", F.concat(F.lit("row "), F.col("rsno").cast("string")), "kind", F.array_join("sizes", ",")))).alias("wrong"))
+    wrong = row_problems(lines).groupBy("session_id").agg(F.array_sort(F.collect_list(F.concat_ws(" ", F.concat(F.lit("row "), F.col("rsno").cast("string")), "kind", F.nullif(F.array_join("sizes", ","), F.lit(""))))).alias("wrong"))
     pieces = lines.where("qty > 0").groupBy("session_id").agg(F.sum("qty").alias("pieces"))
     told = header_problems(new.drop("rows").join(pieces, "session_id", "left")).join(wrong, "session_id", "left")
     told = written(told.withColumn("problems", F.concat("problems", F.coalesce("wrong", F.array().cast("array<string>")))).drop("wrong", "pieces"), "headers")

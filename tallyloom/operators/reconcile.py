@@ -17,20 +17,21 @@ def reconcile_readings(first: DataFrame, second: DataFrame, totals: DataFrame, h
     An empty side, a size of the first that is no printed header, or equal sides: first, no flag. Other sizes: first, unverified.
     Same sizes, other values: the only side whose sum is the printed total, resolved; else first, unresolved.
 
-    Both readings are dealt by row once; sizes and rows are then summed where they are.
+    Readings and totals are one table, dealt by form once; sizes, rows and the form's headers, an array, then meet where they are.
     """
     key = ["form_id", "row_idx"]
-    none = F.lit(None).cast("long")
-    q = F.col("qty").cast("long")
-    both = first.select(*key, "size", q.alias("a"), none.alias("b")).unionByName(second.select(*key, "size", none.alias("a"), q.alias("b"))).repartition(*key)
-    cells = both.groupBy(*key, "size").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    none, q = F.lit(None).cast("long"), F.col("qty").cast("long")
+    part = lambda rows, size, a, b, total: rows.select(*key, size.alias("size"), a.alias("a"), b.alias("b"), total.alias("total"), F.lit(size is none).alias("printed"))
+    size = F.col("size")
+    parts = part(first, size, q, none, none).unionByName(part(second, size, none, q, none)).unionByName(part(totals, none, none, none, F.col("total").cast("long")).withColumn("size", F.lit(None).cast("string")))
+    cells = parts.repartition("form_id").groupBy(*key, "size", "printed").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("total").alias("total"))
+    foreign = F.lit(False)
     if headers is not None:
-        cells = cells.join(headers.select("form_id", "size").distinct().withColumn("known", F.lit(True)), ["form_id", "size"], "left")
-    foreign = F.col("a").isNotNull() & F.col("known").isNull() if headers is not None else F.lit(False)
-    sums = cells.groupBy(*key).agg(
-        F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"), F.max(F.col("a").isNull() | F.col("b").isNull()).alias("other_sizes"), F.max(F.col("a") != F.col("b")).alias("other_values"), F.max(foreign).alias("foreign")
-    )
-    joined = sums.join(totals.select(*key, "total"), key, "left")
+        cells = cells.join(headers.groupBy("form_id").agg(F.collect_set("size").alias("known")), "form_id", "left")
+        foreign = F.col("a").isNotNull() & ~F.coalesce(F.array_contains("known", F.col("size")), F.lit(False))
+    joined = cells.groupBy(*key).agg(
+        F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"), F.max("total").alias("total"), F.max(~F.col("printed") & (F.col("a").isNull() | F.col("b").isNull())).alias("other_sizes"), F.max(F.col("a") != F.col("b")).alias("other_values"), F.max(foreign).alias("foreign"), F.min("printed").alias("alone")
+    ).where(~F.col("alone"))
     on_a, on_b = F.coalesce(F.col("sum_a") == F.col("total"), F.lit(False)), F.coalesce(F.col("sum_b") == F.col("total"), F.lit(False))
     kept = F.col("sum_a").isNull() | F.col("sum_b").isNull() | F.col("foreign")
     differ = F.coalesce("other_values", F.lit(False))

@@ -117,7 +117,7 @@ def apply_rules(rows: DataFrame, rules: DataFrame, least: float = 92.0) -> DataF
     """rows (.., signature, item) with item replaced by what the rule (signature, trigger, corrected) that fires on it says, fired: its trigger, and note for the reviewer. A rule does not fire on a name that is what it says already."""
     said = fresh(rows, "said")[0]
     best = fired_rules(rows, rules.withColumnRenamed("corrected", "value"), least).where(F.col("value") != F.col("item")).withColumnRenamed("value", said)
-    note = F.when(F.col("fired").isNotNull(), F.concat(F.lit("Template memory: read as '"), F.col("item"), F.lit("', confirmed before as '"), F.col(said), F.lit("'.")))
+    note = F.when(F.col("fired").isNotNull(), F.concat(F.lit("Template memory: read as "), F.col("item"), F.lit(", confirmed before as "), F.col(said)))
     return rows.join(best, ["signature", "item"], "left").withColumn("note", note).withColumn("item", F.coalesce(said, "item")).drop(said)
 
 

@@ -310,21 +310,25 @@ def apply_letter_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # templates and usage
 
+def shown_and_submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of which some were renamed, some kept a rule's name or shift, some were moved by a column, and some were added or dropped. Some names differ in case alone."""
+    c, pair = _k() % 5, lambda *s: F.array(*(F.struct(F.lit(x).alias("size"), F.col("p_size").cast("int").alias("qty")) for x in s))
+    renamed = F.when(_k() % 2 == 0, F.concat(F.lit(" "), F.upper("p_name"), F.lit("-"))).otherwise(" Vest ")
+    return _part(spark, sf_dir).select(
+        F.concat(F.lit("s"), (_k() % 9).cast("string")).alias("signature"), F.when(_k() % 12 == 0, "1#new").when(_k() % 6 == 0, "").otherwise(_k().cast("string")).alias("uid"), _k().alias("at"),
+        F.col("p_name").alias("item"), pair("45", "50").alias("cells"), F.when(c == 0, renamed).otherwise(F.col("p_name")).alias("submitted_item"), F.when(c == 2, pair("50", "55")).otherwise(pair("45", "50")).alias("submitted_cells"),
+        F.array(F.lit("45"), F.lit("50"), F.lit("55"), F.lit("60")).alias("headers"), F.when(c == 1, "item_substitution").when(c == 3, "column_shift").alias("fired_kind"), F.lit("Read, as").alias("rule_raw"), F.lit("Moved!").alias("rule_trigger"), pair("50", "55").alias("raw_cells"))
+
+
 @query("""
-WITH p AS (SELECT p_partkey AS k, lower(p_name) AS name, p_partkey % 5 AS c FROM part WHERE p_partkey % 6 <> 0)
-SELECT 's' || k % 9 AS signature, 'item_substitution' AS kind, name AS trigger, k AS at, 'Vest' AS value FROM p WHERE c = 0
-UNION ALL SELECT 's' || k % 9, 'item_substitution', 'read as', k, NULL FROM p WHERE c = 1
-UNION ALL SELECT 's' || k % 9, 'column_shift', name, k, '1' FROM p WHERE c = 2
+WITH p AS (SELECT p_partkey AS k, p_name AS name, p_partkey % 5 AS c FROM part WHERE p_partkey % 6 <> 0)
+SELECT 's' || k % 9 AS signature, 'item_substitution' AS kind, name AS trigger, k AS at, CASE WHEN k % 2 = 0 THEN upper(name) || '-' ELSE 'Vest' END AS value FROM p WHERE c = 0
+UNION ALL SELECT 's' || k % 9, 'item_substitution', 'Read, as', k, NULL FROM p WHERE c = 1
+UNION ALL SELECT 's' || k % 9, 'column_shift', lower(name), k, '1' FROM p WHERE c = 2
 UNION ALL SELECT 's' || k % 9, 'column_shift', 'moved', k, NULL FROM p WHERE c = 3
 """)
 def correction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of which some were renamed, some kept a rule's name or shift, some were moved by a column, and some were added or dropped."""
-    c, pair = _k() % 5, lambda *s: F.array(*(F.struct(F.lit(x).alias("size"), F.col("p_size").cast("int").alias("qty")) for x in s))
-    r = _part(spark, sf_dir).select(
-        F.concat(F.lit("s"), (_k() % 9).cast("string")).alias("signature"), F.when(_k() % 12 == 0, "1#new").when(_k() % 6 == 0, "").otherwise(_k().cast("string")).alias("uid"), _k().alias("at"),
-        F.col("p_name").alias("item"), pair("45", "50").alias("cells"), F.when(c == 0, " Vest ").otherwise(F.col("p_name")).alias("submitted_item"), F.when(c == 2, pair("50", "55")).otherwise(pair("45", "50")).alias("submitted_cells"),
-        F.array(F.lit("45"), F.lit("50"), F.lit("55"), F.lit("60")).alias("headers"), F.when(c == 1, "item_substitution").when(c == 3, "column_shift").alias("fired_kind"), F.lit("read as").alias("rule_raw"), F.lit("moved").alias("rule_trigger"), pair("50", "55").alias("raw_cells"))
-    return templates.correction_events(r).drop("uid")
+    return templates.correction_events(shown_and_submitted(spark, sf_dir)).drop("uid")
 
 
 @query("""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
+from tallyloom.functions.scratch import written
 from tallyloom.operators import matching, orders, reconcile, rows, templates, totals
 from tallyloom.plans.views import SECOND, second_reading, selected, view, with_views
 from tallyloom.sources import tables
@@ -256,7 +257,9 @@ SELECT form_id, row_idx, CAST(sum_a AS BIGINT) AS sum_a, CAST(sum_b AS BIGINT) A
 FROM j
 """)
 def reconcile_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda name: selected(spark, sf_dir, f"SELECT * FROM {name}", "grid", more=_TWO)
+    # the cells that both readings and the totals stand on are made once
+    grid = written(view(spark, sf_dir, "grid"), "grid")
+    read = lambda name: spark.sql("WITH " + _TWO.replace("FROM grid", "FROM {grid}") + f" SELECT * FROM {name}", grid=grid)
     first = read("one")
     headers = first.select("form_id").distinct().select("form_id", F.explode(F.transform(F.sequence(F.lit(40), F.lit(110), F.lit(5)), lambda s: s.cast("string"))).alias("size"))
     return reconcile.reconcile_readings(first, read("two"), read("total"), headers)
@@ -294,7 +297,17 @@ def template_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.template_seen(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("signature"), F.col("o_orderdate").alias("seen_at")))
 
 
-@query("WITH e AS (SELECT user_id % 50 AS signature, event_type AS kind, 'x' AS trigger, event_id AS seq, CASE WHEN event_id % 3 > 0 THEN CAST(CAST(floor(value) AS BIGINT) % 3 AS VARCHAR) END AS value FROM events), v AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY signature, kind ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e), c AS (SELECT *, sum(CASE WHEN value <> before THEN 1 ELSE 0 END) OVER (PARTITION BY signature, kind ORDER BY seq) AS epoch FROM v), g AS (SELECT signature, kind, trigger, epoch, arg_max(value, seq) FILTER (value IS NOT NULL) AS value, sum(CASE WHEN value IS NULL AND before IS NOT NULL THEN 1 ELSE 0 END) AS confirmed FROM c GROUP BY ALL) SELECT signature, kind, trigger, arg_max(value, epoch) AS value, CAST(max(epoch) AS BIGINT) AS contradicted, CAST(arg_max(confirmed, epoch) AS BIGINT) AS confirmed FROM g GROUP BY ALL HAVING arg_max(value, epoch) IS NOT NULL")
+@query("""
+WITH e AS (SELECT user_id % 50 AS signature, event_type AS kind, 'x' AS trigger, event_id AS seq, CASE WHEN event_id % 3 > 0 THEN CAST(CAST(floor(value) AS BIGINT) % 3 AS VARCHAR) END AS value FROM events),
+v AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY signature, kind ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+c AS (SELECT *, sum(CASE WHEN value <> before THEN 1 ELSE 0 END) OVER (PARTITION BY signature, kind ORDER BY seq) AS epoch, CASE WHEN value IS NULL THEN before IS NOT NULL ELSE value IS DISTINCT FROM before END AS counts FROM v),
+g AS (
+    SELECT signature, kind, trigger, epoch, arg_max(value, seq) FILTER (value IS NOT NULL) AS value, sum(CASE WHEN value IS NULL AND before IS NOT NULL THEN 1 ELSE 0 END) AS confirmed,
+           min(seq) FILTER (value IS NOT NULL) AS first, max(seq) FILTER (counts) AS last
+    FROM c GROUP BY ALL)
+SELECT signature, kind, trigger, arg_max(value, epoch) AS value, CAST(max(epoch) AS BIGINT) AS contradicted, CAST(arg_max(confirmed, epoch) AS BIGINT) AS confirmed, 'active' AS status, min(first) AS first_seen, max(last) AS last_confirmed
+FROM g GROUP BY ALL HAVING arg_max(value, epoch) IS NOT NULL
+""")
 def fold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 50).alias("signature"), F.col("event_type").alias("kind"), F.lit("x").alias("trigger"), F.col("event_id").alias("at"), F.when(F.col("event_id") % 3 > 0, (F.floor("value") % 3).cast("string")).alias("value"))
     return templates.fold_rules(events)
@@ -307,4 +320,4 @@ def preferred_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the rest registers itself
-from tallyloom.plans import column_queries, geometry_queries, markup_queries, match_queries, review_queries  # noqa: E402, F401
+from tallyloom.plans import column_queries, geometry_queries, markup_queries, match_queries, review_queries, workload_queries  # noqa: E402, F401

@@ -254,12 +254,18 @@ def count_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_views("form_rows", "cells", more="r AS (SELECT DISTINCT p_partkey % 50 AS signature, p_name AS t FROM part WHERE p_partkey % 3 = 0)") + """
-SELECT c.form_id, c.row_idx, c.form_id % 50 AS signature, CASE WHEN t IS NULL THEN p_name || 's' ELSE upper(p_name) END AS item, upper(t) AS fired
+SELECT c.form_id, c.row_idx, c.form_id % 50 AS signature, CASE WHEN o.t IS NOT NULL THEN upper(o.t) WHEN c.row_idx % 2 = 0 OR r.t IS NOT NULL THEN upper(p_name) ELSE p_name || 's' END AS item,
+       CASE WHEN c.row_idx % 2 = 1 THEN upper(r.t) ELSE upper(o.t) END AS fired,
+       CASE WHEN c.row_idx % 2 = 1 AND r.t IS NOT NULL THEN 'Template memory: read as ' || p_name || 's, confirmed before as ' || upper(r.t)
+            WHEN o.t IS NOT NULL THEN 'Template memory: read as ' || upper(p_name) || ', confirmed before as ' || upper(o.t) END AS note
 FROM cells c LEFT JOIN r ON r.signature = c.form_id % 50 AND r.t = c.p_name
+     -- old and cold are as near as a rule takes
+     LEFT JOIN r o ON c.row_idx % 2 = 0 AND r.t IS NULL AND o.signature = c.form_id % 50 AND (o.t = 'c' || c.p_name AND c.p_name LIKE 'old %' OR 'c' || o.t = c.p_name AND o.t LIKE 'old %')
 """)
 def apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of every row with one letter misread, against rules of their template for a third of the names, whose triggers are written otherwise."""
-    cells = view(spark, sf_dir, "cells").select("form_id", "row_idx", (F.col("form_id") % 50).alias("signature"), F.concat("p_name", F.lit("s")).alias("item"))
+    """Names of every second row with one letter misread, of the others as a rule has them already, against rules of their template for a third of the names, whose triggers are written otherwise."""
+    item = F.when(F.col("row_idx") % 2 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit("s")))
+    cells = view(spark, sf_dir, "cells").select("form_id", "row_idx", (F.col("form_id") % 50).alias("signature"), item.alias("item"))
     rules = _part(spark, sf_dir).where("p_partkey % 3 = 0").select((_k() % 50).alias("signature"), F.upper("p_name").alias("trigger"), F.upper("p_name").alias("corrected")).distinct()
     return templates.apply_rules(cells, rules)
 

@@ -6,6 +6,9 @@ is bounded by what a page holds; joins are by form_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,38 +135,58 @@ def name_matches(seen: Column, expected: Column) -> Column:
     return (F.coalesce(seen, F.lit("")) == "") | (F.size(words) == 0) | F.exists(words, lambda w: F.contains(F.upper(seen), w))
 
 
-def least_in_order(costs: list[list[tuple]]) -> tuple[list[int], tuple]:
-    """The column of each row of costs, in order and one each, with the least sum of costs, and that sum. There are as many columns as rows or more."""
-    width = len(costs[0]) if costs else 0
-    none = tuple(0 for _ in costs[0][0]) if width else ()
-    # least[j]: the least cost of the rows so far on the first j columns; taken: whether the last row is on column j
-    least, taken = [none] * (width + 1), []
-    for row in costs:
-        now, use = [None], [False]
-        for j, cost in enumerate(row, 1):
-            on = least[j - 1] and tuple(a + b for a, b in zip(least[j - 1], cost))
-            use.append(on is not None and (now[-1] is None or on < now[-1]))
-            now.append(on if use[-1] else now[-1])
-        least, taken = now, [*taken, use]
-    at, j = [], width
-    for use in reversed(taken):
-        while not use[j]:
-            j -= 1
-        j -= 1
-        at.append(j)
-    return at[::-1], least[-1]
-
+def least_in_order(*costs: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Of many tables (k, rows, columns) at once, the column of each row, in order and one each, with the least sum of costs, and that sum. There are as many columns as rows or more.
 
-def _nearest_in_order(marks: pd.Series, headers: pd.Series) -> pd.DataFrame:
-    """For each row its marks' headers, in order and one each, with the least sum of distances, and the mean distance."""
+    Several costs are compared one after the other. Of equal sums the one with the earlier columns counts.
+    """
+    k, rows, columns = costs[0].shape
+    zero = tuple(np.zeros(k, c.dtype) for c in costs)
+    # least[j]: the least sums of the rows so far on the first j columns, or none yet where they do not fit
+    least: list[tuple[np.ndarray, ...] | None] = [zero] * (columns + 1)
+    last = np.zeros((rows, k, columns + 1), np.int64)  # the last column at or before j that is taken
+    for i in range(rows):
+        now: list[tuple[np.ndarray, ...] | None] = [None]
+        for j in range(1, columns + 1):
+            left, before = now[-1], least[j - 1]
+            on = None if before is None else tuple(b + c[:, i, j - 1] for b, c in zip(before, costs))
+            if on is None or left is None:
+                better = np.full(k, on is not None)
+                now.append(on if left is None else left)
+            else:
+                better, same = np.zeros(k, bool), np.ones(k, bool)
+                for x, y in zip(on, left):
+                    better |= same & (x < y)
+                    same &= x == y
+                now.append(tuple(np.where(better, x, y) for x, y in zip(on, left)))
+            last[i, :, j] = np.where(better, j, last[i, :, j - 1])
+        least = now
+    at, j = np.zeros((k, rows), np.int64), np.full(k, columns)
+    for i in range(rows - 1, -1, -1):
+        j = last[i, np.arange(k), j] - 1
+        at[:, i] = j
+    return at, least[-1]
+
+
+def _by_shape(left: pd.Series, right: pd.Series) -> Iterator[tuple[list[int], int]]:
+    """Places of the rows whose arrays have the same two lengths, none of the left being empty or longer than the right, with the left length."""
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (a, b) in enumerate(zip(left, right)):
+        if 0 < len(a) <= len(b):
+            groups.setdefault((len(a), len(b)), []).append(i)
+    for (m, _), places in groups.items():
+        yield places, m
 
-    def one(xs: list[float], hs: list[float]) -> tuple[list[int] | None, float | None]:
-        if not len(xs) or len(xs) > len(hs):
-            return None, None
-        at, (cost,) = least_in_order([[(abs(x - h),) for h in hs] for x in xs])
-        return at, cost / len(xs)
 
-    return pd.DataFrame([one(m, h) for m, h in zip(marks, headers)], columns=["at", "cost"])
+def _nearest_in_order(marks: pd.Series, headers: pd.Series) -> pd.DataFrame:
+    """For each row its marks' headers, in order and one each, with the least sum of distances, and the mean distance; rows of the same numbers of both are solved at once."""
+    out = [(None, None)] * len(marks)
+    for places, m in _by_shape(marks, headers):
+        x, h = (np.array([s.iloc[i] for i in places], np.float64) for s in (marks, headers))
+        at, (cost,) = least_in_order(np.abs(x[:, :, None] - h[:, None, :]))
+        for i, a, c in zip(places, at.tolist(), (cost / m).tolist()):
+            out[i] = a, c
+    return pd.DataFrame(out, columns=["at", "cost"])
 
 
 def assign_marks_to_headers(marks: DataFrame, located: DataFrame, most: float = 0.6) -> DataFrame:
@@ -282,17 +305,19 @@ def recover_centres(rows: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def _clusters_in_order(clusters: pd.Series, rows: pd.Series) -> pd.Series:
-    """For each form the place of each cluster's row."""
-
-    def one(marks: list, items: list) -> list[int] | None:
-        if len(marks) > len(items):
-            return None
-        blank = sum(i["total"] is None for i in items)
-        void = lambda i: i["total"] is None and blank < 0.5 * len(items)
-        cost = lambda c, i: (-int(i["total"] == c["qty"]), int(void(i)), abs(c["y"] - i["y"]))
-        return least_in_order([[cost(c, i) for i in items] for c in marks])[0]
-
-    return pd.Series([one(c, r) for c, r in zip(clusters, rows)])
+    """For each form the place of each cluster's row; forms of the same numbers of both are solved at once."""
+    out: list[list[int] | None] = [[] if not len(c) else None for c in clusters]
+    for places, _ in _by_shape(clusters, rows):
+        taken = lambda s, f: np.array([[f(e) for e in s.iloc[i]] for i in places])  # noqa: B023, E731
+        y, qty = taken(clusters, lambda c: c["y"]), taken(clusters, lambda c: c["qty"])
+        at_y, total, blank = taken(rows, lambda r: r["y"]), taken(rows, lambda r: r["total"] or 0), taken(rows, lambda r: r["total"] is None)
+        void = blank & (2 * blank.sum(1, keepdims=True) < blank.shape[1])
+        fits = (qty[:, :, None] == total[:, None, :]) & ~blank[:, None, :]
+        shape = fits.shape
+        at, _ = least_in_order(-fits.astype(np.int64), np.broadcast_to(void[:, None, :], shape).astype(np.int64), np.abs(y[:, :, None] - at_y[:, None, :]).astype(np.float64))
+        for i, a in zip(places, at.tolist()):
+            out[i] = a
+    return pd.Series(out, dtype=object)
 
 
 def assign_clusters_to_rows(clusters: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,21 @@ def size_column_totals(cells: DataFrame) -> DataFrame:
     return cells.groupBy("session_id", "page", "size").agg(F.sum("qty").alias("pieces"))
 
 
+def order_totals(cells: DataFrame) -> DataFrame:
+    """page_totals and size_column_totals in one pass: (level, session_id, page, size, rows, filled, pieces, unbound) for each size of a page, each page, each session and all.
+
+    level says which: size, page, session or all. A size has no rows and unbound rows of its own: these are null. A row's cells meet first, so that it counts once.
+    """
+    row = cells.groupBy("session_id", "page", "row_idx").agg(F.collect_list(F.struct("size", "qty")).alias("cells"), ((F.coalesce(F.sum("qty"), F.lit(0)) > 0) & (F.count("bsid") == 0)).alias("unbound"))
+    listed = row.select("session_id", "page", "unbound", F.posexplode("cells").alias("pos", "c")).select("session_id", "page", "c.size", "c.qty", (F.col("pos") == 0).alias("first"), "unbound")
+    sets = [["session_id", "page", "size"], ["session_id", "page"], ["session_id"], []]
+    whole = F.grouping_id() > 0
+    return listed.groupingSets([[F.col(c) for c in s] for s in sets], "session_id", "page", "size").agg(
+        F.element_at(F.create_map(*(F.lit(x) for kv in ((0, "size"), (1, "page"), (3, "session"), (7, "all")) for x in kv)), F.grouping_id().cast("int")).alias("level"),
+        F.when(whole, F.count_if("first")).alias("rows"), F.count_if(F.col("qty") > 0).alias("filled"), F.sum("qty").alias("pieces"), F.when(whole, F.count_if(F.col("first") & F.col("unbound"))).alias("unbound"),
+    ).select("level", "session_id", "page", "size", "rows", "filled", "pieces", "unbound")
+
+
 def usage_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """calls with cost in dollars; null for a model without a price. Reads from the cache cost a tenth, writes a quarter more, batches half."""
     joined = calls.join(F.broadcast(prices), "model", "left")

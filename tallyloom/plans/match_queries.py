@@ -221,13 +221,13 @@ SELECT replace(lower(a.bname), ' ', '-') AS item, a.bname, 100.0::DOUBLE AS scor
 FROM n a JOIN n b ON contains(b.bname, a.bname[-3:])
 GROUP BY a.bname
 UNION ALL
-SELECT 'x' || lower(bname[:-5]) || ' ' || bname[-2:], bname, round(200 * (length(bname) - 1) / CAST(2 * length(bname) AS DOUBLE), 6), false, (SELECT count(*) FROM n), '' FROM n
+SELECT 'x' || lower(bname[:-4]) || '1o' || bname[-2:], bname, round(200 * length(bname) / CAST(2 * length(bname) + 2 AS DOUBLE), 6), false, (SELECT count(*) FROM n), '' FROM n
 """)
 def best_catalog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every name of the catalog finds itself, written otherwise, and misread: with a letter before it and without the first digit, so that no code narrows."""
+    """Every name of the catalog finds itself, written otherwise, and misread: with a letter before it and one between the digits, so that no code narrows."""
     catalog = view(spark, sf_dir, "catalog")
     low = F.lower("bname")
-    misread = F.concat(F.lit("x"), F.substr(low, F.lit(1), F.length(low) - 4), F.lit(" "), F.right(low, F.lit(2)))
+    misread = F.concat(F.lit("x"), F.substr(low, F.lit(1), F.length(low) - 3), F.lit("1o"), F.right(low, F.lit(2)))
     items = catalog.select(F.explode(F.array(F.replace(low, F.lit(" "), F.lit("-")), misread)).alias("item"))
     return catalog_match.best_catalog_match(items, catalog).withColumn("score", F.round("score", 6))
 

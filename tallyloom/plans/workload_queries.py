@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import geometry, matching, orders, reconcile, review, templates
+from tallyloom.operators import geometry, matching, orders, reconcile, review, templates, totals
 from tallyloom.plans.geometry_queries import _BANDS, _HEADERS, _headers, _tokens
 from tallyloom.plans.match_queries import shown_and_submitted
 from tallyloom.plans.registry import query
@@ -131,6 +131,21 @@ def cluster_rows_by_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.cluster_rows(marks, F.col("gap")).select("form_id", "token_id", "cluster")
 
 
+# totals
+
+@query(with_views("form_rows", "cells", "forms", more="""
+c AS (SELECT session_id, page, form_id * 100 + row_idx AS row_idx, size, qty, p_partkey % 7 > 0 AS bound FROM cells JOIN forms USING (form_id)),
+r AS (SELECT session_id, page, row_idx, sum(CASE WHEN qty > 0 THEN 1 ELSE 0 END) AS n, sum(qty) AS q, NOT bool_or(bound) AND sum(qty) > 0 AS unbound FROM c GROUP BY ALL)""") + """
+SELECT 'size' AS level, session_id, page, size, CAST(NULL AS BIGINT) AS rows, count(*) FILTER (qty > 0) AS filled, CAST(sum(qty) AS BIGINT) AS pieces, CAST(NULL AS BIGINT) AS unbound FROM c GROUP BY session_id, page, size
+UNION ALL SELECT 'page', session_id, page, NULL, count(*), CAST(sum(n) AS BIGINT), CAST(sum(q) AS BIGINT), count_if(unbound) FROM r GROUP BY session_id, page
+UNION ALL SELECT 'session', session_id, NULL, NULL, count(*), CAST(sum(n) AS BIGINT), CAST(sum(q) AS BIGINT), count_if(unbound) FROM r GROUP BY session_id
+UNION ALL SELECT 'all', NULL, NULL, NULL, count(*), CAST(sum(n) AS BIGINT), CAST(sum(q) AS BIGINT), count_if(unbound) FROM r
+""")
+def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = view(spark, sf_dir, "cells").join(view(spark, sf_dir, "forms"), "form_id").withColumn("row_idx", F.col("form_id") * 100 + F.col("row_idx"))
+    return totals.order_totals(cells.withColumn("bsid", F.when(F.col("p_partkey") % 7 != 0, F.col("p_type"))))
+
+
 # rules that stand alone
 
 @query("SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN array_to_string(list_sort([s FOR s IN [p_size, p_size + 5, 200] IF s <> p_size % 4 + p_size - 1 AND s <> 200 OR s = 200]), ',') END AS outside FROM part")

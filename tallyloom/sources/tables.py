@@ -1,8 +1,8 @@
-"""Reading of the catalog and the buyer master. Filters stand on the scan, so a Parquet or JDBC source applies them."""
+"""Reading of the catalog and the buyer master, from tables or by JDBC. Filters stand on the scan, so the source applies them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,17 @@ def read_lookup(table: DataFrame, key: str, name: str, by_name: bool = False) ->
     """A small table of users or companies: key and trimmed name (blank for null), ordered by the key, or by name and key."""
     rows = table.select(F.col(key).alias("id"), F.trim(F.coalesce(name, F.lit(""))).alias("name"))
     return rows.orderBy("name", "id") if by_name else rows.orderBy("id")
+
+
+def read_table(spark: SparkSession, url: str, table: str, key: str, parts: int = 8, **options: str) -> DataFrame:
+    """A table of a database by JDBC, read in `parts` ranges of its number column key; nulls of key are in the first. Filters and columns that follow reach the database.
+
+    One row, the ends of key, is asked before. options: as the jdbc source takes them, user and driver among them. Names come in lower case.
+    """
+    source = lambda: spark.read.format("jdbc").option("url", url).options(**options)
+    ends = source().option("query", f"SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {table}").load().first()
+    if ends[0] is None:
+        rows = source().option("dbtable", table).load()
+    else:
+        rows = source().option("dbtable", table).options(partitionColumn=key, lowerBound=str(ends[0]), upperBound=str(int(ends[1]) + 1), numPartitions=str(parts)).load()
+    return rows.select(*(F.col(c).alias(c.lower()) for c in rows.columns))

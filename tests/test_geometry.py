@@ -1,8 +1,10 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text
 from tallyloom.operators import geometry
 
 TOKENS = "form_id int, token_id int, text string, x0 double, y0 double, x1 double, y1 double, score double"
@@ -70,3 +72,34 @@ def test_names_letters_and_tables(spark):
     cells = spark.createDataFrame([(1, 0, "Party"), (1, 1, "45 cm"), (1, 1, "50"), (1, 2, "45"), (1, 2, "50"), (2, 0, None)], "form_id int, table_idx int, cell string")
     headers = spark.createDataFrame([(1, "45"), (1, "50")], "form_id int, size string")
     assert sorted(map(tuple, geometry.pick_item_table(cells, headers).collect())) == [(1, 1, 2), (2, 0, 0)]
+
+
+def test_least_sums_in_order_of_many_tables():
+    r = np.random.default_rng(4)
+    for rows, columns in ((1, 1), (1, 4), (3, 3), (3, 6), (4, 7)):
+        first, second = r.integers(0, 3, (40, rows, columns)), r.integers(0, 4, (40, rows, columns)).astype(float)
+        at, sums = geometry.least_in_order(first, second)
+        for k in range(40):
+            wanted = min((sum(first[k, i, j] for i, j in enumerate(c)), sum(second[k, i, j] for i, j in enumerate(c)), c) for c in itertools.combinations(range(columns), rows))
+            assert (sums[0][k], sums[1][k]) == wanted[:2]
+            assert sum(first[k, i, j] for i, j in enumerate(at[k])) == wanted[0] and sum(second[k, i, j] for i, j in enumerate(at[k])) == wanted[1] and (np.diff(at[k]) > 0).all()
+
+
+def test_fused_headers_are_taken_apart(spark):
+    """Only in the header row, only where one cut is possible, and beside what was found by itself."""
+    sizes = ["95", "100", "105", "110", "115"]
+    token = lambda f, i, t, x0, y0, x1: (f, i, t, float(x0), float(y0), float(x1), float(y0 + 20), 0.9)
+    rows = [token(1, 1, "95", 0, 90, 20), token(1, 2, "100105", 30, 92, 90), token(1, 3, "110115", 100, 300, 160), token(1, 4, "110", 100, 90, 120)]
+    rows += [token(2, 1, "12", 0, 0, 10), token(2, 2, "1212121212121212", 20, 0, 180), token(2, 3, "121", 200, 0, 230)]
+    tokens = spark.createDataFrame(rows, "form_id int, token_id int, text string, x0 double, y0 double, x1 double, y1 double, score double")
+    headers = spark.createDataFrame([(1, s) for s in sizes] + [(2, "12"), (2, "14")], "form_id int, size string")
+    got = {(r.form_id, r["size"]): r.x for r in geometry.locate_headers(tokens, headers, 0.4).collect()}
+    assert got == {(1, "95"): 10.0, (1, "100"): 45.0, (1, "105"): 75.0, (1, "110"): 110.0, (2, "12"): 5.0}
+
+
+def test_merged_headers_of_any_length(spark):
+    cut = lambda t, *h: spark.range(1).select(text.split_merged_headers(F.lit(t), F.array(*map(F.lit, h))).alias("x")).first().x
+    assert cut("1212121212121212", "12", "14") == ["12"] * 8
+    assert cut("1234567", *"1234567") == list("1234567")
+    assert cut("1234567", *"1234567", "12") is None and cut("123", "12", "12", "3") == ["12", "3"] and cut("124", "12", "") is None
+    assert cut("x12", "x", "12") is None and cut("45", "45", "4", "5") is None

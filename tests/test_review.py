@@ -1,6 +1,7 @@
 import datetime
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -88,3 +89,22 @@ def test_submissions_once(spark, tmp_path):
     q = once_per_session(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
     q.awaitTermination(60)
     assert sorted(r.session_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_edits_against_the_table_of_distances():
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    r = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abcé") for _ in range(r.randint(0, 90))) for _ in range(2))
+        assert review._edits(a, b) == table(a, b)
+    words = [r.choice("abcdefgh") for _ in range(100_000)]
+    other = words[:500] + words[501:70_000] + ["x"] + words[70_000:]
+    began = time.time()
+    assert review._edits(words, other) == 2 and time.time() - began < 60

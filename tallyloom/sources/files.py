@@ -17,17 +17,31 @@ def read_usage_log(spark: SparkSession, old: str | None, new: str | None) -> Dat
     return parts[0] if len(parts) == 1 else parts[1].unionByName(parts[0], allowMissingColumns=True)
 
 
+#: The columns of a review file, in their order.
+REVIEW = ("source_file", "party_name", "order_no", "order_date", "item", "type", "size", "quantity", "notes")
+
+
 def write_review(rows: DataFrame, path: str) -> None:
-    """Flattened rows as CSV with a header, each form's together."""
-    rows.repartition("form_id").sortWithinPartitions("form_id", "item", "size").write.mode("overwrite").csv(path, header=True)
+    """REVIEW's columns of flattened rows as CSV with a header, null as blank, each form's rows together in the order of row_idx and pos, the place of a size in its row."""
+    ordered = rows.repartition("source_file").sortWithinPartitions("source_file", "row_idx", "pos")
+    ordered.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in REVIEW)).write.mode("overwrite").csv(path, header=True, emptyValue="")
 
 
-def write_order_forms(cells: DataFrame, path: str) -> None:
-    """A JSON document for each form: items in row order, each with its quantities by size; of a repeated size the largest quantity."""
-    once = cells.groupBy("form_id", "row_idx", "item", "size").agg(F.max("qty").alias("qty"))
-    items = once.groupBy("form_id", "row_idx", "item").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("size", "qty")))).alias("quantities"))
-    forms = items.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "item", F.map_entries("quantities").alias("q")))).alias("r"))
-    forms.select("form_id", F.transform("r", lambda i: F.struct(i["item"].alias("item"), F.map_from_entries(i["q"]).alias("quantities"))).alias("items")).write.mode("overwrite").json(path)
+def write_order_forms(cells: DataFrame, path: str, headers: DataFrame | None = None) -> None:
+    """A JSON document for each form: party_name, order_no and order_date of headers (form_id, ..), blank where there is none, and its items (item, type, quantities) in row order.
+
+    cells: form_id, row_idx, item, size, qty, and kind and pos where there are such columns. Of a size that a row repeats the last quantity by pos counts; without pos, the largest. A form of headers without cells has no items.
+    """
+    last = F.max_by("qty", "pos") if "pos" in cells.columns else F.max("qty")
+    kind = F.coalesce(F.col("kind"), F.lit("")) if "kind" in cells.columns else F.lit("")
+    once = cells.withColumn("type", kind).groupBy("form_id", "row_idx", "item", "type", "size").agg(last.alias("qty"))
+    rows = once.groupBy("form_id", "row_idx", "item", "type").agg(F.array_sort(F.collect_list(F.struct("size", "qty"))).alias("q"))
+    forms = rows.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "item", "type", "q"))).alias("r"))
+    names = ["party_name", "order_no", "order_date"]
+    told = forms if headers is None else headers.select("form_id", *names).join(forms, "form_id", "full")
+    blank = [F.lit("").alias(n) if headers is None else F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names]
+    items = F.transform(F.coalesce("r", F.array().cast(forms.schema["r"].dataType)), lambda i: F.struct(i["item"].alias("item"), i["type"].alias("type"), F.map_from_entries(i["q"]).alias("quantities")))
+    told.select("form_id", *blank, items.alias("items")).write.mode("overwrite").json(path)
 
 
 #: Extensions of images, and of a form's artefacts before .json with their shapes.
@@ -49,6 +63,13 @@ def _file(path: Column) -> Column:
     return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
 
 
+def artefact_name(path: Column, kinds: list[str]) -> tuple[Column, Column, Column]:
+    """Of the path of a JSON file its name without .json, its kind, one of kinds or form, and the form that it belongs to: X.raw.json is the raw of X, X.json the form itself."""
+    name = F.regexp_replace(_file(path), r"\.json$", "")
+    ending = F.regexp_extract(name, r"\.(" + "|".join(kinds) + ")$", 1)
+    return name, F.when(ending == "", "form").otherwise(ending), F.when(ending == "", name).otherwise(F.substr(name, F.lit(1), F.length(name) - F.length(ending) - 1))
+
+
 def list_images(spark: SparkSession, path: str) -> DataFrame:
     """Images below a folder in order of their paths: path, length, name. The name is the file's stem with other than letters, digits, space, - and _ as _, page where blank; of equal names the second is `name (2)`.
 
@@ -72,11 +93,8 @@ def read_form_json(spark: SparkSession, path: str) -> DataFrame:
 
     Form X is X.json, its artefacts X.raw.json and so on. A missing file, or one that is no JSON, is null. A form without X.json has no row.
     """
-    name = F.regexp_replace(_file(F.input_file_name()), r"\.json$", "")
-    kinds = [k for k in _ARTEFACTS if k != "form"]
-    ending = F.regexp_extract(name, r"\.(" + "|".join(kinds) + ")$", 1)
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(name.alias("name"), ending.alias("kind"), "value")
-    own = files.select(F.when(F.col("kind") == "", F.col("name")).otherwise(F.expr("substr(name, 1, length(name) - length(kind) - 1)")).alias("form_id"), F.when(F.col("kind") == "", "form").otherwise(F.col("kind")).alias("kind"), "value")
+    name, kind, form_id = artefact_name(F.input_file_name(), [k for k in _ARTEFACTS if k != "form"])
+    own = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(form_id.alias("form_id"), kind.alias("kind"), "value")
     wide = own.groupBy("form_id").pivot("kind", list(_ARTEFACTS)).agg(F.first("value")).where("form is not null")
     parsed = [F.when(F.try_parse_json(F.col(k)).isNotNull(), F.from_json(k, shape)).alias(k) for k, shape in _ARTEFACTS.items()]
     return wide.select("form_id", *parsed)

@@ -30,7 +30,7 @@ PATTERNS = (r"\byou(?:'re| are)? (?:such |all )?(?:an? )?(?:" + "|".join(PERSONS
 LISTS, BEGINNINGS = 4, (4, 5, 6)
 #: Most labelled documents of a class that lists are learned from, and documents with and without a vote that the classifier is fitted on.
 LABELLED, FITTED = 3000, 3000
-#: Most features of the learned lists, and of the classifier.
+#: Most features of the learned lists, and of the classifier: what the model may hold, whatever the corpus.
 LISTED, FEATURES = 50_000, 6000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¿¡…—–"
 
@@ -66,10 +66,10 @@ class Voters:
     patterns: list[re.Pattern] = field(default_factory=lambda: [re.compile(p) for p in PATTERNS])
 
     @classmethod
-    def learned(cls, sample: DataFrame) -> Voters:
+    def learned(cls, sample: DataFrame, listed: int = LISTED) -> Voters:
         """The fixed lists, and lists of the features that tell toxic from clean documents in a sample (features, value: the label), dealt by hash.
 
-        Counts are made by Spark; the LISTED features that tell most come to the driver.
+        Counts are made by Spark; the features that tell most, at most `listed`, come to the driver.
         """
         n_clean, n_toxic = (sample.agg(F.count_if(F.col("value") == y).alias("n")).first()["n"] for y in (0, 1))
         lists = [set(PERSONS), set(CONTEMPT), set(REFUSE)]
@@ -78,7 +78,7 @@ class Voters:
             counts = sample.select(F.explode("features").alias("f"), "value").groupBy("f").agg(F.sum("value").alias("toxic"), F.sum(1 - F.col("value")).alias("clean"))
             rare = F.col("clean") / n_clean < 0.05 * F.col("toxic") / n_toxic
             telling = counts.withColumn("z", association(F.col("toxic"), F.col("clean"), float(n_toxic), float(n_clean))).where((F.col("z") > 3.9) & rare)
-            for (f,) in telling.orderBy(F.desc("z"), "f").limit(LISTED).select("f").collect():
+            for (f,) in telling.orderBy(F.desc("z"), "f").limit(listed).select("f").collect():
                 learned[LISTS + BEGINNINGS.index(len(f) - 1) if f.endswith("-") else sum(f.encode("utf-8", "surrogatepass")) % LISTS].add(f)
         return cls(lists + learned)
 
@@ -143,14 +143,14 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in self.weights.keys() & features), -30, 30)))
 
     @classmethod
-    def fitted(cls, sample: DataFrame) -> Linear:
-        """Fitted on a sample (doc_id, features, value: probability of class 1). Spark counts and chooses the features; which of them each row has comes to the driver."""
+    def fitted(cls, sample: DataFrame, features: int = FEATURES) -> Linear:
+        """Fitted on a sample (doc_id, features, value: probability of class 1). Spark counts and chooses the features, the `features` that tell most; which of them each row has comes to the driver."""
         n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("value"), F.lit(0.0))).first()
         if not n:
             return cls({}, -3.0)
         counts = sample.select(F.explode("features").alias("f"), "value").groupBy("f").agg(F.count("*").alias("n"), F.sum("value").alias("toxic"), F.sum(1 - F.col("value")).alias("clean"))
         z = counts.where("n >= 3").withColumn("z", F.abs(association(F.col("toxic"), F.col("clean"), float(toxic), float(n - toxic)))).where("z > 3.5")
-        names = [r["f"] for r in z.orderBy(F.desc("z"), "f").limit(FEATURES).select("f").collect()]
+        names = [r["f"] for r in z.orderBy(F.desc("z"), "f").limit(features).select("f").collect()]
         at = {f: i for i, f in enumerate(names)}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def _sample(rows: DataFrame, value: Column) -> DataFrame:
     return written(first.select("r.*"), "sample")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, threshold: float = 0.7, labelled: int = LABELLED, fitted: int = FITTED) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, threshold: float = 0.7, labelled: int = LABELLED, fitted: int = FITTED, listed: int = LISTED, features: int = FEATURES) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted (score >= threshold).
 
     labels (doc_id, toxic) teach only outside the fold held out; lang, source, labels and doc_id are inputs of no
@@ -202,17 +202,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, t
     pass through. Without labels the fixed lists vote alone. Other columns are not read.
 
     The lists and the classifier are fitted on bounded samples (labelled, fitted: rows of a class), whose features Spark
-    counts; the label model on the votes of all documents, counted by pattern: there are at most 2 ** 12 patterns. Its
+    counts; of these the lists take at most `listed` and the classifier at most `features`, those that tell most, so that either fits a task; the label model on the votes of all documents, counted by pattern: there are at most 2 ** 12 patterns. Its
     prior is the share of toxic ones among all labels outside the fold.
     """
-    return _scored(docs, labels, folds, out, threshold, labelled, fitted).drop("sha")
+    return _scored(docs, labels, folds, out, threshold, labelled, fitted, listed, features).drop("sha")
 
 
-def _scored(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, threshold: float = 0.7, labelled: int = LABELLED, fitted: int = FITTED, hashed: bool = False) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, threshold: float = 0.7, labelled: int = LABELLED, fitted: int = FITTED, listed: int = LISTED, features: int = FEATURES, hashed: bool = False) -> DataFrame:
     """toxicity's rows, with sha: that of the text if hashed, else null."""
     texts = documents(docs).withColumn("sha", F.sha2("text", 256) if hashed else F.lit(None).cast("string"))
     sample = _sample(labelled_sample(docs, labels, "toxic", folds, out, labelled, True), F.col("label"))
-    voters = Voters.learned(sample)
+    voters = Voters.learned(sample, listed)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -235,7 +235,7 @@ def _scored(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, th
     chosen = lambda rows: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fitted)
     ids = chosen(free.where("votes <> 0")).unionByName(chosen(free.where("votes = 0")))
     rows = texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    linear = Linear.fitted(_sample(rows, F.coalesce(F.element_at(F.create_map(*posterior), F.col("votes")), F.lit(model.prior)) if posterior else F.lit(model.prior)))
+    linear = Linear.fitted(_sample(rows, F.coalesce(F.element_at(F.create_map(*posterior), F.col("votes")), F.lit(model.prior)) if posterior else F.lit(model.prior)), features)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -88,7 +88,7 @@ def _weighted(a: str, b: str) -> float:
     return max(_ratio(a, b), scale * _partial(a, b), 0.95 * scale * words)
 
 
-weighted, token_set = _weighted, _token_set
+plain, partial, weighted, token_set = _ratio, _partial, _weighted, _token_set
 
 
 def _scored(score, a, b):

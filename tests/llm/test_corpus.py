@@ -246,13 +246,6 @@ def test_every_candidate_is_compared(spark):
     assert all(of[0][i] == of[0][j] for i, j in links)
 
 
-def test_toxicity_learns_from_3000_of_a_class():
-    import inspect
-
-    bounds = inspect.signature(toxicity.toxicity).parameters
-    assert (bounds["labelled"].default, bounds["fitted"].default) == (3000, 3000)
-
-
 def test_stages_tell_rows_of_one_id_apart(spark, monkeypatch):
     """Null and repeated ids: only the near copy and the toxic row of an id go, and of each group one row stays."""
     a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")

@@ -9,8 +9,8 @@ from tallyloom.functions.text import likeness_form, plain_total, sort_sizes
 from tallyloom.operators.fuzzy import weighted_ratio
 from tallyloom.operators.matching import shift_offsets
 
-#: Fixed value: names of two readings of one row are at least this much alike.
-ALIGNED = 55
+#: Names of two readings of one row are at least this much alike; the beginning of notes, which flag_message shows as they are.
+ALIGNED, NOTE = 55, "Row-crop recount"
 
 
 def _offset(rows: DataFrame, cells: str, name: str) -> DataFrame:
@@ -29,7 +29,7 @@ def _moved(cells: Column, offset: Column) -> Column:
 
 
 def merge_recount(rows: DataFrame) -> DataFrame:
-    """One row for each of rows: form_id, row_idx, status, cells (size, qty), chosen and sizes (those that the flag is on).
+    """One row for each of rows: form_id, row_idx, status, cells (size, qty), chosen, sizes (those that the flag is on), offset and note, what a reviewer is told.
 
     rows: form_id, row_idx, item, main (array of (size, qty)), row_total, size_headers, catalog_sizes (array of int; null without a trusted match),
     and of the second reading item_seen, recount and total_dozen; recount null: there is none. In this order:
@@ -66,4 +66,13 @@ def merge_recount(rows: DataFrame) -> DataFrame:
     differ = F.array_distinct(names(F.concat(F.array_except("main", "recount"), F.array_except("recount", "main"))))
     told = told.withColumn("cells", cells)
     sizes = F.when(F.col("status").isin("ok", "no_recount"), F.array().cast("array<string>")).when(F.col("status").isin("resolved", "unresolved"), differ).when(F.col("status") == "auto_corrected", names("cells")).otherwise(names("main"))
-    return told.select("form_id", "row_idx", "status", "chosen", "cells", sort_sizes(sizes).alias("sizes"), F.col("_a").alias("offset"))
+    say = lambda *parts: F.concat(F.lit(NOTE), *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    others = F.filter(names("recount"), lambda s: s.rlike("^[0-9]+$") & ~F.array_contains("size_headers", s))
+    note = (
+        F.when(F.col("recount").isNull(), "").when(~F.col("_aligned"), say(" read another item here: ", F.col("item_seen"), ".")).when((F.size("recount") == 0) & (F.size("main") > 0), say(" found no quantities."))
+        .when(foreign, say(" found sizes that are no header: ", F.array_join(sort_sizes(others), ", "), ".")).when(shifted, say(" agrees, moved by ", F.col("_a"), " to the sizes of the catalog."))
+        .when(equal & total_differs, say(" agrees, but the printed total is ", F.col("_total"), ", the sum ", F.col("_sum_a"), ".")).when(equal, "")
+        .when(by_total.isNotNull(), say(" differs, the ", by_total, " fits the printed total.")).when(by_catalog.isNotNull(), say(" differs, the ", by_catalog, " fits the sizes of the catalog."))
+        .otherwise(say(" differs, and nothing says which is right."))
+    )
+    return told.select("form_id", "row_idx", "status", "chosen", "cells", sort_sizes(sizes).alias("sizes"), F.col("_a").alias("offset"), note.alias("note"))

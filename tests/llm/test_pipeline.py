@@ -91,3 +91,24 @@ def test_stages_take_nulls_clashing_columns_and_no_rows(spark, tmp_path):
         assert len(out) == last.count() and (out or name == "none")
         # one of the equal and nearly equal texts stays: that of the smallest id
         assert {r.doc_id for r in out} & {0, 1, 2} in ({0}, set()) if data else not out
+
+
+def test_one_rule_for_small_and_large_components(spark):
+    """Groups are the same whether sets meet within their component or under their least hashes."""
+    import random
+
+    from tallyloom.llm import simhash
+
+    r = random.Random(9)
+    base = [[f"w{r.randrange(4000)}" for _ in range(60)] for _ in range(6)]
+    texts = []
+    for words in base:
+        for _ in range(12):
+            own = words.copy()
+            for _ in range(r.randrange(7)):
+                own[r.randrange(60)] = f"v{r.randrange(9)}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    groups = lambda keys, tile: sorted((x.doc_id, x.group) for x in simhash.near_groups(docs, 5, 80, 4, 0.8, keys, 0.8, sets_tile=tile).collect())
+    for keys in (12, 1):
+        assert groups(keys, simhash.SETS_TILE) == groups(keys, 2)

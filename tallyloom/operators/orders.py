@@ -73,7 +73,7 @@ def numbered(rows: DataFrame, *order: str, n: str = "n") -> DataFrame:
     Rows are ranged by that order and numbered within their range; the ranges' counts, a row each, give the offsets.
     The ranged rows are written first: ranges drawn anew for the counts could be others. n replaces a column of that name.
     """
-    part, count, before, place = fresh(rows, "part", "count", "before", "place")
+    part, count, before, place = fresh(rows.withColumn(n, F.lit(0)), "part", "count", "before", "place")
     ranged = written(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "numbered")
     placed = ranged.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
     counts = placed.groupBy(part).agg(F.count("*").alias(count))

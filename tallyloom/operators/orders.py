@@ -26,11 +26,12 @@ def product_groups(catalog: DataFrame) -> DataFrame:
 def resolve_lines(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """cells (session_id, rsno, bsid, size, qty) with detid and problem: null for a good line.
 
-    Zero and blank cells are passed over. Products join by (bsid, size), so one large product is many keys.
+    Zero and blank cells are passed over. A product is one row with its sizes as a map, so cells meet it in one join; one that very many cells name is left to the skew join.
     """
     cells = cells.where(F.coalesce("qty", F.lit(0)) != 0)
-    known = groups.select("bsid").distinct().withColumn("known", F.lit(True))
-    joined = cells.join(known, "bsid", "left").join(groups, ["bsid", "size"], "left")
+    sized = F.collect_list(F.when(F.col("size").isNotNull(), F.struct("size", "detid")))
+    products = groups.groupBy("bsid").agg(F.map_from_entries(sized).alias("known"))
+    joined = cells.join(products, "bsid", "left").withColumn("detid", F.try_element_at("known", "size"))
     problem = (
         F.when(F.col("bsid").isNull(), "unbound")
         .when(F.col("known").isNull(), "unknown_product")

@@ -27,7 +27,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return written(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")), "tokens")
 
 
 STAGES = [("toxicity", without_toxic), ("exact dedup", without_copies), ("simhash near-dedup", without_near_copies), ("mixing", mixed_sources), ("bpe", tokenized)]

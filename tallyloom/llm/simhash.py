@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import decided, documents, left_by_key, slices, split_by_members, written
+from tallyloom.llm._shared import decided, documents, left_by_key, slices, split_by_members, trimmed, written
 from tallyloom.llm.components import connected_components
 
 #: Shingles whose bits are counted at once.
@@ -221,17 +221,22 @@ def near_links(prints: DataFrame, radius: int, words: int = 1, ratio: float = 0.
                 out.append(np.stack([ids[a:b][left], ids[a:b][right]]))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["a", "b"])
 
+        last = None
         for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
-            last = table.column("bucket")[-1]
-            keys = table.column("bucket").to_pylist()
-            end = next((i for i in range(len(keys) - 1, -1, -1) if keys[i] != last.as_py()), -1) + 1
-            if end:
-                yield edges(table.slice(0, end))
-            held = table.slice(end).combine_chunks().to_batches()
+            if not batch.num_rows:
+                continue
+            keys = batch.column("bucket").to_pylist()
+            end = next((i for i in range(len(keys) - 1, -1, -1) if keys[i] != keys[-1]), -1) + 1
+            if held and (end or keys[0] != last):  # what is held is one bucket, which goes on in this batch or is whole
+                yield edges(pa.Table.from_batches([*held, batch.slice(0, end)]).combine_chunks())
+                held = []
+            elif end:
+                yield edges(pa.Table.from_batches([batch.slice(0, end)]))
+            held.append(batch.slice(end))
+            last = keys[-1]
         if held:
-            yield edges(pa.Table.from_batches(held))
+            yield edges(pa.Table.from_batches(held).combine_chunks())
+        trimmed()
 
     one = alone.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare_many, "a long, b long")
     many = cut.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long")

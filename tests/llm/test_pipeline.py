@@ -112,3 +112,45 @@ def test_one_rule_for_small_and_large_components(spark):
     groups = lambda keys, tile: sorted((x.doc_id, x.group) for x in simhash.near_groups(docs, 5, 80, 4, 0.8, keys, 0.8, sets_tile=tile).collect())
     for keys in (12, 1):
         assert groups(keys, simhash.SETS_TILE) == groups(keys, 2)
+
+
+def test_workers_get_texts_in_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tallyloom.functions.scratch import BATCH_BYTES
+    from tallyloom.llm._shared import written
+
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    rows = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("some words "), 200).alias("text")).mapInArrow(run, "n long, size long")
+    got = written(rows, "test").collect()
+    assert sum(r.n for r in got) == 6000 and max(r.size for r in got) < 2 * BATCH_BYTES
+    assert spark.conf.get(conf, None) is None
+    try:
+        spark.conf.set(conf, "512k")
+        got = written(rows, "test").collect()
+        assert sum(r.n for r in got) == 6000 and max(r.size for r in got) < 1 << 20 and spark.conf.get(conf) == "512k"
+    finally:
+        spark.conf.unset(conf)
+
+
+def test_buckets_that_go_over_batches_lose_no_link(spark):
+    from tallyloom.llm.simhash import near_links
+
+    # buckets of 1, 2, .. 12 rows, in which each row is one bit from the next
+    rows = [(100 * b + k, ((1 << k) - 1).to_bytes(8, "little"), 1, bytes([b])) for b in range(12) for k in range(b + 1)]
+    prints = spark.createDataFrame(rows, "id long, fp binary, size long, bucket binary")
+    wanted = {(100 * b + k, 100 * b + k + 1) for b in range(12) for k in range(b)}
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(conf)
+    try:
+        for n in (1, 2, 5, 1000):
+            spark.conf.set(conf, n)
+            assert {tuple(sorted(r)) for r in near_links(prints, 1).collect()} == wanted
+    finally:
+        spark.conf.set(conf, own)

@@ -79,13 +79,18 @@ def parts_of(text: str) -> list[str]:
     return parts
 
 
-def _check(data: dict) -> None:
-    """Raises on a tokenizer file with a part that Codec does not follow."""
+def byte_level(data: dict) -> bool:
+    """Whether a tokenizer file is a plain byte-level BPE: words as in WORDS, each merged on its own, nothing normalized."""
     parts = [data.get("pre_tokenizer") or {}]
     parts = parts[0].get("pretokenizers", parts)
     plain = all(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and p.get("use_regex", True) for p in parts) and len(parts) == 1
     flags = any(t.get(k) for t in data["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
-    if not plain or data.get("normalizer") or flags or data["model"].get("dropout") or data["model"].get("ignore_merges"):
+    return plain and not (data.get("normalizer") or flags or data["model"].get("dropout") or data["model"].get("ignore_merges"))
+
+
+def _check(data: dict) -> None:
+    """Raises on a tokenizer file with a part that Codec does not follow."""
+    if not byte_level(data):
         raise ValueError("only byte-level BPE without normalizer, prefix space and stripping added tokens is supported")
 
 

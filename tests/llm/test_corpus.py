@@ -136,6 +136,23 @@ def test_bpe_and_token_files(docs, none):
     assert own.merge_words(["a", "hello", "x" * 63]) == [own.merge_word(w) for w in ["a", "hello", "x" * 63]]
 
 
+def test_library_encodes_a_word_once(monkeypatch):
+    """A word goes through the library once, whatever punctuation is around it; ids are the library's over odd ends of letters, white space, zeros and special tokens."""
+    import pyarrow as pa
+
+    encoder, asked = token_files.LibraryEncoder(P.path("byte_bpe_50k.json")), []
+    inner = encoder.library
+    monkeypatch.setattr(encoder, "library", lambda parts: asked.extend(parts) or inner(parts))
+    r = random.Random(7)
+    words, marks = ["".join(r.choice("abcdeföщ汉") for _ in range(6)) for _ in range(50)], ["", ",", ".", "###", "?!", ")", ";", "$$$", "'s", "_1"]
+    found = encoder.encode(pa.array([" ".join(w + m for w in words) for m in marks]))
+    assert len(asked) == len({*asked}) <= 2 * len(words) + 2 * len(marks)
+    odd = ["".join(r.choice(["a", "Bc", "ö", "щ", "汉", "½", "²", "e\u0301", "'", "'s", "'ll", "7", "_", ",", "#!", "-", "\t", "\n", "\r\n", " ", " ", "  ", "\u00a0", "\u2003 ", "\x1c", "\0", "<|endoftext|>", "<|endof", "\u0120", "😀"]) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    odd += ["", " ", "\n", " \nabc", "abc\n", "abc ", "x" * 70 + "." * 70 + " y"]
+    for texts, ids in (([" ".join(w + m for w in words) for m in marks], found), (odd, encoder.encode(pa.array(odd))), (odd[:5], encoder.encode(pa.array(odd[:9]).slice(0, 5))), ([], encoder.encode(pa.array([], pa.string())))):
+        assert [x.tolist() for x in ids] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_blocks_round_trip():
     r = np.random.default_rng(1)
     ids = np.concatenate([r.integers(0, 50257, 4096), np.full(4096, 7), r.integers(0, 9, 4096), np.where(r.random(4096) < 0.01, 2**32 - 1, 3)]).astype(np.uint32)

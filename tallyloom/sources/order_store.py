@@ -81,6 +81,11 @@ def publish(spark: SparkSession, path: str, batch: str, make: Callable[[int], di
 
 
 def read_published(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table of the batches that are published, with batch. Commits are few beside rows; whether they are broadcast goes by their size."""
-    rows = spark.read.parquet(f"{path}/{table}")
-    return rows.join(commits(spark, path).select("folder", "batch"), "folder").drop("folder")
+    """A table of the batches that are published, with batch. Folders of batches that failed are not opened, neither for rows nor for column types. Commits are few beside rows; whether they are broadcast goes by their size."""
+    known = commits(spark, path).select("folder", "batch")
+    published = {f"folder={r['folder']}" for r in known.collect()}
+    system, where = _hadoop(spark, f"{path}/{table}")
+    own = sorted(published & {s.getPath().getName() for s in system.listStatus(where)})
+    if not own:
+        return spark.read.parquet(f"{path}/{table}").join(known, "folder").drop("folder")
+    return spark.read.option("basePath", f"{path}/{table}").parquet(*(f"{path}/{table}/{name}" for name in own)).join(known, "folder").drop("folder")

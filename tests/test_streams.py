@@ -125,6 +125,20 @@ def test_orders_as_a_stream(spark, tmp_path):
     assert [m[0] for m in master()] == [1, 2, 3, 4, 5] and {m[1] for m in master()[3:]} == {"v", "w"}
 
 
+def test_failed_batches_are_not_opened(spark, tmp_path):
+    """What a batch that failed has left, of other types or broken, is in no one's way; a table that a batch has not is empty there."""
+    store = str(tmp_path / "store")
+    table = lambda n: spark.createDataFrame([(n, f"s{n}")], "order_no long, session_id string")
+    for name in ("b-0", "b-z"):
+        spark.createDataFrame([(7, 7)], "order_no int, session_id int").write.parquet(f"{store}/master/folder={name}")
+    (tmp_path / "store/master/folder=b-00").mkdir()
+    (tmp_path / "store/master/folder=b-00/part.parquet").write_text("cut short")
+    assert publish(spark, store, "x", lambda last: {"master": table(last + 1), "rejected": table(0)})
+    assert publish(spark, store, "y", lambda last: {"master": table(last + 1)})
+    assert sorted(tuple(r) for r in read_published(spark, store, "master").collect()) == [(1, "s1", "x"), (2, "s2", "y")]
+    assert [tuple(r) for r in read_published(spark, store, "rejected").collect()] == [(0, "s0", "x")]
+
+
 def test_usage_as_a_stream(spark, tmp_path):
     at = lambda h: (DAY + datetime.timedelta(hours=h)).isoformat()
     call = lambda h, e=None: {"ts": at(h), "model": "m", "image": "i", "input_tokens": 2, "error": e}

@@ -153,6 +153,25 @@ def test_library_encodes_a_word_once(monkeypatch):
         assert [x.tolist() for x in ids] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """One that puts a space first, and one whose added token takes the space before it: their words do not end where parts do."""
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        data = json.load(f)
+    texts = ["a b, c <|endoftext|> d", "Hello, world", "", "x \0 y"]
+    led = {**data, "pre_tokenizer": {**data["pre_tokenizer"], "add_prefix_space": True}}
+    stripped = {**data, "added_tokens": [{**t, "lstrip": True} for t in data["added_tokens"]]}
+    for k, changed in enumerate((led, stripped)):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(changed))
+        expected = [e.ids for e in Tokenizer.from_file(str(path)).encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in token_files.LibraryEncoder(str(path)).encode(pa.array(texts))] == expected
+
+
 def test_blocks_round_trip():
     r = np.random.default_rng(1)
     ids = np.concatenate([r.integers(0, 50257, 4096), np.full(4096, 7), r.integers(0, 9, 4096), np.where(r.random(4096) < 0.01, 2**32 - 1, 3)]).astype(np.uint32)

@@ -340,10 +340,17 @@ def assign_clusters_to_rows(clusters: DataFrame, rows: DataFrame) -> tuple[DataF
 def calibrate_drift(marks: DataFrame, located: DataFrame, rows: DataFrame, sure: float = 12.0) -> DataFrame:
     """(form_id, a, b): how far marks (form_id, row_idx, x, qty) lie right of their headers, a * y + b, at a row's height y (rows: form_id, row_idx, y; a share of the page's).
 
-    Fitted to the rows whose marks lie within `sure` pixels of their headers in the mean; forms with fewer than three, or with these within 0.08 of the height, go.
+    Fitted to the rows whose marks lie within `sure` pixels of their headers in the mean; forms with fewer than three, or with these within 0.08 of the height, go. Drift
+    that grows down the page brings marks near the next headers in the end: where rows that are not sure are followed by a sure one whose distance differs
+    by more than `sure` from that of the last sure row above, that row and those below it do not count.
     """
-    first = assign_marks_to_headers(marks, located, float("inf")).where(F.col("cost") < sure).join(located.select("form_id", "size", F.col("x").alias("_hx")), ["form_id", "size"])
-    points = first.groupBy("form_id", "row_idx").agg(F.avg(F.col("x") - F.col("_hx")).alias("_off")).join(rows.select("form_id", "row_idx", "y"), ["form_id", "row_idx"])
+    first = assign_marks_to_headers(marks, located, float("inf")).join(located.select("form_id", "size", F.col("x").alias("_hx")), ["form_id", "size"])
+    offsets = first.groupBy("form_id", "row_idx").agg(F.avg(F.col("x") - F.col("_hx")).alias("_off"), (F.max("cost") < sure).alias("_sure")).join(rows.select("form_id", "row_idx", "y"), ["form_id", "row_idx"])
+    page = Window.partitionBy("form_id").orderBy("y", "row_idx")
+    before = F.last(F.when(F.col("_sure"), F.col("_off")), ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, -1))
+    turned = F.col("_sure") & ~F.lag("_sure").over(page) & (F.abs(F.col("_off") - before) > sure)
+    points = offsets.withColumn("_turned", F.coalesce(turned, F.lit(False)))
+    points = points.withColumn("_turned", F.max("_turned").over(page.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sure") & ~F.col("_turned"))
     fitted = points.groupBy("form_id").agg(F.count("*").alias("_n"), (F.max("y") - F.min("y")).alias("_spread"), F.regr_slope("_off", "y").alias("a"), F.regr_intercept("_off", "y").alias("b"))
     return fitted.where("_n >= 3 and _spread >= 0.08").select("form_id", "a", "b")
 

@@ -103,3 +103,16 @@ def test_headers_by_order(spark):
     bottoms = spark.createDataFrame([(f, 145.0) for f in (1, 2, 3)], "form_id int, bottom double")
     got = geometry.recover_headers_by_order(spark.createDataFrame(rows, TOKENS), headers, bottoms)
     assert sorted(map(tuple, got.collect())) == [(1, "45", 100.0), (1, "50", 140.0), (1, "55", 180.0), (2, "45", 120.0), (2, "50", 160.0), (2, "55", 200.0)]
+
+
+def _long_page(spark):
+    """Marks of 22 rows that drift by 2 pixels a row, so that the lowest lie within 12 pixels of the next header; of a second form, two rows are unsure between others."""
+    located = spark.createDataFrame([(f, str(45 + 5 * i), 40.0 * i) for f in (1, 2) for i in range(7)], "form_id int, size string, x double")
+    marks = [(1, r, 40.0 * i + 2 * r, 10 * r + i) for r in range(22) for i in (r % 3, r % 3 + 2)] + [(2, r, 80.0 + r + (17 if r in (3, 4) else 0), 10 * r + 2) for r in range(8)]
+    rows = [(f, r, r / 10) for f, n in ((1, 22), (2, 8)) for r in range(n)]
+    return spark.createDataFrame(marks, "form_id int, row_idx int, x double, qty int"), located, spark.createDataFrame(rows, "form_id int, row_idx int, y double")
+
+
+def test_drift_past_the_next_header(spark):
+    drift = {d.form_id: (d.a, d.b) for d in geometry.calibrate_drift(*_long_page(spark)).collect()}
+    assert drift == {1: pytest.approx((20, 0)), 2: pytest.approx((10, 0))}

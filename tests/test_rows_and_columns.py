@@ -116,3 +116,9 @@ def _long_page(spark):
 def test_drift_past_the_next_header(spark):
     drift = {d.form_id: (d.a, d.b) for d in geometry.calibrate_drift(*_long_page(spark)).collect()}
     assert drift == {1: pytest.approx((20, 0)), 2: pytest.approx((10, 0))}
+
+
+def test_marks_that_drift_past_the_next_header(spark):
+    marks, located, rows = _long_page(spark)
+    got = {(g.form_id, g.row_idx, g.qty): g["size"] for g in geometry.assign_with_drift(marks, located, rows).collect()}
+    assert got == {(m.form_id, m.row_idx, m.qty): str(45 + 5 * (m.qty % 10)) for m in marks.collect()}

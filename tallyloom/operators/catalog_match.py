@@ -24,11 +24,11 @@ def _best(scored: DataFrame, *by: str) -> DataFrame:
     return scored.groupBy(*by).agg(F.min(F.struct((-F.col("score")).alias("s"), "ord")).alias("b")).select(*by, (-F.col("b.s")).alias("score"), F.col("b.ord").alias("ord"))
 
 
-def best_of_all(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(text, score, ord): the key with the highest weighted ratio, no cutoff, the first by ord of equals. Texts that are blank once cleaned have none."""
+def best_of_all(texts: DataFrame, keys: DataFrame, least: float = 0.0) -> DataFrame:
+    """(text, score, ord): the key with the highest weighted ratio, of `least` or more, the first by ord of equals. Texts that are blank once cleaned have none."""
 
     def take(index: NameIndex, text: str) -> list[tuple]:
-        return [(score, int(index.ords[i])) for score, i in index.best(text, 1)] if fuzzy.cleaned(text) else []
+        return [(score, int(index.ords[i])) for score, i in index.best(text, 1, least=least)] if fuzzy.cleaned(text) else []
 
     return _best(against_names(texts, keys, take, "score double, ord long"), "text")
 
@@ -52,10 +52,10 @@ def best_catalog_match(items: DataFrame, catalog: DataFrame) -> DataFrame:
     return narrowing.join(best, "item").join(names, "ord").select("item", "bname", "score", "code_narrowed", "pool", "unmatched_code")
 
 
-def best_buyer_match(texts: DataFrame, buyers: DataFrame) -> DataFrame:
-    """(text, head_id, name, city, score) of each distinct text: the live buyer (head_id, name, city) whose name and city are most like it, ties by name, then id."""
+def best_buyer_match(texts: DataFrame, buyers: DataFrame, least: float = 0.0) -> DataFrame:
+    """(text, head_id, name, city, score) of each distinct text: the live buyer (head_id, name, city) whose name and city are most like it, ties by name, then id. Texts whose best score is below `least` have none."""
     listed = written(ordered_keys(buyers.select("head_id", "name", F.coalesce("city", F.lit("")).alias("city")), "name", "head_id"), "buyers")
-    best = best_of_all(texts, listed.select("ord", F.trim(F.concat_ws(" ", "name", "city")).alias("key")))
+    best = best_of_all(texts, listed.select("ord", F.trim(F.concat_ws(" ", "name", "city")).alias("key")), least)
     return best.join(listed, "ord").select("text", "head_id", "name", "city", "score")
 
 
@@ -65,11 +65,11 @@ def resolve_party(forms: DataFrame, buyers: DataFrame, own: str) -> DataFrame:
     Forms whose seller's name holds `own`, the own letterhead, are passed over. A hit is a score of 88 or more. Buyers of different names: ambiguous. Only the seller:
     its buyer is suggested, with a hint where its name says that it is closed. Neither, a blank one too: unmatched. Only the party, or the same name twice: nothing.
     """
-    texts = forms.select(F.explode(F.array("seller_name", "party_name")).alias("text")).where("trim(text) <> ''")
-    found = written(best_buyer_match(texts, buyers).where(F.col("score") >= BUYER_HIT).select("text", "name"), "parties")
+    skipped = F.contains(F.lower(F.coalesce("seller_name", F.lit(""))), F.lit(own.lower()))
+    texts = forms.where(~skipped).select(F.explode(F.array("seller_name", "party_name")).alias("text")).where("trim(text) <> ''")
+    found = written(best_buyer_match(texts, buyers, BUYER_HIT).select("text", "name"), "parties")
     seller, party = (found.select(F.col("text").alias(f"{c}_name"), F.col("name").alias(f"{c}_buyer")) for c in ("seller", "party"))
     joined = forms.select("form_id", "seller_name", "party_name").join(seller, "seller_name", "left").join(party, "party_name", "left")
-    skipped = F.contains(F.lower(F.coalesce("seller_name", F.lit(""))), F.lit(own.lower()))
     s, p = F.col("seller_buyer").isNotNull(), F.col("party_buyer").isNotNull()
     outcome = F.when(skipped | (p & ~s) | (s & p & (F.col("seller_buyer") == F.col("party_buyer"))), None).when(s & p, "ambiguous").when(s, "suggest").otherwise("unmatched")
     suggested = F.when(outcome == "suggest", F.col("seller_buyer"))

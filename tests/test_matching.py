@@ -103,6 +103,20 @@ def test_few_pairs_are_scored():
     assert index.scored < 0.05 * len(asked) * len(names)
 
 
+def test_few_pairs_of_like_numbers_are_scored():
+    """The same digits in another order are in common as characters, not as a sequence."""
+    r = random.Random(3)
+    names = [f"Customer#{i:09d} " + r.choice(("NATION_7", "NATION_12", "PERU", "NORTH AND SOUTH")) for i in r.sample(range(60_000), 4000)]
+    index = NameIndex(np.arange(len(names)), names)
+    asked = [n[:18].replace("#", " ") for n in names[:20]] + ["Supplier#000000012", "Customer 000000000"]
+    for kind, score, k, least in (("weighted", fuzzy.weighted, 1, 88), ("set", fuzzy.token_set, 60, 40)):
+        index.scored = 0
+        for text in asked:
+            exact = [score(fuzzy.cleaned(text), f) for f in index.forms]
+            assert index.best(text, k, kind, least) == [(-s, i) for s, i in sorted((-s, i) for i, s in enumerate(exact) if s >= least)[:k]]
+        assert index.scored < 10 * k * len(asked)
+
+
 def test_shards_and_blocks_give_the_same_best(spark):
     r = random.Random(2)
     names = [f"{a} {b}" for a in ("RED", "BLUE", "OLD", "NEW") for b in ("VEST", "TRUNK", "BRIEF", "SLIP", "GOWN")]

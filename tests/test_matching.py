@@ -117,6 +117,12 @@ def test_few_pairs_of_like_numbers_are_scored():
         assert index.scored < 10 * k * len(asked)
 
 
+def test_each_pair_of_block_and_shard_is_work_of_its_own(spark):
+    texts, keys = spark.range(400).selectExpr("'t' || id AS text"), spark.range(40).selectExpr("id AS ord", "'k' || id AS key")
+    found = against_names(texts, keys, lambda index, text: [(1.0, 0)], "score double, ord long", 10, 100)
+    assert found.where("score > 0").rdd.getNumPartitions() == 64  # of 4 shards and 4 blocks; few bytes are not put together
+
+
 def test_shards_and_blocks_give_the_same_best(spark):
     r = random.Random(2)
     names = [f"{a} {b}" for a in ("RED", "BLUE", "OLD", "NEW") for b in ("VEST", "TRUNK", "BRIEF", "SLIP", "GOWN")]

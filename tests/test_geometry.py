@@ -1,11 +1,14 @@
 import itertools
 import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.operators import geometry
+from tallyloom.plans import registry, views
 
 TOKENS = "form_id int, token_id int, text string, x0 double, y0 double, x1 double, y1 double, score double"
 
@@ -103,3 +106,19 @@ def test_merged_headers_of_any_length(spark):
     assert cut("1234567", *"1234567") == list("1234567")
     assert cut("1234567", *"1234567", "12") is None and cut("123", "12", "12", "3") == ["12", "3"] and cut("124", "12", "") is None
     assert cut("x12", "x", "12") is None and cut("45", "45", "4", "5") is None
+
+
+def test_tokens_are_those_of_the_stand_in(spark):
+    from tallyloom.plans import geometry_queries
+
+    made, view = geometry_queries._tokens(spark, "/root/testdata/sf0.001"), views.view(spark, "/root/testdata/sf0.001", "tokens")
+    view = view.select(*made.columns)
+    assert made.exceptAll(view).count() == 0 and view.exceptAll(made).count() == 0
+
+
+@pytest.mark.parametrize("name", ["locate_headers"])
+def test_forms_are_dealt_by_form_alone(spark, name):
+    """What stands on the tokens of forms is dealt by form, not once more by form and size or row."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert dealt and all(re.fullmatch(r"(form_id|l_orderkey)#\d+L?, \d+", d) for d in dealt)

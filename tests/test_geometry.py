@@ -116,7 +116,7 @@ def test_tokens_are_those_of_the_stand_in(spark):
     assert made.exceptAll(view).count() == 0 and view.exceptAll(made).count() == 0
 
 
-@pytest.mark.parametrize("name", ["locate_headers", "candidate_marks", "locate_fused_headers", "assign_marks_to_headers", "low_confidence_worklist", "drop_label_duplicates", "item_name_y"])
+@pytest.mark.parametrize("name", ["locate_headers", "candidate_marks", "locate_fused_headers", "assign_marks_to_headers", "low_confidence_worklist", "drop_label_duplicates", "item_name_y", "skip_decoy_bands"])
 def test_forms_are_dealt_by_form_alone(spark, name):
     """What stands on the tokens of forms is dealt by form, not once more by form and size or row."""
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

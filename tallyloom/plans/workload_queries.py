@@ -94,7 +94,7 @@ FROM m WHERE greatest(sev, sev2) > 0
 def readings_to_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two readings of each row merged, the outcome held against the printed total, and the flags of both merged into what a reviewer is shown."""
     readings = written(two_readings(spark, sf_dir), "readings")
-    merged = recount.merge_recount(readings)
+    merged = written(recount.merge_recount(readings), "recounts")  # two branches read it
     read = readings.select("form_id", "row_idx", F.coalesce(F.nullif(F.col("total_dozen").try_cast("long"), F.lit(0)), F.col("row_total").try_cast("long")).alias("total"))
     flags = merged.where("status not in ('ok', 'no_recount')").select("form_id", "row_idx", F.lit(1).alias("seq"), "status", "sizes", "note")
     sums = merged.select("form_id", "row_idx", F.aggregate("cells", F.lit(0).cast("long"), lambda n, c: n + c["qty"]).alias("sum")).join(read, ["form_id", "row_idx"])

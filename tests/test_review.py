@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.operators import fuzzy, matching, reconcile, review, templates
+from tallyloom.plans import registry
 from tallyloom.sources import files
 from tallyloom.streaming.submissions import once_per_session
 
@@ -107,3 +108,9 @@ def test_edits_against_the_table_of_distances():
     other = words[:500] + words[501:70_000] + ["x"] + words[70_000:]
     began = time.time()
     assert review._edits(words, other) == 2 and time.time() - began < 60
+
+
+def test_two_readings_are_merged_once(spark):
+    """Flags and sums stand on the same merged rows: what is merged is not worked out for either."""
+    plan = registry.queries()["readings_to_flags"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan
